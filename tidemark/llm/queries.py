@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, pieces, quality_rules
+from tidemark.llm import chat, langid, licenses, mixing, pieces, quality_rules, rule_ensemble, toxicity
+from tidemark.llm.common import held_out
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -24,6 +25,13 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = rule_ensemble.train(docs, table(spark, sf_dir, "labels").where(~held), "quality")
+    scored = rule_ensemble.classify(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal weight for every source, one epoch in all."""
     return mixing.mix(table(spark, sf_dir, "documents"), epochs=1.0, seed=7)
@@ -47,6 +55,23 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held), "toxic")
+    rows = toxicity.scored(docs, model, ["doc_id"])
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    found = langid.identify(docs, langid.train(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.tokenize(table(spark, sf_dir, "documents"), piece_model(), digests_only=True)
 
@@ -56,7 +81,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_mix": op2_mix, "op4_chat": op4_chat, "op9_pieces": op9_pieces, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_quality": op1_quality, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op2_mix": op2_mix, "op4_chat": op4_chat, "op9_pieces": op9_pieces, "op10_quality_rules": op10_quality_rules}
 
 _OP2_SQL = f"""
 WITH RECURSIVE docs AS (
