@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, langid, licenses, mixing, pieces, quality_rules, rule_ensemble, toxicity
+from tidemark.llm import chat, embeddings, jaccard, langid, licenses, mixing, pieces, quality_rules, rule_ensemble, toxicity
 from tidemark.llm.common import held_out
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -37,6 +37,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), epochs=1.0, seed=7)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 CONTROL_CASE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -55,6 +59,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -81,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_quality": op1_quality, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op2_mix": op2_mix, "op4_chat": op4_chat, "op9_pieces": op9_pieces, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_quality": op1_quality, "op3_jaccard": op3_jaccard, "op5_embeddings": op5_embeddings, "op6_licenses": op6_licenses, "op7_toxicity": op7_toxicity, "op8_language": op8_language, "op2_mix": op2_mix, "op4_chat": op4_chat, "op9_pieces": op9_pieces, "op10_quality_rules": op10_quality_rules}
 
 _OP2_SQL = f"""
 WITH RECURSIVE docs AS (

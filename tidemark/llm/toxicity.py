@@ -8,7 +8,7 @@ term's log odds, for exact and misspelled hits apart, so that a term whose
 neighbours are ordinary words weighs little when misspelled. The window around a
 hit scales it: quotation marks beside it, or a word that reports speech, lower
 it; address in the second person raises it. A logistic regression on the
-strongest hit and the sum of hits gives the score.
+strongest hit and the number of different words hit gives the score.
 
 Edge cases: a null or empty text has no hit and the score of none; without
 labelled rows of both classes the score is the intercept's; rows may repeat; an
@@ -35,6 +35,7 @@ MIN_TOXIC, MIN_ODDS = 6, 3.5
 SHORT, LONG = 4, 9
 CONTEXT = 6
 QUOTED, ADDRESSED = 0.4, 1.2
+WEAK = 2.0
 #: Words remembered by a task at most, with what they match.
 TABLE_WORDS = 500_000
 #: Transitions of the automaton kept at most.
@@ -133,7 +134,7 @@ class Lexicon:
 class ToxicModel:
     #: For each term its weight when exact and when misspelled.
     terms: dict[str, tuple[float, float]] = field(default_factory=dict)
-    weights: tuple[float, float] = (0.0, 0.0)
+    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
     intercept: float = -4.0
 
     def __post_init__(self) -> None:
@@ -156,33 +157,33 @@ class ToxicModel:
                 self.known[word] = got
         return got
 
-    def evidence(self, text: str | None) -> tuple[float, float]:
-        """The strongest hit and the logarithm of the hits' sum, after their contexts."""
+    def evidence(self, text: str | None) -> tuple[float, float, float]:
+        """After contexts: the strongest hit, the number of different words above WEAK as a logarithm, and whether there are two."""
         if not text or not self.terms:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         low = text.lower()
         words = set(_TOKEN.findall(low))
         hits = {w for w in words if self.weight(w) > 0}
         if not hits:
-            return 0.0, 0.0
+            return 0.0, 0.0, 0.0
         spans = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(low)]
-        most = total = 0.0
+        values = dict.fromkeys(hits, 0.0)
         for i, (word, a, b) in enumerate(spans):
             if word in hits:
                 near = [s[0] for s in spans[max(0, i - CONTEXT) : i + CONTEXT + 1]]
                 quoted = (low[a - 1 : a] in QUOTES if a else False) and low[b : b + 1] in QUOTES
                 factor = QUOTED if quoted or not REPORTS.isdisjoint(near) else ADDRESSED if not ADDRESS.isdisjoint(near) else 1.0
-                value = self.weight(word) * factor
-                most, total = max(most, value), total + value
-        return most, math.log1p(total)
+                values[word] = max(values[word], self.weight(word) * factor)
+        strong = sum(v > WEAK for v in values.values())
+        return max(values.values()), math.log1p(strong), float(strong > 1)
 
     def score(self, text: str | None) -> float:
-        a, b = self.evidence(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.weights[0] * a + self.weights[1] * b + self.intercept))))
+        z = self.intercept + sum(w * x for w, x in zip(self.weights, self.evidence(text), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps, with weights of at least 0."""
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.0005) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps."""
     a = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(a.shape[1])
     ridge = np.diag([penalty * len(y)] * x.shape[1] + [1e-6 * len(y)])
@@ -193,7 +194,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> tuple[np.nd
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return np.maximum(w[:-1], 0), float(w[-1])
+    return w[:-1], float(w[-1])
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
@@ -221,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     toxic, clean = (totals[0] or 0), (totals[1] or 0)
     if not toxic or not clean:
         rate = (toxic + 0.5) / (toxic + clean + 1)
-        return ToxicModel({}, (0.0, 0.0), math.log(rate / (1 - rate)))
+        return ToxicModel({}, (0.0, 0.0, 0.0), math.log(rate / (1 - rate)))
     counted = rows.select("text", "y").mapInArrow(words, "word string, y long").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     top = counted.where(F.col("t") >= MIN_TOXIC).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
@@ -253,12 +254,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [model.evidence(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), *[pa.array([g[k] for g in got], pa.float64()) for k in range(3)]], names=["doc_id", "y", "a", "b", "c"])
 
-    schema = rows.select("doc_id", "y").schema.add("a", "double").add("b", "double")
+    schema = rows.select("doc_id", "y").schema.add("a", "double").add("b", "double").add("c", "double")
     sample = rows.select("doc_id", "y", "text").mapInArrow(features, schema).limit(2 * MAX_ROWS).toPandas().sort_values("doc_id")
-    w, intercept = logistic(sample[["a", "b"]].to_numpy(float), sample["y"].to_numpy(float))
-    return ToxicModel(model.terms, (float(w[0]), float(w[1])), intercept)
+    w, intercept = logistic(sample[["a", "b", "c"]].to_numpy(float), sample["y"].to_numpy(float))
+    return ToxicModel(model.terms, tuple(float(v) for v in w), intercept)
 
 
 def scored(docs: DataFrame, model: ToxicModel, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
