@@ -8,14 +8,15 @@
    that all sets share is exact, and the sketch only decides how rare the
    prefix's shingles are. The first n - ceil(t n) + 1 shingles are emitted; a
    window over each shingle drops those that one class alone has.
-3. Neighbours in a shingle's posting list, by set size, are verified, and their
-   links give first components. The lists are then joined with themselves for
+3. In a shingle's posting list, neighbours by set size, and each member with the
+   one whose shingles are shared most, are verified: their links give first
+   components. The lists are then joined with themselves for
    pairs of classes of different components only, under the length filter and
-   the positional filter; each pair is kept once, at its first common prefix
-   shingle, and must pass the positional filter there and the suffix filter
-   (the slices' least possible distance). What is left is verified once by the
-   sets' intersection. A group of near copies is thus joined by neighbours, not
-   by all its pairs, and no link between components is lost.
+   the positional filter of a first common shingle; each pair is kept once and
+   must pass the suffix filter (the slices' least possible distance). What is
+   left is verified once by the sets' intersection. A group of near copies is
+   thus joined by its leader and neighbours, not by all its pairs, and no link
+   between components is lost.
 
 Verified links pass through components(). Sets are recounted from the texts
 for the documents of candidate pairs only, found by a Bloom filter of fixed size.
@@ -39,7 +40,7 @@ from pyspark.sql import Window
 
 from tidemark.llm.common import Workspace, components, mix64, shingle_sets
 
-SKETCH_BITS, SKETCH_ROW = 20, 4096
+SKETCH_BITS, SKETCH_ROW = 22, 1 << 16
 SLICES = 16
 BLOOM_BITS = 1 << 22
 
@@ -60,7 +61,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, size, f1, f2, slices) and, with `counts`, rows of each task's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         shift = np.uint64(64 - SKETCH_BITS)
         names = ["doc_id", "size", "f1", "f2", "slices", "block", "counts"]
         for batch in batches:
@@ -80,27 +81,27 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
         rows = [i for i in range(0, 1 << SKETCH_BITS, SKETCH_ROW) if sketch[i : i + SKETCH_ROW].any()]
         r = len(rows)
         if r:
-            packed = pa.array([sketch[i : i + SKETCH_ROW].tobytes() for i in rows], pa.binary())
+            packed = pa.array([np.minimum(sketch[i : i + SKETCH_ROW], 255).astype(np.uint8).tobytes() for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(r, pa.int64()), *[pa.nulls(r, pa.int64())] * 3, pa.nulls(r, pa.list_(pa.int32())), pa.array([i // SKETCH_ROW for i in rows], pa.int32()), packed], names=names)
 
     return docs.mapInArrow(run, "doc_id long, size long, f1 long, f2 long, slices array<int>, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
-    """The tasks' sketches added up: 2**SKETCH_BITS counts, whatever the input's size."""
+    """The tasks' sketches added up: 2**SKETCH_BITS counts of two bytes, whatever the input's size."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(counts, np.int64)
+                own = np.frombuffer(counts, np.uint8).astype(np.int64)
                 total[block] = total[block] + own if block in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["block", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(t, 65535).astype(np.uint16).tobytes() for t in total.values()], pa.binary())], names=["block", "counts"])
 
     rows = parts.repartition("block").mapInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.uint16)
     for r in rows:
-        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] += np.frombuffer(bytes(r["counts"]), np.int64)
+        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.frombuffer(bytes(r["counts"]), np.uint16)
     return out
 
 
@@ -191,6 +192,11 @@ def _enough(overlap: Column, size_a: Column, size_b: Column, percent: int) -> Co
     return F.lit(100) * overlap >= F.lit(percent) * (size_a + size_b - overlap)
 
 
+def _first_place(size_a: Column, place_a: Column, size_b: Column, place_b: Column, percent: int) -> Column:
+    """The length and positional filters as they hold at a pair's first common shingle: what stands there and behind is all that can be shared. A pair that fails there fails at every later one."""
+    return _enough(F.least(size_a - place_a, size_b - place_b), size_a, size_b, percent)
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The suffix filter: what two sets can share at most, slice by slice."""
     a = nodes.select(F.col("node").alias("a"), F.col("slices").alias("sa"), F.col("size").alias("na"))
@@ -200,14 +206,16 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(_enough(most, F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _verified(docs: DataFrame, n: int, percent: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(work: Workspace, name: str, docs: DataFrame, n: int, percent: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = nodes.select("node", "f1", "f2").join(ends, "node", "left_semi")
-    sets = _sets(docs, n, wanted)
+    sets = work.keep(_sets(docs, n, wanted), f"{name}-sets")
     joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     overlap = F.size(F.array_intersect("x", "y"))
-    return joined.where(_enough(overlap, F.size("x"), F.size("y"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = work.keep(joined.where(_enough(overlap, F.size("x"), F.size("y"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
+    work.drop(f"{name}-sets")
+    return links
 
 
 def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +225,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = work.keep(_summaries(docs, n), "summaries")
     summaries = first.where("block is null").select("doc_id", "size", "f1", "f2", "slices")
-    sketch = spark.sparkContext.broadcast(_sketch(first.where("block is not null").select("block", "counts")).astype(np.int32))
+    sketch = spark.sparkContext.broadcast(_sketch(first.where("block is not null").select("block", "counts")))
     full = summaries.where("doc_id is not null and size > 0")
     nodes = work.keep(full.groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("slices").alias("slices")), "nodes")
 
@@ -229,14 +237,18 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     postings = work.keep(postings, "postings")
     work.drop("shared")
 
-    # neighbours by size in each list; the shorter set first
+    # in each list neighbours by size, and the member most of whose shingles are shared with the others
+    weight = postings.groupBy("node").agg((F.count("*") / F.first("size")).alias("share"))
+    listed = postings.join(weight, "node")
     in_order = Window.partitionBy("token").orderBy("size", "node")
-    near = postings.withColumn("a", F.lag("node").over(in_order)).withColumn("na", F.lag("size").over(in_order)).withColumn("pa", F.lag("place").over(in_order))
-    near = near.where(F.col("a").isNotNull() & (F.col("a") != F.col("node")) & (F.lit(100) * F.col("na") >= F.lit(percent) * F.col("size")))
-    near = near.where(_enough(F.least("pa", "place") + 1 + F.least(F.col("na") - F.col("pa"), F.col("size") - F.col("place")) - 1, F.col("na"), F.col("size"), percent))
-    near = work.keep(near.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "near")
+    before = F.lag(F.struct("node", "size", "place")).over(in_order)
+    leader = F.max(F.struct("share", "node", "size", "place")).over(by_token)
+    partners = F.array(before, F.struct(leader["node"].alias("node"), leader["size"].alias("size"), leader["place"].alias("place")))
+    near = listed.withColumn("partners", partners).select("node", "size", "place", F.explode("partners").alias("p")).where(F.col("p").isNotNull() & (F.col("p.node") != F.col("node")))
+    near = near.where(_first_place(F.col("size"), F.col("place"), F.col("p.size"), F.col("p.place"), percent))
+    near = work.keep(near.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct(), "near")
     near = work.keep(_possible(near, nodes, percent), "near-possible")
-    links = work.keep(_verified(docs, n, percent, near, nodes), "near-links")
+    links = _verified(work, "near", docs, n, percent, near, nodes)
     groups = components(work, links, "near-groups")
 
     # the rest: pairs of classes that no link joins yet, in lists that hold several components
@@ -249,17 +261,12 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
         (F.col("a.token") == F.col("b.token"))
         & (F.col("a.component") != F.col("b.component"))
         & ((F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") < F.col("b.node"))))
-        & (F.lit(100) * F.col("a.size") >= F.lit(percent) * F.col("b.size"))
-        & _enough(F.least("a.place", "b.place") + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")), F.col("a.size"), F.col("b.size"), percent),
-    )
-    once = joined.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(
-        F.min(F.struct(F.col("a.place").alias("pa"), F.col("b.place").alias("pb"), F.col("a.size").alias("na"), F.col("b.size").alias("nb"))).alias("m"), F.count("*").alias("common")
+        & _first_place(F.col("a.size"), F.col("a.place"), F.col("b.size"), F.col("b.place"), percent),
     )
-    # at the first common shingle nothing before is shared
-    once = once.where(_enough(1 + F.least(F.col("m.na") - F.col("m.pa"), F.col("m.nb") - F.col("m.pb")) - 1, F.col("m.na"), F.col("m.nb"), percent))
+    once = joined.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("common"))
     rest = work.keep(once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "rest")
     rest = work.keep(_possible(rest, nodes, percent), "rest-possible")
-    more = work.keep(_verified(docs, n, percent, rest, nodes), "rest-links")
+    more = _verified(work, "rest", docs, n, percent, rest, nodes)
     # one id with several sets joins them
     own = full.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node", "size")
     own = work.keep(own.distinct(), "own")
