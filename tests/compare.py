@@ -16,7 +16,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 5) + 0.0
+        return None if math.isnan(value) else round(value, 6) + 0.0
     if hasattr(value, "isoformat"):
         return value.isoformat()[:26].replace("T", " ")
     if isinstance(value, list | tuple):

@@ -1,0 +1,50 @@
+"""Scalar formulas as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def daily_rate(annual: Column) -> Column:
+    return F.pow(1 + annual, F.lit(1 / 252.0)) - 1
+
+
+def finite_or_zero(x: Column) -> Column:
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise(x)
+
+
+def normal_cdf(x: Column) -> Column:
+    """Abramowitz and Stegun 26.2.17, off by less than 7.5e-8."""
+    z = F.abs(x)
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = 1 - F.exp(-z * z / 2) / 2.5066282746310002 * poly
+    return F.when(x >= 0, upper).otherwise(1 - upper)
+
+
+def black_scholes(spot: Column, strike: Column, years: Column, rate: Column, vol: Column, kind: str = "put") -> Column:
+    """European price; intrinsic value where time or volatility is not positive."""
+    spread = vol * F.sqrt(years)
+    d1 = (F.ln(spot / strike) + (rate + vol * vol / 2) * years) / spread
+    d2 = d1 - spread
+    discounted = strike * F.exp(-rate * years)
+    if kind == "put":
+        price, intrinsic = discounted * normal_cdf(-d2) - spot * normal_cdf(-d1), F.greatest(strike - spot, F.lit(0.0))
+    else:
+        price, intrinsic = spot * normal_cdf(d1) - discounted * normal_cdf(d2), F.greatest(spot - strike, F.lit(0.0))
+    return F.when((years <= 0) | (vol <= 0), intrinsic).otherwise(price)
+
+
+def delta(spot: Column, strike: Column, years: Column, rate: Column, vol: Column, kind: str = "put") -> Column:
+    d1 = (F.ln(spot / strike) + (rate + vol * vol / 2) * years) / (vol * F.sqrt(years))
+    return normal_cdf(d1) - (1 if kind == "put" else 0)
+
+
+def contracts(amount: Column, price: Column) -> Column:
+    """Whole contracts of 100, one at least."""
+    return F.greatest(F.lit(1), F.floor(amount / (price * 100)))
+
+
+def quarter_end(date: Column) -> Column:
+    return F.last_day(F.add_months(F.trunc(date, "quarter"), 2))
