@@ -28,6 +28,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 MARK = "▁"
 #: Words and parts kept by a task at most, and the longest that enters a table.
@@ -176,7 +177,7 @@ def tokenize(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
     if digests_only:
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
     else:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = opened(model_file)
