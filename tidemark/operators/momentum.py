@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.panel import BY_TICKER
+from tidemark.sources.panel import by_ticker
 
 
 def back(name: str, k: int) -> Column:
-    return F.lag(name, k).over(BY_TICKER)
+    return F.lag(name, k).over(by_ticker())
 
 
 def frame(lo: int, hi: int):
     """Rows t+lo .. t+hi of the ticker."""
-    return BY_TICKER.rowsBetween(lo, hi)
+    return by_ticker().rowsBetween(lo, hi)
 
 
 def simple_return(name: str = "close") -> Column:

@@ -4,23 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from tidemark.sources.panel import BY_TICKER
+from tidemark.sources.panel import by_ticker
 
 #: Fixed split factors that an inferred one is snapped to.
 FACTORS = [1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 100.0]
-SO_FAR = BY_TICKER.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def so_far() -> WindowSpec:
+    return by_ticker().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def dividend_yield() -> Column:
     """Dividend over the previous close; 0 on the first day."""
-    return F.coalesce(F.try_divide(F.col("dividend"), F.lag("close").over(BY_TICKER)), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.col("dividend"), F.lag("close").over(by_ticker())), F.lit(0.0))
 
 
 def with_total_return(panel: DataFrame) -> DataFrame:
     """tri: close x product of (1 + yield); tri_sum: close x (1 + sum of yields)."""
     rows = panel.withColumn("y", dividend_yield())
-    return rows.withColumn("tri", F.col("close") * F.exp(F.sum(F.log1p("y")).over(SO_FAR))).withColumn("tri_sum", F.col("close") * (1 + F.sum("y").over(SO_FAR))).drop("y")
+    return rows.withColumn("tri", F.col("close") * F.exp(F.sum(F.log1p("y")).over(so_far()))).withColumn("tri_sum", F.col("close") * (1 + F.sum("y").over(so_far()))).drop("y")
 
 
 def scaffold(panel: DataFrame) -> DataFrame:
@@ -31,11 +35,11 @@ def scaffold(panel: DataFrame) -> DataFrame:
 
 
 def forward_fill(name: str) -> Column:
-    return F.last(name, ignorenulls=True).over(SO_FAR)
+    return F.last(name, ignorenulls=True).over(so_far())
 
 
 def fill_both(name: str) -> Column:
-    return F.coalesce(forward_fill(name), F.first(name, ignorenulls=True).over(BY_TICKER.rowsBetween(0, Window.unboundedFollowing)))
+    return F.coalesce(forward_fill(name), F.first(name, ignorenulls=True).over(by_ticker().rowsBetween(0, Window.unboundedFollowing)))
 
 
 def split_adjusted(bars: DataFrame, actions: DataFrame) -> DataFrame:
@@ -61,7 +65,7 @@ def snap_factor(raw: Column) -> Column:
 
 def jump_ratios(panel: DataFrame, low: float = -2 / 3, high: float = 2.0) -> DataFrame:
     """Closes rescaled so that jumps beyond the band vanish, anchored at the latest price: one reverse product."""
-    r = F.try_divide(F.col("close"), F.lag("close").over(BY_TICKER))
+    r = F.try_divide(F.col("close"), F.lag("close").over(by_ticker()))
     jump = F.when((r - 1 > high) | (r - 1 < low), F.ln(r)).otherwise(F.lit(0.0))
     ahead = Window.partitionBy("ticker").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
     rows = panel.withColumn("jump", jump)
@@ -70,13 +74,13 @@ def jump_ratios(panel: DataFrame, low: float = -2 / 3, high: float = 2.0) -> Dat
 
 def coverage(panel: DataFrame) -> DataFrame:
     """Per ticker: rows, first and last date, longest gap in days, largest absolute move."""
-    rows = panel.withColumn("gap", F.datediff("date", F.lag("date").over(BY_TICKER))).withColumn("move", F.abs(F.try_divide(F.col("close"), F.lag("close").over(BY_TICKER)) - 1))
+    rows = panel.withColumn("gap", F.datediff("date", F.lag("date").over(by_ticker()))).withColumn("move", F.abs(F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1))
     return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max("gap").alias("max_gap"), F.max("move").alias("max_move"))
 
 
 def quality_gate(panel: DataFrame, min_days: int = 252, move: float = 0.2, max_moves: int = 3, top: int = 100) -> DataFrame:
     """Tickers with enough days and few large moves, best covered first."""
-    rows = panel.withColumn("move", F.abs(F.try_divide(F.col("close"), F.lag("close").over(BY_TICKER)) - 1))
+    rows = panel.withColumn("move", F.abs(F.try_divide(F.col("close"), F.lag("close").over(by_ticker())) - 1))
     per = rows.groupBy("ticker").agg(F.count("close").alias("days"), F.sum((F.col("move") > move).cast("long")).alias("moves"))
     return per.where((F.col("days") >= min_days) & (F.col("moves") <= max_moves)).orderBy(F.desc("days"), "ticker").limit(top)
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.sources.panel import BY_TICKER
+from tidemark.sources.panel import by_ticker
 
 YEAR = 252
 
 
 def drawdown(name: str = "close") -> Column:
-    return F.try_divide(F.col(name), F.max(name).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, 0))) - 1
+    return F.try_divide(F.col(name), F.max(name).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))) - 1
 
 
 def restarting(panel: DataFrame, at: DataFrame, n: int = 252) -> DataFrame:
@@ -52,7 +52,7 @@ def curve_summary(curve: DataFrame, keys: list[str], value: str = "equity", orde
 def underwater_spells(panel: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Per ticker the number, longest and mean length of runs of rows with drawdown below the threshold: gaps and islands."""
     under = panel.withColumn("under", drawdown() < threshold)
-    flips = under.withColumn("island", F.sum(F.when(F.col("under") != F.coalesce(F.lag("under").over(BY_TICKER), ~F.col("under")), 1).otherwise(0)).over(BY_TICKER))
+    flips = under.withColumn("island", F.sum(F.when(F.col("under") != F.coalesce(F.lag("under").over(by_ticker()), ~F.col("under")), 1).otherwise(0)).over(by_ticker()))
     runs = flips.where("under").groupBy("ticker", "island").agg(F.count("*").alias("len"))
     return runs.groupBy("ticker").agg(F.count("*").alias("spells"), F.max("len").alias("longest"), F.avg("len").alias("mean_len"))
 

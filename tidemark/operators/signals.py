@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.momentum import back, frame
-from tidemark.sources.panel import BY_TICKER
+from tidemark.sources.panel import by_ticker
 
 YEAR = 252
 ROOT_YEAR = YEAR**0.5
@@ -31,7 +31,7 @@ def downside(kind: str) -> Column:
     """Downside volatility by name; see the table of definitions in the README."""
     neg = F.when(F.col("ret") < 0, F.col("ret"))
     clipped = F.least("ret", F.lit(0.0))
-    year, history, forty = frame(-251, 0), BY_TICKER.rowsBetween(Window.unboundedPreceding, 0), frame(-39, 0)
+    year, history, forty = frame(-251, 0), by_ticker().rowsBetween(Window.unboundedPreceding, 0), frame(-39, 0)
     floor = F.lit(1e-4)
     root = F.lit(ROOT_YEAR)
     table = {

@@ -7,20 +7,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.prep import SO_FAR
-from tidemark.sources.panel import BY_TICKER
+from tidemark.operators.prep import so_far
+from tidemark.sources.panel import by_ticker
 
 
 def switch(change: Column, to_cash: float, to_momentum: float, initial: str = "MOMENTUM") -> Column:
     """Hysteresis: CASH below one bound, MOMENTUM above the other, else as before; the first row and a NULL change say `initial`."""
     said = F.when(change < to_cash, "CASH").when(change > to_momentum, "MOMENTUM")
-    return F.when(change.isNull(), initial).otherwise(F.coalesce(F.last(said, ignorenulls=True).over(SO_FAR), F.lit(initial)))
+    return F.when(change.isNull(), initial).otherwise(F.coalesce(F.last(said, ignorenulls=True).over(so_far()), F.lit(initial)))
 
 
 def equity_under(signal: str = "signal", price: str = "close", start: float = 1000.0) -> Column:
     """Equity that takes a row's return if the row before said MOMENTUM."""
-    step = F.when(F.lag(signal).over(BY_TICKER) == "MOMENTUM", F.try_divide(F.col(price), F.lag(price).over(BY_TICKER))).otherwise(1.0)
-    return F.lit(start) * F.exp(F.sum(F.ln(F.coalesce(step, F.lit(1.0)))).over(SO_FAR))
+    step = F.when(F.lag(signal).over(by_ticker()) == "MOMENTUM", F.try_divide(F.col(price), F.lag(price).over(by_ticker()))).otherwise(1.0)
+    return F.lit(start) * F.exp(F.sum(F.ln(F.coalesce(step, F.lit(1.0)))).over(so_far()))
 
 
 def expanding_folds(calendar: DataFrame, train: int, length: int, step: int) -> DataFrame:

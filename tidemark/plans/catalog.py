@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark import functions, streaming
 from tidemark.operators import allocation, hmm, montecarlo, prep, risk, signals, simulation, sweep
 from tidemark.operators import momentum as mom
-from tidemark.sources.panel import BY_TICKER, SQL, panel, read
+from tidemark.sources.panel import by_ticker, SQL, panel, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,20 +37,20 @@ def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
 
 
-def column_query(name: str, columns: dict[str, Column | Callable[[], Column]], sql: dict[str, str], where: str = "t % 63 = 0", digits: int = 6) -> None:
+def column_query(name: str, columns: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], where: str = "t % 63 = 0", digits: int = 6) -> None:
     """A query of new columns at some rows of every ticker: the rows are chosen after the windows."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = with_returns(spark, sf_dir)
-        for c, e in columns.items():
+        rows, made = with_returns(spark, sf_dir), columns()
+        for c, e in made.items():
             rows = rows.withColumn(c, e() if callable(e) else e)
-        return rows.where(where).select("ticker", "t", *[r6(c, digits) if dict(rows.dtypes)[c] == "double" else F.col(c) for c in columns])
+        return rows.where(where).select("ticker", "t", *[r6(c, digits) if dict(rows.dtypes)[c] == "double" else F.col(c) for c in made])
 
-    made = ", ".join(f"{sql[c]} AS {c}" for c in columns)
-    out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in columns)
+    inner = ", ".join(f"{e} AS {c}" for c, e in sql.items())
+    out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in sql)
     w = "WINDOW w AS (PARTITION BY ticker ORDER BY t)"
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {made} FROM rets {w}) WHERE {where}"
+    ORACLE_SQL[name] = f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {inner} FROM rets {w}) WHERE {where}"
 
 
 def lag(k: int) -> str:
@@ -69,27 +69,27 @@ BLEND = f"(0.2 * {short(63)} + 0.4 * {short(126)} + 0.4 * {short(252)})"
 ROOT = "sqrt(252)"
 
 # --- momentum ---------------------------------------------------------------------------------------------------------
-column_query("mom_returns", {"ret1": mom.simple_return(), "lret1": mom.log_return()}, {"ret1": "ret", "lret1": "lret"}, "t % 20 = 0")
-column_query("mom_skip_short", {f"m{lb}": mom.skip_short(lb) for lb in (21, 63, 126, 252)}, {f"m{lb}": short(lb) for lb in (21, 63, 126, 252)}, "t % 20 = 0")
-column_query("mom_skip_full", {f"m{lb}": mom.skip_full(lb) for lb in (63, 126, 252)}, {f"m{lb}": full(lb) for lb in (63, 126, 252)}, "t % 20 = 0")
-column_query("mom_no_skip", {"m63": mom.no_skip(63)}, {"m63": f"close / {lag(63)} - 1"}, "t % 20 = 0")
-column_query("mom_previous_bar", {f"m{lb}": mom.previous_bar(lb) for lb in (63, 126)}, {f"m{lb}": prev(lb) for lb in (63, 126)}, "t % 20 = 0")
-column_query("mom_blend", {"blend": mom.blend()}, {"blend": BLEND}, "t % 20 = 0")
+column_query("mom_returns", lambda: {"ret1": mom.simple_return(), "lret1": mom.log_return()}, {"ret1": "ret", "lret1": "lret"}, "t % 20 = 0")
+column_query("mom_skip_short", lambda: {f"m{lb}": mom.skip_short(lb) for lb in (21, 63, 126, 252)}, {f"m{lb}": short(lb) for lb in (21, 63, 126, 252)}, "t % 20 = 0")
+column_query("mom_skip_full", lambda: {f"m{lb}": mom.skip_full(lb) for lb in (63, 126, 252)}, {f"m{lb}": full(lb) for lb in (63, 126, 252)}, "t % 20 = 0")
+column_query("mom_no_skip", lambda: {"m63": mom.no_skip(63)}, {"m63": f"close / {lag(63)} - 1"}, "t % 20 = 0")
+column_query("mom_previous_bar", lambda: {f"m{lb}": mom.previous_bar(lb) for lb in (63, 126)}, {f"m{lb}": prev(lb) for lb in (63, 126)}, "t % 20 = 0")
+column_query("mom_blend", lambda: {"blend": mom.blend()}, {"blend": BLEND}, "t % 20 = 0")
 column_query(
     "mom_available_blend",
-    {"blend": mom.available_blend()},
+    lambda: {"blend": mom.available_blend()},
     {"blend": "(" + " + ".join(f"coalesce({w} * ({prev(lb)}), 0)" for lb, w in ((63, 0.2), (126, 0.4), (252, 0.4))) + ") / nullif(" + " + ".join(f"(CASE WHEN {lag(21 + lb)} IS NULL THEN 0 ELSE {w} END)" for lb, w in ((63, 0.2), (126, 0.4), (252, 0.4))) + ", 0)"},
     "t % 20 = 0",
 )
-column_query("mom_sign_composite", {"score": mom.sign_composite()}, {"score": f"abs(sign({short(63)}) + sign({short(126)}) + sign({short(252)})) / 3 * {BLEND}"}, "t % 20 = 0")
-column_query("mom_log", {"m": mom.log_momentum(126)}, {"m": f"ln({lag(21)} / {lag(146)})"}, "t % 20 = 0")
-column_query("mom_log_volnorm", {"m": mom.volnorm_log_momentum()}, {"m": f"ln({lag(21)} / {lag(146)}) / nullif(stddev_pop(lret) {fr(-145, -21)} * sqrt(126), 0)"}, "t % 21 = 0")
-column_query("mom_log_accel", {"m": mom.acceleration()}, {"m": f"ln({lag(21)} / {lag(146)}) + 0.5 * (ln({lag(21)} / {lag(84)}) - ln({lag(84)} / {lag(146)}))"}, "t % 20 = 0")
-column_query("mom_log_ewma", {"m": mom.ewma_log_momentum()}, {"m": f"sum(lret * exp(ln(2) / 63 * (t - 2000))) {fr(-145, -21)} / sum(CASE WHEN lret IS NOT NULL THEN exp(ln(2) / 63 * (t - 2000)) END) {fr(-145, -21)}"}, "t % 63 = 0 AND t > 200")
-column_query("mom_weeks", {"flat": mom.weeks(), "tilted": mom.weeks(True)}, {k: " + ".join(f"{a} * (close / {lag(lb)} - 1)" for a, lb in zip(w, (5, 10, 20, 40), strict=True)) for k, w in (("flat", (0.25,) * 4), ("tilted", (0.4, 0.3, 0.2, 0.1)))}, "t % 20 = 0")
-column_query("mom_rolling_cagr", {f"y{y}": mom.rolling_cagr(y) for y in (1, 3, 5)}, {f"y{y}": f"pow(close / {lag(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5)}, "t % 40 = 0")
-column_query("mom_dual", {"absolute": mom.no_skip(252)}, {"absolute": f"close / {lag(252)} - 1"}, "t % 20 = 0")
-column_query("mom_pct_change", {"pct": F.round(mom.no_skip(10) * 100, 2)}, {"pct": f"round((close / {lag(10)} - 1) * 100, 2)"}, "t % 20 = 0")
+column_query("mom_sign_composite", lambda: {"score": mom.sign_composite()}, {"score": f"abs(sign({short(63)}) + sign({short(126)}) + sign({short(252)})) / 3 * {BLEND}"}, "t % 20 = 0")
+column_query("mom_log", lambda: {"m": mom.log_momentum(126)}, {"m": f"ln({lag(21)} / {lag(146)})"}, "t % 20 = 0")
+column_query("mom_log_volnorm", lambda: {"m": mom.volnorm_log_momentum()}, {"m": f"ln({lag(21)} / {lag(146)}) / nullif(stddev_pop(lret) {fr(-145, -21)} * sqrt(126), 0)"}, "t % 21 = 0")
+column_query("mom_log_accel", lambda: {"m": mom.acceleration()}, {"m": f"ln({lag(21)} / {lag(146)}) + 0.5 * (ln({lag(21)} / {lag(84)}) - ln({lag(84)} / {lag(146)}))"}, "t % 20 = 0")
+column_query("mom_log_ewma", lambda: {"m": mom.ewma_log_momentum()}, {"m": f"sum(lret * exp(ln(2) / 63 * (t - 2000))) {fr(-145, -21)} / sum(CASE WHEN lret IS NOT NULL THEN exp(ln(2) / 63 * (t - 2000)) END) {fr(-145, -21)}"}, "t % 63 = 0 AND t > 200")
+column_query("mom_weeks", lambda: {"flat": mom.weeks(), "tilted": mom.weeks(True)}, {k: " + ".join(f"{a} * (close / {lag(lb)} - 1)" for a, lb in zip(w, (5, 10, 20, 40), strict=True)) for k, w in (("flat", (0.25,) * 4), ("tilted", (0.4, 0.3, 0.2, 0.1)))}, "t % 20 = 0")
+column_query("mom_rolling_cagr", lambda: {f"y{y}": mom.rolling_cagr(y) for y in (1, 3, 5)}, {f"y{y}": f"pow(close / {lag(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5)}, "t % 40 = 0")
+column_query("mom_dual", lambda: {"absolute": mom.no_skip(252)}, {"absolute": f"close / {lag(252)} - 1"}, "t % 20 = 0")
+column_query("mom_pct_change", lambda: {"pct": F.round(mom.no_skip(10) * 100, 2)}, {"pct": f"round((close / {lag(10)} - 1) * 100, 2)"}, "t % 20 = 0")
 
 
 @query("SELECT ticker, t, round(list_sum(list_sort(l)[k + 1:n - k]), 6) AS m FROM (SELECT ticker, t, l, len(l) AS n, greatest(CAST(floor(len(l) * 0.05) AS INTEGER), 1) AS k FROM (SELECT ticker, t, list(lret) FILTER (lret IS NOT NULL) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 145 PRECEDING AND 21 PRECEDING) AS l FROM rets) WHERE t % 63 = 0 AND t > 150)")
@@ -131,7 +131,7 @@ YEAR = fr(-251, 0)
 R2 = f"(CASE WHEN regr_syy(ln(close), t) {YEAR} > 0 THEN regr_r2(ln(close), t) {YEAR} ELSE 0 END)"
 UP = f"avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) {YEAR}"
 NEG, CLIP = "CASE WHEN ret < 0 THEN ret END", "CASE WHEN ret IS NULL THEN 0 ELSE least(ret, 0) END"
-column_query("sig_trend_quality", {"r2": signals.trend_r2(), "fip": signals.share_up(), "smooth": signals.smoothness()}, {"r2": R2, "fip": UP, "smooth": f"sqrt({R2} * {UP})"})
+column_query("sig_trend_quality", lambda: {"r2": signals.trend_r2(), "fip": signals.share_up(), "smooth": signals.smoothness()}, {"r2": R2, "fip": UP, "smooth": f"sqrt({R2} * {UP})"})
 DNV = {
     "dnv_hist_neg": f"coalesce(stddev_pop({NEG}) OVER w * {ROOT}, 1e-4)",
     "dnv_252_neg": f"greatest(coalesce(stddev_pop({NEG}) {YEAR} * {ROOT}, 1e-4), 1e-4)",
@@ -144,21 +144,21 @@ DNV = {
     "dnv_neg_ddof1": f"stddev_samp({NEG}) {YEAR} * {ROOT}",
     "dnv_monthly_sq": f"sqrt(avg(({CLIP}) * ({CLIP})) {fr(-11, 0)})",
 }
-column_query("sig_downside_vols", {k: (lambda k=k: signals.downside(k)) for k in signals.DOWNSIDE}, DNV)
-column_query("sig_total_vol", {"vol": signals.total_vol()}, {"vol": f"greatest(coalesce(stddev_pop(ret) {fr(-125, 0)} * {ROOT}, 1e-4), 1e-4)"})
-column_query("sig_trend_slope", {"slope": signals.trend_t()[0], "tstat": signals.trend_t()[1]}, {"slope": f"regr_slope(ln(close), t) {YEAR}", "tstat": f"CASE WHEN regr_count(ln(close), t) {YEAR} > 2 THEN regr_slope(ln(close), t) {YEAR} / nullif(sqrt(greatest(regr_syy(ln(close), t) {YEAR} - pow(regr_sxy(ln(close), t) {YEAR}, 2) / regr_sxx(ln(close), t) {YEAR}, 0) / (regr_count(ln(close), t) {YEAR} - 2)) / sqrt(regr_sxx(ln(close), t) {YEAR}), 0) END"})
-column_query("sig_consistency", {"ok": signals.consistent()}, {"ok": "/*raw*/CASE WHEN lag(close, 231) OVER w IS NULL THEN true ELSE " + " + ".join(f"(CASE WHEN {lag(21 * k)} > {lag(21 * k + 21)} THEN 1 ELSE 0 END)" for k in range(11)) + " >= 8 END"})
+column_query("sig_downside_vols", lambda: {k: (lambda k=k: signals.downside(k)) for k in signals.DOWNSIDE}, DNV)
+column_query("sig_total_vol", lambda: {"vol": signals.total_vol()}, {"vol": f"greatest(coalesce(stddev_pop(ret) {fr(-125, 0)} * {ROOT}, 1e-4), 1e-4)"})
+column_query("sig_trend_slope", lambda: {"slope": signals.trend_t()[0], "tstat": signals.trend_t()[1]}, {"slope": f"regr_slope(ln(close), t) {YEAR}", "tstat": f"CASE WHEN regr_count(ln(close), t) {YEAR} > 2 THEN regr_slope(ln(close), t) {YEAR} / nullif(sqrt(greatest(regr_syy(ln(close), t) {YEAR} - pow(regr_sxy(ln(close), t) {YEAR}, 2) / regr_sxx(ln(close), t) {YEAR}, 0) / (regr_count(ln(close), t) {YEAR} - 2)) / sqrt(regr_sxx(ln(close), t) {YEAR}), 0) END"})
+column_query("sig_consistency", lambda: {"ok": signals.consistent()}, {"ok": "/*raw*/CASE WHEN lag(close, 231) OVER w IS NULL THEN true ELSE " + " + ".join(f"(CASE WHEN {lag(21 * k)} > {lag(21 * k + 21)} THEN 1 ELSE 0 END)" for k in range(11)) + " >= 8 END"})
 HIGH = f"(1 - close / max(close) {YEAR})"
-column_query("sig_high_distance", {"below": signals.below_high(), "factor": signals.level_factor(signals.below_high())}, {"below": HIGH, "factor": f"CASE WHEN {HIGH} < 0.10 THEN 1.10 WHEN {HIGH} < 0.25 THEN 1.0 ELSE greatest(0.85, 1.0 - 0.5 * ({HIGH} - 0.25)) END"}, "t % 20 = 0")
+column_query("sig_high_distance", lambda: {"below": signals.below_high(), "factor": signals.level_factor(signals.below_high())}, {"below": HIGH, "factor": f"CASE WHEN {HIGH} < 0.10 THEN 1.10 WHEN {HIGH} < 0.25 THEN 1.0 ELSE greatest(0.85, 1.0 - 0.5 * ({HIGH} - 0.25)) END"}, "t % 20 = 0")
 VS = f"(regr_slope(ln(greatest(dvol, 1e-4)), t) {fr(-62, 0)} * 252)"
-column_query("sig_volume", {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": VS, "factor": f"least(greatest(1 + 0.15 * {VS}, 0.7), 1.3)", "adv60": f"avg(dvol) {fr(-59, 0)}"}, "t % 63 = 0", 4)
-column_query("sig_rolling_max", {"peak": F.max("close").over(mom.frame(-62, 0))}, {"peak": f"max(close) {fr(-62, 0)}"})
-column_query("sig_ma_cross", {"above": signals.ma_cross()}, {"above": f"/*raw*/CASE WHEN count(close) {fr(-199, 0)} = 200 THEN avg(close) {fr(-49, 0)} > avg(close) {fr(-199, 0)} END"})
-column_query("sig_below_mean", {"below": signals.below_own_mean()}, {"below": f"/*raw*/lag(close) OVER w < avg(close) {fr(-100, -1)}"})
-column_query("sig_vol_state", {"state": signals.vol_state(60, 30.0, 60.0)}, {"state": f"/*raw*/CASE WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 30 THEN 'low' WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 60 THEN 'mid' WHEN stddev_pop(ret) {fr(-59, 0)} IS NOT NULL THEN 'high' END"})
-column_query("sig_zscore", {"z": signals.zscore("volume")}, {"z": f"coalesce(CASE WHEN count(volume) {YEAR} >= 5 THEN (volume - avg(volume) {YEAR}) / nullif(stddev_pop(volume) {YEAR}, 0) END, 0)"})
-column_query("sig_rolling_sums", {"s21": signals.full_sum("volume", 21), "s60": signals.full_sum("volume", 60), "vlog": F.ln(F.col("volume") / F.avg("volume").over(mom.frame(-59, 0)))}, {"s21": f"CASE WHEN count(volume) {fr(-20, 0)} = 21 THEN sum(volume) {fr(-20, 0)} END", "s60": f"CASE WHEN count(volume) {fr(-59, 0)} = 60 THEN sum(volume) {fr(-59, 0)} END", "vlog": f"ln(volume / avg(volume) {fr(-59, 0)})"}, "t % 20 = 0")
-column_query("sig_realised_vol", {"vol": F.coalesce(F.stddev_samp("lret").over(mom.frame(-89, 0)) * 252**0.5, F.lit(0.30))}, {"vol": f"coalesce(stddev_samp(lret) {fr(-89, 0)} * {ROOT}, 0.30)"})
+column_query("sig_volume", lambda: {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": VS, "factor": f"least(greatest(1 + 0.15 * {VS}, 0.7), 1.3)", "adv60": f"avg(dvol) {fr(-59, 0)}"}, "t % 63 = 0", 4)
+column_query("sig_rolling_max", lambda: {"peak": F.max("close").over(mom.frame(-62, 0))}, {"peak": f"max(close) {fr(-62, 0)}"})
+column_query("sig_ma_cross", lambda: {"above": signals.ma_cross()}, {"above": f"/*raw*/CASE WHEN count(close) {fr(-199, 0)} = 200 THEN avg(close) {fr(-49, 0)} > avg(close) {fr(-199, 0)} END"})
+column_query("sig_below_mean", lambda: {"below": signals.below_own_mean()}, {"below": f"/*raw*/lag(close) OVER w < avg(close) {fr(-100, -1)}"})
+column_query("sig_vol_state", lambda: {"state": signals.vol_state(60, 30.0, 60.0)}, {"state": f"/*raw*/CASE WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 30 THEN 'low' WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 60 THEN 'mid' WHEN stddev_pop(ret) {fr(-59, 0)} IS NOT NULL THEN 'high' END"})
+column_query("sig_zscore", lambda: {"z": signals.zscore("volume")}, {"z": f"coalesce(CASE WHEN count(volume) {YEAR} >= 5 THEN (volume - avg(volume) {YEAR}) / nullif(stddev_pop(volume) {YEAR}, 0) END, 0)"})
+column_query("sig_rolling_sums", lambda: {"s21": signals.full_sum("volume", 21), "s60": signals.full_sum("volume", 60), "vlog": F.ln(F.col("volume") / F.avg("volume").over(mom.frame(-59, 0)))}, {"s21": f"CASE WHEN count(volume) {fr(-20, 0)} = 21 THEN sum(volume) {fr(-20, 0)} END", "s60": f"CASE WHEN count(volume) {fr(-59, 0)} = 60 THEN sum(volume) {fr(-59, 0)} END", "vlog": f"ln(volume / avg(volume) {fr(-59, 0)})"}, "t % 20 = 0")
+column_query("sig_realised_vol", lambda: {"vol": F.coalesce(F.stddev_samp("lret").over(mom.frame(-89, 0)) * 252**0.5, F.lit(0.30))}, {"vol": f"coalesce(stddev_samp(lret) {fr(-89, 0)} * {ROOT}, 0.30)"})
 
 
 @query("+x AS (SELECT *, ln(volume) AS lv, abs(ret) / dvol AS amihud FROM rets), c AS (SELECT date, abs(lret) AS a, amihud, corr(lret, lv) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS vp, t FROM x) SELECT date, round(avg(a), 6) AS agg_abs_ret, round(ln(1 + 1e6 * median(amihud)), 6) AS agg_amihud_log, round(avg(vp), 6) AS agg_vp_corr FROM c WHERE t > 25 GROUP BY date HAVING count(*) > 3")
@@ -217,7 +217,7 @@ def prep_split_adjust(spark, sf_dir):
 
 @query("+r AS (SELECT ticker, t, close / lag(close) OVER (PARTITION BY ticker ORDER BY t) AS raw FROM panel), s AS (SELECT r.ticker, r.t, r.raw, f.f, row_number() OVER (PARTITION BY r.ticker, r.t ORDER BY abs(f.f - r.raw), f.f) AS rn FROM r CROSS JOIN (SELECT unnest([1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 100.0]) AS f) f WHERE raw > 1.4) SELECT ticker, t, round(CASE WHEN abs(f - raw) <= 0.2 * f THEN f ELSE raw END, 6) AS factor FROM s WHERE rn = 1")
 def prep_infer_factor(spark, sf_dir):
-    raw = panel(spark, sf_dir).withColumn("raw", F.col("close") / F.lag("close").over(BY_TICKER)).where("raw > 1.4")
+    raw = panel(spark, sf_dir).withColumn("raw", F.col("close") / F.lag("close").over(by_ticker())).where("raw > 1.4")
     return raw.select("ticker", "t", r6(prep.snap_factor(F.col("raw"))).alias("factor"))
 
 
@@ -316,7 +316,7 @@ def risk_rolling_year(spark, sf_dir):
 
 @query("+b AS (SELECT ticker, lead(close, 21) OVER (PARTITION BY ticker ORDER BY t) / close - 1 AS r, t FROM panel), p AS (SELECT ticker, quantile_cont(r, 0.05) AS v95, quantile_cont(r, 0.01) AS v99 FROM b WHERE t % 21 = 0 AND r IS NOT NULL GROUP BY ticker) SELECT b.ticker, round(max(v95), 6) AS var95, round(max(v99), 6) AS var99, round(avg(CASE WHEN r <= v95 THEN r END), 6) AS cvar95, round(avg(CASE WHEN r < 0 THEN 1.0 ELSE 0.0 END), 6) AS loss_share, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS gain_share FROM b JOIN p ON b.ticker = p.ticker WHERE t % 21 = 0 AND r IS NOT NULL GROUP BY b.ticker")
 def risk_monthly_var(spark, sf_dir):
-    b = panel(spark, sf_dir).withColumn("r", F.lead("close", 21).over(BY_TICKER) / F.col("close") - 1).where("t % 21 = 0")
+    b = panel(spark, sf_dir).withColumn("r", F.lead("close", 21).over(by_ticker()) / F.col("close") - 1).where("t % 21 = 0")
     return risk.tail_risk(b, ["ticker"], "r").select("ticker", *[r6(c) for c in ("var95", "var99", "cvar95", "loss_share", "gain_share")])
 
 
@@ -476,7 +476,7 @@ def sim_switch_equity(spark, sf_dir):
 
 @query(SWITCH + " SELECT ticker, CAST(sum(CASE WHEN signal <> p THEN 1 ELSE 0 END) AS BIGINT) AS switches, CAST(sum(CASE WHEN signal = 'CASH' AND p = 'MOMENTUM' THEN 1 ELSE 0 END) AS BIGINT) AS sells FROM (SELECT ticker, signal, lag(signal) OVER (PARTITION BY ticker ORDER BY t) AS p FROM s) GROUP BY ticker")
 def sim_switch_counts(spark, sf_dir):
-    rows = switched(spark, sf_dir).withColumn("p", F.lag("signal").over(BY_TICKER))
+    rows = switched(spark, sf_dir).withColumn("p", F.lag("signal").over(by_ticker()))
     return rows.groupBy("ticker").agg(F.sum(F.when(F.col("signal") != F.col("p"), 1).otherwise(0)).alias("switches"), F.sum(F.when((F.col("signal") == "CASH") & (F.col("p") == "MOMENTUM"), 1).otherwise(0)).alias("sells"))
 
 

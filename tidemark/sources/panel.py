@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("t")
+def by_ticker() -> WindowSpec:
+    """Rows of a ticker in order of days."""
+    return Window.partitionBy("ticker").orderBy("t")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
