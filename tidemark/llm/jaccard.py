@@ -1,9 +1,9 @@
 """Jaccard self-join of documents on word n-grams, by rare-first prefix filtering.
 
 1. One pass counts shingles into a sketch of fixed size, over all documents, and
-   gives each document its set's size, a 128-bit fingerprint and its counts in
-   SLICES ranges of the hash space. Documents with equal sets are one class,
-   named by its least id.
+   gives each document its set's size, a 128-bit fingerprint and the parities of
+   its counts in slices of the hash space, about one to two slices a shingle.
+   Documents with equal sets are one class, named by its least id.
 2. A second pass orders each set rare first, by (sketch count, hash): any order
    that all sets share is exact, and the sketch only decides how rare the
    prefix's shingles are. The first n - ceil(t n) + 1 shingles are emitted; a
@@ -13,13 +13,15 @@
    components. The lists are then joined with themselves for
    pairs of classes of different components only, under the length filter and
    the positional filter of a first common shingle; each pair is kept once and
-   must pass the suffix filter (the slices' least possible distance). What is
-   left is verified once by the sets' intersection. A group of near copies is
+   must pass the suffix filter (each slice of different parity holds at least one
+   shingle that the two do not share). What is left is verified once by the
+   sets' intersection. A group of near copies is
    thus joined by its leader and neighbours, not by all its pairs, and no link
    between components is lost.
 
 Verified links pass through components(). Sets are recounted from the texts
-for the documents of candidate pairs only, found by a Bloom filter of fixed size.
+for the documents of candidate pairs only, found by a Bloom filter of fixed size
+(ids that pass it by chance are dropped in the join, which costs disk, not results).
 
 Edge cases: a null text or one without words has an empty set and links with
 nothing; with fewer words than n the whole sequence is one shingle; rows of one
@@ -41,8 +43,10 @@ from pyspark.sql import Window
 from tidemark.llm.common import Workspace, components, mix64, shingle_sets
 
 SKETCH_BITS, SKETCH_ROW = 22, 1 << 16
-SLICES = 16
-BLOOM_BITS = 1 << 22
+MIN_SLICES, MAX_SLICES = 64, 1 << 15
+BLOOM_BITS = 1 << 25
+#: Fingerprints that a task remembers, so as to emit copies once; it forgets them all when it has so many.
+MAX_SEEN = 500_000
 
 _SUM_A, _SUM_B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,6 +61,13 @@ def _fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(np.array(a, np.uint64).view(np.int64)), int(np.array(b, np.uint64).view(np.int64))
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    """Parities of a set's counts in as many slices as the next power of two, 64 to a long."""
+    m = min(max(1 << max(len(own) - 1, 0).bit_length(), MIN_SLICES), MAX_SLICES)
+    odd = np.bincount((own & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _summaries(docs: DataFrame, n: int) -> DataFrame:
     """Rows of documents (doc_id, size, f1, f2, slices) and, with `counts`, rows of each task's sketch."""
 
@@ -71,20 +82,21 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
                 a, b = _fingerprint(own)
                 f1.append(a)
                 f2.append(b)
-                slices.append(np.bincount((own & np.uint64(SLICES - 1)).astype(np.int64), minlength=SLICES).astype(np.int32))
+                slices.append(_parities(own))
                 np.add.at(sketch, (own >> shift).astype(np.int64), 1)
             k = len(sizes)
-            flat = pa.array(np.concatenate(slices) if slices else np.zeros(0, np.int32))
+            flat = pa.array(np.concatenate(slices) if slices else np.zeros(0, np.int64))
+            ends = pa.array(np.cumsum([0] + [len(x) for x in slices]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SLICES), flat), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names
             )
         rows = [i for i in range(0, 1 << SKETCH_BITS, SKETCH_ROW) if sketch[i : i + SKETCH_ROW].any()]
         r = len(rows)
         if r:
             packed = pa.array([np.minimum(sketch[i : i + SKETCH_ROW], 255).astype(np.uint8).tobytes() for i in rows], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.nulls(r, pa.int64()), *[pa.nulls(r, pa.int64())] * 3, pa.nulls(r, pa.list_(pa.int32())), pa.array([i // SKETCH_ROW for i in rows], pa.int32()), packed], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(r, pa.int64()), *[pa.nulls(r, pa.int64())] * 3, pa.nulls(r, pa.list_(pa.int64())), pa.array([i // SKETCH_ROW for i in rows], pa.int32()), packed], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, size long, f1 long, f2 long, slices array<int>, block int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, size long, f1 long, f2 long, slices array<long>, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -106,65 +118,68 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """(token, f1, f2, size, place) of each document's prefix."""
+    """(token, f1, spot) of each document's prefix; spot holds the set's size above 2**32 and the token's place below.
+
+    f1 alone stands for the class here: should two classes ever share it, both are candidates and verification tells them apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         shift = np.uint64(64 - SKETCH_BITS)
-        names = ["token", "f1", "f2", "size", "place"]
-        for batch in batches:
-            seen, cols, held = set(), [[] for _ in names], 0
+        seen: set[int] = set()
+        cols: list[list[np.ndarray]] = [[], [], []]
+        held = 0
 
-            def flush() -> pa.RecordBatch:
-                made = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
-                for c in cols:
-                    c.clear()
-                return pa.RecordBatch.from_arrays([pa.array(m[: len(made[0])], t) for m, t in zip(made, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=names)
+        def flush() -> pa.RecordBatch:
+            made = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in cols]
+            for c in cols:
+                c.clear()
+            return pa.RecordBatch.from_arrays(made, names=["token", "f1", "spot"])
 
+        for batch in batches:
             for own in shingle_sets(batch.column("text").to_pylist(), n):
                 size = len(own)
                 if not size:
                     continue
-                a, b = _fingerprint(own)
-                if (a, b) in seen:  # copies in a batch emit once
+                name = _fingerprint(own)
+                if name in seen:  # copies that a task meets emit once
                     continue
-                seen.add((a, b))
+                if len(seen) >= MAX_SEEN:
+                    seen.clear()
+                seen.add(name)
                 keep = size - -(-percent * size // 100) + 1
                 rank = counts[(own >> shift).astype(np.int64)]
                 first = np.lexsort((own, rank))[:keep]
-                k = len(first)
-                for c, v in zip(cols, (_signed(own[first]), np.full(k, a), np.full(k, b), np.full(k, size, np.int32), np.arange(k, dtype=np.int32)), strict=True):
+                for c, v in zip(cols, (_signed(own[first]), np.full(keep, name[0]), (size << 32) + np.arange(keep, dtype=np.int64)), strict=True):
                     c.append(v)
-                held += k
+                held += keep
                 if held > 200_000:
                     yield flush()
                     held = 0
-            yield flush()
+        yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, f1 long, f2 long, size int, place int")
+    return docs.select("text").mapInArrow(run, "token long, f1 long, spot long")
 
 
-def _bloom_slot(a: Column, b: Column) -> Column:
-    return F.pmod(F.xxhash64(a, b), F.lit(BLOOM_BITS))
+def _bloom_slot(node: Column) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(BLOOM_BITS))
 
 
-def _bloom(spark, wanted: DataFrame):
-    """A bit for each hashed fingerprint, BLOOM_BITS in all."""
-    slot = _bloom_slot(F.col("f1"), F.col("f2"))
-    words = wanted.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+def _bloom(nodes: DataFrame):
+    """A bit for each hashed id of `nodes`, BLOOM_BITS in all whatever their number, gathered as blocks of 64 longs."""
+    slot = _bloom_slot(F.col("node"))
+    words = nodes.select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    blocks = words.groupBy(F.shiftright("w", 6).alias("block")).agg(F.collect_list((F.col("w") % 64).cast("int")).alias("at"), F.collect_list("b").alias("bits")).collect()
     bits = np.zeros(BLOOM_BITS // 64, np.int64)
-    for r in words:
-        bits[r["w"]] = r["b"]
-    return spark.sparkContext.broadcast(bits)
+    for r in blocks:
+        bits[r["block"] * 64 + np.array(r["at"], np.int64)] = r["bits"]
+    return nodes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(f1, f2, shingles) of every document's set that may be wanted, once per task batch."""
-    spark = docs.sparkSession
-    # the fingerprint is known after shingling only; ids of wanted classes are filtered before it
-    ids = wanted.select(F.col("node").alias("f1"), F.lit(0).cast("long").alias("f2"))
-    bits = _bloom(spark, ids)
-    hashed = docs.select("doc_id", "text", _bloom_slot(F.col("doc_id"), F.lit(0).cast("long")).alias("slot"))
+def _sets(docs: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
+    """(node, f1, shingles): the sets of documents whose id passes the Bloom filter of `nodes`."""
+    bits = _bloom(nodes)
+    hashed = docs.where("doc_id is not null").select("doc_id", "text", _bloom_slot(F.col("doc_id")).alias("slot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
@@ -174,17 +189,12 @@ def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
             if not len(hit):
                 continue
             some = batch.take(pa.array(hit))
-            f1, f2, sets = [], [], []
-            for own in shingle_sets(some.column("text").to_pylist(), n):
-                a, b = _fingerprint(own)
-                f1.append(a)
-                f2.append(b)
-                sets.append(_signed(own))
-            ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "f1", "f2", "shingles"])
+            sets = list(shingle_sets(some.column("text").to_pylist(), n))
+            ends = np.cumsum([0] + [len(x) for x in sets]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(sets))))
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([_fingerprint(x)[0] for x in sets], pa.int64()), shingles], names=["node", "f1", "shingles"])
 
-    found = hashed.where("doc_id is not null").mapInArrow(run, "doc_id long, f1 long, f2 long, shingles array<long>")
-    return found.join(wanted.select(F.col("node").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("node"), "shingles").dropDuplicates(["node"])
+    return hashed.mapInArrow(run, "node long, f1 long, shingles array<long>")
 
 
 def _enough(overlap: Column, size_a: Column, size_b: Column, percent: int) -> Column:
@@ -197,21 +207,30 @@ def _first_place(size_a: Column, place_a: Column, size_b: Column, place_b: Colum
     return _enough(F.least(size_a - place_a, size_b - place_b), size_a, size_b, percent)
 
 
+def _folded(slices: Column, length: Column) -> Column:
+    """Parities in half as many slices, where there are more than `length` longs."""
+    half = (F.size(slices) / 2).cast("int")
+    return F.when(F.size(slices) > length, F.zip_with(F.slice(slices, 1, half), F.slice(slices, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(slices)
+
+
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The suffix filter: what two sets can share at most, slice by slice."""
-    a = nodes.select(F.col("node").alias("a"), F.col("slices").alias("sa"), F.col("size").alias("na"))
-    b = nodes.select(F.col("node").alias("b"), F.col("slices").alias("sb"), F.col("size").alias("nb"))
+    """The suffix filter: (a, fa, b, fb) of the pairs whose slices allow enough common shingles. Sets too unequal to be brought to one number of slices pass."""
+    a = nodes.select(F.col("node").alias("a"), F.col("f1").alias("fa"), F.col("slices").alias("sa"), F.col("size").alias("na"))
+    b = nodes.select(F.col("node").alias("b"), F.col("f1").alias("fb"), F.col("slices").alias("sb"), F.col("size").alias("nb"))
     joined = pairs.join(a, "a").join(b, "b")
-    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return joined.where(_enough(most, F.col("na"), F.col("nb"), percent)).select("a", "b")
+    differ = F.zip_with(_folded(F.col("sa"), F.size("sb")), _folded(F.col("sb"), F.size("sa")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    least = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+    most = F.floor((F.col("na") + F.col("nb") - least) / 2)
+    return joined.where(F.coalesce(_enough(most, F.col("na"), F.col("nb"), percent), F.lit(True))).select("a", "fa", "b", "fb")
 
 
-def _verified(work: Workspace, name: str, docs: DataFrame, n: int, percent: int, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _verified(work: Workspace, name: str, docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = nodes.select("node", "f1", "f2").join(ends, "node", "left_semi")
-    sets = work.keep(_sets(docs, n, wanted), f"{name}-sets")
-    joined = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    sets = work.keep(_sets(docs, n, ends), f"{name}-sets").dropDuplicates(["node", "f1"])
+    x = sets.select(F.col("node").alias("a"), F.col("f1").alias("fa"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("f1").alias("fb"), F.col("shingles").alias("y"))
+    joined = pairs.join(y, ["b", "fb"]).join(x, ["a", "fa"])
     overlap = F.size(F.array_intersect("x", "y"))
     links = work.keep(joined.where(_enough(overlap, F.size("x"), F.size("y"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
     work.drop(f"{name}-sets")
@@ -233,26 +252,26 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     by_token = Window.partitionBy("token")
     shared = tokens.withColumn("least", F.min("f1").over(by_token)).withColumn("most", F.max("f1").over(by_token)).where("least <> most").drop("least", "most")
     shared = work.keep(shared, "shared")
-    postings = shared.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("token", "node", "size", "place").distinct()
-    postings = work.keep(postings, "postings")
+    # one shuffle by class: its id, copies of its prefix dropped, the part of its shingles that others share
+    postings = shared.join(nodes.select("f1", "node"), "f1").dropDuplicates(["f1", "node", "token"])
+    postings = postings.select("f1", "token", "node", F.shiftright("spot", 32).cast("int").alias("size"), F.col("spot").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"))
+    share = F.count("*").over(Window.partitionBy("f1", "node")) / F.col("size")
+    postings = work.keep(postings.select("token", "node", "size", "place", share.cast("float").alias("share")), "postings")
     work.drop("shared")
 
     # in each list neighbours by size, and the member most of whose shingles are shared with the others
-    weight = postings.groupBy("node").agg((F.count("*") / F.first("size")).alias("share"))
-    listed = postings.join(weight, "node")
     in_order = Window.partitionBy("token").orderBy("size", "node")
     before = F.lag(F.struct("node", "size", "place")).over(in_order)
     leader = F.max(F.struct("share", "node", "size", "place")).over(by_token)
     partners = F.array(before, F.struct(leader["node"].alias("node"), leader["size"].alias("size"), leader["place"].alias("place")))
-    near = listed.withColumn("partners", partners).select("node", "size", "place", F.explode("partners").alias("p")).where(F.col("p").isNotNull() & (F.col("p.node") != F.col("node")))
+    near = postings.withColumn("partners", partners).select("node", "size", "place", F.explode("partners").alias("p")).where(F.col("p").isNotNull() & (F.col("p.node") != F.col("node")))
     near = near.where(_first_place(F.col("size"), F.col("place"), F.col("p.size"), F.col("p.place"), percent))
     near = work.keep(near.select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).distinct(), "near")
-    near = work.keep(_possible(near, nodes, percent), "near-possible")
-    links = _verified(work, "near", docs, n, percent, near, nodes)
+    links = _verified(work, "near", docs, n, percent, work.keep(_possible(near, nodes, percent), "near-possible"))
     groups = components(work, links, "near-groups")
 
     # the rest: pairs of classes that no link joins yet, in lists that hold several components
-    owned = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("groups")
+    owned = postings.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = owned.withColumn("least", F.min("component").over(by_token)).withColumn("most", F.max("component").over(by_token)).where("least <> most").select("token", "node", "size", "place", "component")
     mixed = work.keep(mixed, "mixed")
     a, b = mixed.alias("a"), mixed.alias("b")
@@ -265,8 +284,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     )
     once = joined.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("common"))
     rest = work.keep(once.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(near, ["a", "b"], "left_anti"), "rest")
-    rest = work.keep(_possible(rest, nodes, percent), "rest-possible")
-    more = _verified(work, "rest", docs, n, percent, rest, nodes)
+    more = _verified(work, "rest", docs, n, percent, work.keep(_possible(rest, nodes, percent), "rest-possible"))
     # one id with several sets joins them
     own = full.join(nodes.select("f1", "f2", "node"), ["f1", "f2"]).select("doc_id", "node", "size")
     own = work.keep(own.distinct(), "own")
