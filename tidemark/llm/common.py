@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
+#: Arrow batches that go to Python hold so many bytes (and one row more) at most.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -40,6 +43,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def small_batches(frame: DataFrame) -> DataFrame:
+    """`frame` as it is; its session sends Arrow batches of BATCH_BYTES, unless it is set to less. Rows, not results, are dealt out by it."""
+    spark = frame.sparkSession
+    conf = spark.conf
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return frame
+
+
 class Workspace:
     """Tables written to the shared folder: they cut the lineage and outlive any executor."""
 

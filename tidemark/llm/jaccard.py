@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import Workspace, components, mix64, shingle_sets
+from tidemark.llm.common import Workspace, components, mix64, shingle_sets, small_batches
 
 SKETCH_BITS, SKETCH_ROW = 22, 1 << 16
 MIN_SLICES, MAX_SLICES = 64, 1 << 15
@@ -241,7 +241,7 @@ def similar_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     first = work.keep(_summaries(docs, n), "summaries")
     summaries = first.where("block is null").select("doc_id", "size", "f1", "f2", "slices")
     sketch = spark.sparkContext.broadcast(_sketch(first.where("block is not null").select("block", "counts")))

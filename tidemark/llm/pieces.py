@@ -30,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from tidemark.llm.common import small_batches
+
 MARK = "▁"
 #: Words and parts kept by a task at most, and the longest that enters a table.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 200_000
 LONG_WORD = 64
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _LEFT = (1 << 40) - 1
@@ -172,7 +174,7 @@ def _batches(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]
 
 def tokenize(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", digests_only: bool = False) -> DataFrame:
     """Per row: doc_id, n_tokens, ids (array<int>), decoded text; or, with digests_only, SHA-256 digests of the packed ids and of the decoded text in place of both."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = small_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     schema = source.select("doc_id").schema.add("n_tokens", "long")
     if digests_only:
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")

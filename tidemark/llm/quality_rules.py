@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, chunks, window_hashes, word_hashes, word_spans
+from tidemark.llm.common import Workspace, chunks, small_batches, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -87,22 +87,28 @@ def text_statistics(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns of docs plus STATS; the text itself is not carried on."""
-    keep = keep or []
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+def _counted(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` of docs as k0, k1 ... and STATS. The text goes to Python once, also where it is kept."""
+    columns = keep if text_col in keep else [*keep, text_col]  # the text goes to Python once, also where it is kept
+    texts = columns.index(text_col)
+    source = small_batches(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
     schema = source.select([f"k{i}" for i in range(len(keep))]).schema
     for name in STATS:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = text_statistics(batch.column("text").to_pylist())
+            stats = text_statistics(batch.column(texts).to_pylist())
             cols = [batch.column(i) for i in range(len(keep))] + [pa.array(stats[:, j]) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(len(keep))] + STATS)
 
-    out = source.mapInArrow(run, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *STATS)
+    return source.mapInArrow(run, schema)
+
+
+def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """`keep` columns of docs plus STATS; the text itself is carried on only where `keep` names it."""
+    keep = keep or []
+    return _counted(docs, text_col, keep).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *STATS)
 
 
 def base_failed() -> Column:
@@ -195,9 +201,11 @@ def keep_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         stats = stats.withColumn(name, F.expr(f"CASE WHEN n_words > 0 THEN {measure} ELSE 0 END"))
     limits = work.keep(fences(work.keep(sketches(stats, ["lang", "source"]), "sketch")), "fences")
     limits = limits.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *[F.col(name).alias(f"__{name}") for name in RULES])
-    counted = statistics(docs.withColumn("__text", F.col(text_col)), "__text", docs.columns).withColumn("__failed", base_failed())
-    joined = counted.join(limits, F.col(lang_col).eqNullSafe(F.col("__lang")) & F.col(source_col).eqNullSafe(F.col("__source")), "left")
+    names = docs.columns
+    counted = _counted(docs, text_col, names).withColumn("__failed", base_failed())
+    lang, source = (F.col(f"k{names.index(c)}") for c in (lang_col, source_col))
+    joined = counted.join(limits, lang.eqNullSafe(F.col("__lang")) & source.eqNullSafe(F.col("__source")), "left")
     good = ~F.col("__failed")
     for name, (measure, _) in RULES.items():
         good = good & ~F.coalesce(F.expr(f"CASE WHEN n_words > 0 THEN {measure} ELSE 0 END") > F.col(f"__{name}"), F.lit(False))
-    return joined.where(good).select(*docs.columns)
+    return joined.where(good).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])

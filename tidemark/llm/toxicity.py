@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, small_batches
 
 #: Labelled rows at most, those of least id hash; terms of the lexicon at most.
 MAX_ROWS, MAX_TERMS = 20_000, 400
@@ -37,9 +37,9 @@ CONTEXT = 6
 QUOTED, ADDRESSED = 0.4, 1.2
 WEAK = 2.0
 #: Words remembered by a task at most, with what they match.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 200_000
 #: Transitions of the automaton kept at most.
-MAX_STEPS = 300_000
+MAX_STEPS = 100_000
 #: Fixed word lists: reports of speech, address in the second person, in the corpus's four languages.
 REPORTS = frozenset("said says say wrote writes called calls quote quoted quotes word term phrase dit disait mot terme sagte sagt schrieb wort begriff dijo dice palabra".split())
 ADDRESS = frozenset("you your youre u tu toi vous votre du dich dir ihr usted ustedes eres".split())
@@ -153,8 +153,9 @@ class ToxicModel:
         got = self.known.get(word)
         if got is None:
             got = max((self.terms[t][d > 0] for t, d in self.lexicon.matches(fold(word))), default=0.0)
-            if len(self.known) < TABLE_WORDS:
-                self.known[word] = got
+            if len(self.known) >= TABLE_WORDS:
+                self.known.clear()
+            self.known[word] = got
         return got
 
     def evidence(self, text: str | None) -> tuple[float, float, float]:
@@ -208,6 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     """`labels`: the rows that may be learnt from. Word counts are aggregated on the executors; the lexicon, the terms' counts and a feature pair for each sampled row reach the driver."""
     work = Workspace(docs.sparkSession, "toxicity")
     rows = work.keep(_labelled(docs, labels, label_col, id_col, text_col), "sample")  # bounded by MAX_ROWS
+    small_batches(rows)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     draft = ToxicModel({w: (o, 1.0) for w, o in exact.items()})
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[str, list[str]] = {}
+        near: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             out, y_out = [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -239,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
                     if w not in near:
                         if len(near) >= TABLE_WORDS:
                             near.clear()
-                        near[w] = [t for t, d in draft.lexicon.matches(fold(w)) if d and fold(w) not in exact]
+                        near[w] = tuple(t for t, d in draft.lexicon.matches(fold(w)) if d and fold(w) not in exact)
                     seen.update(near[w])
                 out += seen
                 y_out += [y] * len(seen)
@@ -264,12 +266,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
 
 def scored(docs: DataFrame, model: ToxicModel, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
     """The columns `keep` of docs and the score of each row's text."""
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text"))
+    columns = keep if text_col in keep else [*keep, text_col]  # the text goes to Python once, also where it is kept
+    texts = columns.index(text_col)
+    source = small_batches(docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]))
     schema = source.select([f"k{i}" for i in range(len(keep))]).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = pa.array([model.score(t) for t in batch.column("text").to_pylist()], pa.float64())
+            score = pa.array([model.score(t) for t in batch.column(texts).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), score], names=schema.names)
 
     out = source.mapInArrow(run, schema)
