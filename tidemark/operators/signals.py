@@ -90,7 +90,8 @@ def volume_slope(n: int = 63) -> Column:
 
 
 def volume_factor(slope: Column) -> Column:
-    return F.least(F.greatest(1 + 0.15 * slope, F.lit(0.7)), F.lit(1.3))
+    """Between 0.7 and 1.3, NULL without a slope."""
+    return F.when(slope.isNotNull(), F.least(F.greatest(1 + 0.15 * slope, F.lit(0.7)), F.lit(1.3)))
 
 
 def ma_cross(fast: int = 50, slow: int = 200) -> Column:

@@ -37,20 +37,26 @@ def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
 
 
-def column_query(name: str, columns: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], where: str = "t % 63 = 0", digits: int = 6) -> None:
-    """A query of new columns at some rows of every ticker: the rows are chosen after the windows."""
+def column_query(name: str, columns: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], where: str = "t % 63 = 0", digits: int = 6, all_sql: dict[str, str] | None = None, all_digits: int | None = None) -> None:
+    """A query of new columns at some rows of every ticker, and one with _all in its name at every row, whose SQL may say more of first rows: the rows are chosen after the windows."""
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str, where: str = where, digits: int = digits) -> DataFrame:
         rows, made = with_returns(spark, sf_dir), columns()
         for c, e in made.items():
             rows = rows.withColumn(c, e() if callable(e) else e)
         return rows.where(where).select("ticker", "t", *[r6(c, digits) if dict(rows.dtypes)[c] == "double" else F.col(c) for c in made])
 
-    inner = ", ".join(f"{e} AS {c}" for c, e in sql.items())
-    out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in sql)
-    w = "WINDOW w AS (PARTITION BY ticker ORDER BY t)"
+    def text(sql: dict[str, str], digits: int) -> str:
+        inner = ", ".join(f"{e} AS {c}" for c, e in sql.items())
+        out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in sql)
+        w = "WINDOW w AS (PARTITION BY ticker ORDER BY t)"
+        return f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {inner} FROM rets {w})"
+
+    many = all_digits or digits
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {inner} FROM rets {w}) WHERE {where}"
+    ORACLE_SQL[name] = f"{text(sql, digits)} WHERE {where}"
+    QUERIES[f"{name}_all"] = lambda spark, sf_dir: run(spark, sf_dir, "true", many)
+    ORACLE_SQL[f"{name}_all"] = text(all_sql or sql, many)
 
 
 def lag(k: int) -> str:
@@ -97,6 +103,11 @@ def mom_log_trimmed(spark, sf_dir):
     return with_returns(spark, sf_dir).withColumn("m", mom.trimmed_log_momentum()).where("t % 63 = 0 AND t > 150").select("ticker", "t", r6("m"))
 
 
+@query("SELECT ticker, t, round(list_sum(list_sort(l)[k + 1:n - k]), 6) AS m FROM (SELECT ticker, t, l, len(l) AS n, greatest(CAST(floor(len(l) * 0.05) AS INTEGER), 1) AS k FROM (SELECT ticker, t, list(lret) FILTER (lret IS NOT NULL) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 145 PRECEDING AND 21 PRECEDING) AS l FROM rets))")
+def mom_log_trimmed_all(spark, sf_dir):
+    return with_returns(spark, sf_dir).withColumn("m", mom.trimmed_log_momentum()).select("ticker", "t", r6("m"))
+
+
 @query("SELECT date, round(sum(CASE WHEN m > 0 THEN 1 ELSE 0 END) / greatest(count(m), 1), 6) AS breadth FROM (SELECT date, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY t) - 1 AS m FROM panel) GROUP BY date")
 def mom_breadth(spark, sf_dir):
     return mom.breadth(panel(spark, sf_dir)).select("date", r6("breadth"))
@@ -120,6 +131,12 @@ def join_as_of_earnings(spark, sf_dir):
     return prep.as_of(panel(spark, sf_dir), facts, "ticker", "date", "yoy").where("t % 20 = 0").select("ticker", "date", r6("yoy"))
 
 
+@query(EPS + " SELECT p.ticker, p.date, round(y.yoy, 6) AS yoy FROM panel p ASOF LEFT JOIN (SELECT * FROM yoy WHERE yoy IS NOT NULL) y ON p.ticker = y.ticker AND p.date >= y.report_date")
+def join_as_of_earnings_all(spark, sf_dir):
+    facts = mom.yoy_growth(quarterly(spark, sf_dir)).select("ticker", F.col("report_date").alias("date"), "yoy")
+    return prep.as_of(panel(spark, sf_dir), facts, "ticker", "date", "yoy").select("ticker", "date", r6("yoy"))
+
+
 @query("+m AS (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS period, arg_max(close, date) AS close FROM panel GROUP BY 1, 2) SELECT ticker, period, round(lag(close, 1) OVER w / lag(close, 12) OVER w - 1, 6) AS mom FROM m WINDOW w AS (PARTITION BY ticker ORDER BY period)")
 def mom_monthly_12_1(spark, sf_dir):
     w = Window.partitionBy("ticker").orderBy("period")
@@ -150,8 +167,9 @@ column_query("sig_trend_slope", lambda: {"slope": signals.trend_t()[0], "tstat":
 column_query("sig_consistency", lambda: {"ok": signals.consistent()}, {"ok": "/*raw*/CASE WHEN lag(close, 231) OVER w IS NULL THEN true ELSE " + " + ".join(f"(CASE WHEN {lag(21 * k)} > {lag(21 * k + 21)} THEN 1 ELSE 0 END)" for k in range(11)) + " >= 8 END"})
 HIGH = f"(1 - close / max(close) {YEAR})"
 column_query("sig_high_distance", lambda: {"below": signals.below_high(), "factor": signals.level_factor(signals.below_high())}, {"below": HIGH, "factor": f"CASE WHEN {HIGH} < 0.10 THEN 1.10 WHEN {HIGH} < 0.25 THEN 1.0 ELSE greatest(0.85, 1.0 - 0.5 * ({HIGH} - 0.25)) END"}, "t % 20 = 0")
+TWO = f"regr_count(ln(greatest(dvol, 1e-4)), t) {fr(-62, 0)} > 1"
 VS = f"(regr_slope(ln(greatest(dvol, 1e-4)), t) {fr(-62, 0)} * 252)"
-column_query("sig_volume", lambda: {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": VS, "factor": f"least(greatest(1 + 0.15 * {VS}, 0.7), 1.3)", "adv60": f"avg(dvol) {fr(-59, 0)}"}, "t % 63 = 0", 4)
+column_query("sig_volume", lambda: {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": VS, "factor": f"least(greatest(1 + 0.15 * {VS}, 0.7), 1.3)", "adv60": f"avg(dvol) {fr(-59, 0)}"}, "t % 63 = 0", 4, {"slope": f"CASE WHEN {TWO} THEN {VS} END", "factor": f"CASE WHEN {TWO} THEN least(greatest(1 + 0.15 * {VS}, 0.7), 1.3) END", "adv60": f"avg(dvol) {fr(-59, 0)}"}, 7)
 column_query("sig_rolling_max", lambda: {"peak": F.max("close").over(mom.frame(-62, 0))}, {"peak": f"max(close) {fr(-62, 0)}"})
 column_query("sig_ma_cross", lambda: {"above": signals.ma_cross()}, {"above": f"/*raw*/CASE WHEN count(close) {fr(-199, 0)} = 200 THEN avg(close) {fr(-49, 0)} > avg(close) {fr(-199, 0)} END"})
 column_query("sig_below_mean", lambda: {"below": signals.below_own_mean()}, {"below": f"/*raw*/lag(close) OVER w < avg(close) {fr(-100, -1)}"})
@@ -215,6 +233,13 @@ def prep_split_adjust(spark, sf_dir):
     return prep.split_adjusted(p, actions).join(p.where("t % 20 = 0").select("ticker", "date"), ["ticker", "date"], "left_semi").select("ticker", "date", r6("adj_close"))
 
 
+@query("+a AS (SELECT ticker, date AS ex_date, 2.0 AS factor FROM panel WHERE t % 500 = 0) SELECT p.ticker, p.date, round(p.close / coalesce(exp((SELECT sum(ln(factor)) FROM a WHERE a.ticker = p.ticker AND a.ex_date > p.date)), 1), 6) AS adj_close FROM panel p")
+def prep_split_adjust_all(spark, sf_dir):
+    p = panel(spark, sf_dir)
+    actions = p.where("t % 500 = 0").select("ticker", F.col("date").alias("ex_date"), F.lit(2.0).alias("factor"))
+    return prep.split_adjusted(p, actions).select("ticker", "date", r6("adj_close"))
+
+
 @query("+r AS (SELECT ticker, t, close / lag(close) OVER (PARTITION BY ticker ORDER BY t) AS raw FROM panel), s AS (SELECT r.ticker, r.t, r.raw, f.f, row_number() OVER (PARTITION BY r.ticker, r.t ORDER BY abs(f.f - r.raw), f.f) AS rn FROM r CROSS JOIN (SELECT unnest([1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 10.0, 100.0]) AS f) f WHERE raw > 1.4) SELECT ticker, t, round(CASE WHEN abs(f - raw) <= 0.2 * f THEN f ELSE raw END, 6) AS factor FROM s WHERE rn = 1")
 def prep_infer_factor(spark, sf_dir):
     raw = panel(spark, sf_dir).withColumn("raw", F.col("close") / F.lag("close").over(by_ticker())).where("raw > 1.4")
@@ -226,6 +251,11 @@ def prep_jump_repair(spark, sf_dir):
     return prep.jump_ratios(panel(spark, sf_dir)).where("t % 20 = 0").select("ticker", "t", r6(F.ln("repaired")).alias("log_repaired"))
 
 
+@query("+j AS (SELECT ticker, t, close, CASE WHEN ret > 2 OR ret < -2.0 / 3 THEN ln(1 + ret) ELSE 0 END AS jump FROM rets) SELECT ticker, t, round(ln(repaired), 6) AS log_repaired FROM (SELECT ticker, t, close * exp(coalesce(sum(jump) OVER (PARTITION BY ticker ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS repaired FROM j)")
+def prep_jump_repair_all(spark, sf_dir):
+    return prep.jump_ratios(panel(spark, sf_dir)).select("ticker", "t", r6(F.ln("repaired")).alias("log_repaired"))
+
+
 @query("SELECT ticker, count(*) AS n, min(date) AS first, max(date) AS last, max(gap) AS max_gap, round(max(abs(ret)), 6) AS max_move FROM (SELECT ticker, date, ret, CAST(date - lag(date) OVER (PARTITION BY ticker ORDER BY t) AS BIGINT) AS gap FROM rets) GROUP BY ticker")
 def prep_coverage(spark, sf_dir):
     return prep.coverage(panel(spark, sf_dir)).select("ticker", "n", "first", "last", F.col("max_gap").cast("long"), r6("max_move"))
@@ -474,6 +504,11 @@ def sim_switch_equity(spark, sf_dir):
     return switched(spark, sf_dir).withColumn("e", F.ln(simulation.equity_under())).where("t % 63 = 0").select("ticker", "t", r6("e").alias("log_equity"))
 
 
+@query(SWITCH + ", e AS (SELECT ticker, t, CASE WHEN lag(signal) OVER w = 'MOMENTUM' THEN ln(close / lag(close) OVER w) ELSE 0 END AS g FROM s WINDOW w AS (PARTITION BY ticker ORDER BY t)) SELECT ticker, t, round(l, 6) AS log_equity FROM (SELECT ticker, t, ln(1000) + sum(g) OVER (PARTITION BY ticker ORDER BY t) AS l FROM e)")
+def sim_switch_equity_all(spark, sf_dir):
+    return switched(spark, sf_dir).withColumn("e", F.ln(simulation.equity_under())).select("ticker", "t", r6("e").alias("log_equity"))
+
+
 @query(SWITCH + " SELECT ticker, CAST(sum(CASE WHEN signal <> p THEN 1 ELSE 0 END) AS BIGINT) AS switches, CAST(sum(CASE WHEN signal = 'CASH' AND p = 'MOMENTUM' THEN 1 ELSE 0 END) AS BIGINT) AS sells FROM (SELECT ticker, signal, lag(signal) OVER (PARTITION BY ticker ORDER BY t) AS p FROM s) GROUP BY ticker")
 def sim_switch_counts(spark, sf_dir):
     rows = switched(spark, sf_dir).withColumn("p", F.lag("signal").over(by_ticker()))
@@ -710,6 +745,16 @@ def join_fund_overlap(spark, sf_dir):
     return c.select("a", "b", "common", r6(F.col("common") / F.least("na", "nb")).alias("share"))
 
 
+@query("!WITH h AS (SELECT DISTINCT l_suppkey AS fund, l_partkey AS symbol FROM lineitem), z AS (SELECT fund, count(*) AS n FROM h GROUP BY fund) SELECT a.fund AS a, b.fund AS b, count(*) AS common, round(count(*) * 1.0 / least(max(za.n), max(zb.n)), 6) AS share FROM h a JOIN h b ON a.symbol = b.symbol AND a.fund < b.fund JOIN z za ON za.fund = a.fund JOIN z zb ON zb.fund = b.fund GROUP BY 1, 2")
+def join_fund_overlap_all(spark, sf_dir):
+    h = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("fund"), F.col("l_partkey").alias("symbol")).distinct()
+    z = h.groupBy("fund").agg(F.count("*").alias("n"))
+    a, b = h.select(F.col("fund").alias("a"), "symbol"), h.select(F.col("fund").alias("b"), "symbol")
+    c = a.join(b, "symbol").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
+    c = c.join(z.select(F.col("fund").alias("a"), F.col("n").alias("na")), "a").join(z.select(F.col("fund").alias("b"), F.col("n").alias("nb")), "b")
+    return c.select("a", "b", "common", r6(F.col("common") / F.least("na", "nb")).alias("share"))
+
+
 @query("SELECT ticker, coalesce(min(CASE WHEN abs(close / 1500 - 1) <= 0.05 THEN date END), arg_min(date, abs(close - 1500))) AS entry FROM panel GROUP BY ticker")
 def join_entry_date(spark, sf_dir):
     near = F.min(F.when(F.abs(F.col("close") / 1500 - 1) <= 0.05, F.col("date")))
@@ -722,6 +767,12 @@ def join_left(spark, sf_dir):
     return read(spark, sf_dir, "customer").where("c_nationkey < 10").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
+@query("!SELECT c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 100000")
+def join_left_all(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_custkey", "o_orderkey")
+    return read(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
+
+
 @query("!SELECT coalesce(a.k, b.k) AS k, a.n AS n1, b.n AS n2 FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 5 GROUP BY 1) b ON a.k = b.k")
 def join_full_outer(spark, sf_dir):
     a = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n1"))
