@@ -2,8 +2,10 @@
 
 The lexicon holds words that mark toxic training documents, as a trie. A word of
 a text is matched by the Levenshtein automaton intersected with the trie, whose
-states are trie nodes with the edits spent (one edit at most, two for words of
-LONG letters, none for those of SHORT or fewer). A hit weighs the
+states are trie nodes with the edits spent: one at most for terms of SHORT
+letters or more, two for those of LONG, none for shorter ones. A word masked by
+signs ("stup!d", "id*ot", "$cum") is read beside its parts, with signs and
+digits folded to letters or spent as edits. A hit weighs the
 term's log odds, for exact and misspelled hits apart, so that a term whose
 neighbours are ordinary words weighs little when misspelled. The window around a
 hit scales it: quotation marks beside it, or a word that reports speech, lower
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,15 +47,29 @@ MAX_STEPS = 100_000
 REPORTS = frozenset("said says say wrote writes called calls quote quoted quotes word term phrase dit disait mot terme sagte sagt schrieb wort begriff dijo dice palabra".split())
 ADDRESS = frozenset("you your youre u tu toi vous votre du dich dir ihr usted ustedes eres".split())
 QUOTES = frozenset("\"'«»“”„‘’`")
-#: Digits and signs read as letters inside a word.
-FOLD = str.maketrans("013457", "oieast")
+#: Digits and signs read as letters inside a word; other signs there are spent as edits.
+FOLD = str.maketrans("0123456789!@$+|€", "oizeasgtbgiastie")
 _TOKEN = re.compile(r"\w+")
+#: A word with signs inside, or with a sign that reads as a letter at an end.
+_MASKED = re.compile(r"[@$€]?\w+(?:[!@$€+|*#%&?^~=.\-]{1,3}\w+)*[@$€+|]?")
+#: Longer runs without white space are read anew each time.
+CACHED_CHARS = 64
 
 
 def fold(word: str) -> str:
     return word if word.isalpha() else word.translate(FOLD)
 
 
+def masked(raw: str) -> list[str]:
+    """Words of a run without white space that have signs in them."""
+    return [] if raw.isalnum() else [w for w in _MASKED.findall(raw) if not _TOKEN.fullmatch(w)]
+
+
+def allowed(term: str) -> int:
+    """The edits that a term's misspellings may hold."""
+    return 2 if len(term) >= LONG else 1 if len(term) >= SHORT else 0
+
+
 class Lexicon:
     """A trie of terms, and the automaton of all words within some edits of one.
 
@@ -116,9 +133,17 @@ class Lexicon:
         return found
 
     def matches(self, word: str) -> list[tuple[str, int]]:
-        """Terms within the word's limit of edits, with their distances."""
+        """Terms within the limit of edits of the word's length, with their distances."""
+        n = len(word)
+        return self.within(word, 0 if n <= SHORT else 2 if n >= LONG else 1)
+
+    def misspelled(self, word: str) -> list[tuple[str, int]]:
+        """Terms within their own limits of edits, with their distances."""
         n = len(word)
-        limit = 0 if n <= SHORT else 2 if n >= LONG else 1
+        limit = 2 if n >= LONG - 2 else 1 if n >= SHORT - 1 else 0
+        return [(t, d) for t, d in self.within(word, limit) if d <= allowed(t)]
+
+    def within(self, word: str, limit: int) -> list[tuple[str, int]]:
         if len(self.steps) > MAX_STEPS:
             self.reset()
         state, steps = self.starts[limit], self.steps
@@ -140,6 +165,7 @@ class ToxicModel:
     def __post_init__(self) -> None:
         self.lexicon = Lexicon(sorted(self.terms))
         self.known: dict[str, float] = {}
+        self.runs: dict[str, tuple[str, ...]] = {}
 
     def __getstate__(self) -> dict:
         return {"terms": self.terms, "weights": self.weights, "intercept": self.intercept}
@@ -152,29 +178,43 @@ class ToxicModel:
         """The largest weight among the terms that a word matches."""
         got = self.known.get(word)
         if got is None:
-            got = max((self.terms[t][d > 0] for t, d in self.lexicon.matches(fold(word))), default=0.0)
+            got = max((self.terms[t][d > 0] for t, d in self.lexicon.misspelled(fold(word))), default=0.0)
             if len(self.known) >= TABLE_WORDS:
                 self.known.clear()
             self.known[word] = got
         return got
 
+    def hits(self, raw: str) -> tuple[str, ...]:
+        """The words of a run without white space that match: plain ones, and masked ones without a matching part."""
+        got = self.runs.get(raw)
+        if got is None:
+            plain = [w for w in _TOKEN.findall(raw) if self.weight(w) > 0]
+            got = (*plain, *(w for w in masked(raw) if self.weight(w) > 0 and not any(self.weight(p) > 0 for p in _TOKEN.findall(w))))
+            if len(raw) <= CACHED_CHARS:
+                if len(self.runs) >= TABLE_WORDS:
+                    self.runs.clear()
+                self.runs[raw] = got
+        return got
+
     def evidence(self, text: str | None) -> tuple[float, float, float]:
         """After contexts: the strongest hit, the number of different words above WEAK as a logarithm, and whether there are two."""
         if not text or not self.terms:
             return 0.0, 0.0, 0.0
         low = text.lower()
-        words = set(_TOKEN.findall(low))
-        hits = {w for w in words if self.weight(w) > 0}
+        hits = {w for raw in set(low.split()) for w in self.hits(raw)}
         if not hits:
             return 0.0, 0.0, 0.0
         spans = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(low)]
+        found = [(i, *s) for i, s in enumerate(spans) if s[0] in hits]
+        if any(not _TOKEN.fullmatch(w) for w in hits):
+            starts = [s[1] for s in spans]
+            found += [(bisect_left(starts, m.start()), m.group(), m.start(), m.end()) for m in _MASKED.finditer(low) if m.group() in hits and not _TOKEN.fullmatch(m.group())]
         values = dict.fromkeys(hits, 0.0)
-        for i, (word, a, b) in enumerate(spans):
-            if word in hits:
-                near = [s[0] for s in spans[max(0, i - CONTEXT) : i + CONTEXT + 1]]
-                quoted = (low[a - 1 : a] in QUOTES if a else False) and low[b : b + 1] in QUOTES
-                factor = QUOTED if quoted or not REPORTS.isdisjoint(near) else ADDRESSED if not ADDRESS.isdisjoint(near) else 1.0
-                values[word] = max(values[word], self.weight(word) * factor)
+        for i, word, a, b in found:
+            near = [s[0] for s in spans[max(0, i - CONTEXT) : i + CONTEXT + 1]]
+            quoted = (low[a - 1 : a] in QUOTES if a else False) and low[b : b + 1] in QUOTES
+            factor = QUOTED if quoted or not REPORTS.isdisjoint(near) else ADDRESSED if not ADDRESS.isdisjoint(near) else 1.0
+            values[word] = max(values[word], self.weight(word) * factor)
         strong = sum(v > WEAK for v in values.values())
         return max(values.values()), math.log1p(strong), float(strong > 1)
 
@@ -215,7 +255,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         for batch in batches:
             out, toxic = [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                own = {fold(w) for w in _TOKEN.findall((text or "").lower()) if len(w) > 2}
+                low = (text or "").lower()
+                own = {fold(w) for w in _TOKEN.findall(low) if len(w) > 2}
+                own |= {f for raw in set(low.split()) for w in masked(raw) if (f := fold(w)).isalpha()}
                 out += own
                 toxic += [y] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int64())], names=["word", "y"])
@@ -237,11 +279,12 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
             out, y_out = [], []
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 seen = set()
-                for w in set(_TOKEN.findall((text or "").lower())):
+                low = (text or "").lower()
+                for w in {*_TOKEN.findall(low), *(w for raw in set(low.split()) for w in masked(raw))}:
                     if w not in near:
                         if len(near) >= TABLE_WORDS:
                             near.clear()
-                        near[w] = tuple(t for t, d in draft.lexicon.matches(fold(w)) if d and fold(w) not in exact)
+                        near[w] = tuple(t for t, d in draft.lexicon.misspelled(fold(w)) if d and fold(w) not in exact)
                     seen.update(near[w])
                 out += seen
                 y_out += [y] * len(seen)
