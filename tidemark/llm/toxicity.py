@@ -1,6 +1,9 @@
 """Toxicity: a learnt lexicon, matched with misspellings, weighed by context.
 
-The lexicon holds words that mark toxic training documents, as a trie. A word of
+The lexicon holds words that mark toxic training documents, as a trie: those of
+high odds that stand in more toxic documents than chance puts there, by binomial
+tails and the Benjamini-Hochberg step over all words, so that the documents a
+term needs follow from the labelled rows. A word of
 a text is matched by the Levenshtein automaton intersected with the trie, whose
 states are trie nodes with the edits spent: one at most for terms of SHORT
 letters or more, two for those of LONG, none for shorter ones. A word masked by
@@ -32,9 +35,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, small_batches
 
-#: Labelled rows at most, those of least id hash; terms of the lexicon at most.
-MAX_ROWS, MAX_TERMS = 20_000, 400
-MIN_TOXIC, MIN_ODDS = 6, 3.5
+#: Labelled rows at most, those of least id hash.
+MAX_ROWS = 20_000
+#: Least log odds of a term, and the share of the lexicon that chance may put there.
+MIN_ODDS, FALSE_SHARE = 3.5, 0.1
 SHORT, LONG = 4, 9
 CONTEXT = 6
 QUOTED, ADDRESSED = 0.4, 1.2
@@ -137,12 +141,6 @@ class Lexicon:
         n = len(word)
         return self.within(word, 0 if n <= SHORT else 2 if n >= LONG else 1)
 
-    def misspelled(self, word: str) -> list[tuple[str, int]]:
-        """Terms within their own limits of edits, with their distances."""
-        n = len(word)
-        limit = 2 if n >= LONG - 2 else 1 if n >= SHORT - 1 else 0
-        return [(t, d) for t, d in self.within(word, limit) if d <= allowed(t)]
-
     def within(self, word: str, limit: int) -> list[tuple[str, int]]:
         if len(self.steps) > MAX_STEPS:
             self.reset()
@@ -155,6 +153,25 @@ class Lexicon:
         return [(t, d) for node, d in self.states[state] if (t := self.term[node]) is not None]
 
 
+class Misspellings:
+    """Terms by the edits they may hold: an automaton for one edit and one for two, so that long words and long terms only meet the larger one."""
+
+    def __init__(self, terms: list[str], exact: list[str]):
+        """`exact`: terms whose misspellings weigh nothing."""
+        self.exact = frozenset(exact) | {t for t in terms if not allowed(t)}
+        self.one, self.two = (Lexicon([t for t in terms if allowed(t) == k]) for k in (1, 2))
+
+    def matches(self, word: str) -> list[tuple[str, int]]:
+        """Terms within their own limits of edits, with their distances."""
+        n = len(word)
+        found = [(word, 0)] if word in self.exact else []
+        if SHORT - 1 <= n <= LONG:
+            found += self.one.within(word, 1)
+        if n >= LONG - 2:
+            found += self.two.within(word, 2)
+        return found
+
+
 @dataclass
 class ToxicModel:
     #: For each term its weight when exact and when misspelled.
@@ -163,7 +180,7 @@ class ToxicModel:
     intercept: float = -4.0
 
     def __post_init__(self) -> None:
-        self.lexicon = Lexicon(sorted(self.terms))
+        self.lexicon = Misspellings(sorted(t for t, w in self.terms.items() if w[1] > 0), sorted(t for t, w in self.terms.items() if w[1] <= 0))
         self.known: dict[str, float] = {}
         self.runs: dict[str, tuple[str, ...]] = {}
 
@@ -178,7 +195,7 @@ class ToxicModel:
         """The largest weight among the terms that a word matches."""
         got = self.known.get(word)
         if got is None:
-            got = max((self.terms[t][d > 0] for t, d in self.lexicon.misspelled(fold(word))), default=0.0)
+            got = max((self.terms[t][d > 0] for t, d in self.lexicon.matches(fold(word))), default=0.0)
             if len(self.known) >= TABLE_WORDS:
                 self.known.clear()
             self.known[word] = got
@@ -238,6 +255,25 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.0005) -> tuple[np.
     return w[:-1], float(w[-1])
 
 
+def log_tail(t: int, n: int, rate: float) -> float:
+    """The logarithm of the chance of t or more among n at `rate`, for t above n x rate."""
+    first = math.lgamma(n + 1) - math.lgamma(t + 1) - math.lgamma(n - t + 1) + t * math.log(rate) + (n - t) * math.log1p(-rate)
+    term = total = 1.0
+    for i in range(t, n):
+        term *= (n - i) / (i + 1) * rate / (1 - rate)
+        total += term
+        if term < 1e-12 * total:
+            break
+    return first + math.log(total)
+
+
+def significant(counts: list[tuple[str, int, int]], tested: int, rate: float) -> list[str]:
+    """Of (word, toxic rows, clean rows) those that the Benjamini-Hochberg step keeps among `tested` words."""
+    tails = sorted((log_tail(t, t + c, rate), word) for word, t, c in counts)
+    last = max((i for i, (p, _) in enumerate(tails, 1) if p <= math.log(FALSE_SHARE * i / tested)), default=0)
+    return [word for _, word in tails[:last]]
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> DataFrame:
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("long").alias("y"))
     chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
@@ -269,8 +305,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
         return ToxicModel({}, (0.0, 0.0, 0.0), math.log(rate / (1 - rate)))
     counted = rows.select("text", "y").mapInArrow(words, "word string, y long").groupBy("word").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-    top = counted.where(F.col("t") >= MIN_TOXIC).select("word", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
-    exact = {r["word"]: r["odds"] for r in top}
+    counted = work.keep(counted.select("word", "t", "c", odds.alias("odds")), "words")
+    likely = F.col("odds") >= MIN_ODDS
+    tested, many = counted.agg(F.count("*"), F.count(F.when(likely, 1))).first()
+    rate = toxic / (toxic + clean)
+    # words in too few toxic rows to pass, whatever the others are, stay on the executors
+    least = math.log(FALSE_SHARE * many / tested) if many else 0.0
+    top = counted.where(likely & (F.col("t") * math.log(rate) <= least)).collect()
+    chosen = set(significant([(r["word"], r["t"], r["c"]) for r in top], tested, rate))
+    exact = {r["word"]: r["odds"] for r in top if r["word"] in chosen}
     draft = ToxicModel({w: (o, 1.0) for w, o in exact.items()})
 
     def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +327,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
                     if w not in near:
                         if len(near) >= TABLE_WORDS:
                             near.clear()
-                        near[w] = tuple(t for t, d in draft.lexicon.misspelled(fold(w)) if d and fold(w) not in exact)
+                        near[w] = tuple(t for t, d in draft.lexicon.matches(fold(w)) if d and fold(w) not in exact)
                     seen.update(near[w])
                 out += seen
                 y_out += [y] * len(seen)
