@@ -4,10 +4,14 @@ Each template's runs of GRAM words are hashed and winnowed: of every WINNOW
 neighbouring hashes the least stays. The kept ones form an inverted index from
 hash to template and place, a few kilobytes that travel with the tasks. Every
 run of GRAM words of a text is looked up in it, so a shared passage of
-GRAM + WINNOW - 1 words always meets the index. Hits near one diagonal make a
-candidate region, and a banded alignment of its words with the template's
-reports how much of the template is matched, in order, and where. Short
-templates, under GRAM + WINNOW - 1 words, keep all their hashes.
+GRAM + WINNOW - 1 words always meets the index. Changed words can break all such
+runs, so a template has anchors too: so many of its rarer words that no match of
+MIN_COVERAGE can do without them. Each hit names a diagonal, and a banded
+alignment of the words there with the template's reports how much of the
+template is matched, in order, and where. What lies between the regions found is
+aligned again, so that copies side by side are reported apart. Short templates,
+under GRAM + WINNOW - 1 words, keep all their hashes. The templates are notices,
+no full license texts.
 
 Edge cases: a null or wordless text gives no row; a text may hold several
 licenses or copies, each a row; rows with equal ids are scanned apart; an empty
@@ -17,7 +21,8 @@ table gives an empty one; other columns are ignored; texts are scanned whole.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +34,8 @@ from tidemark.llm.common import chunks, window_hashes, word_hashes, word_spans
 
 GRAM, WINNOW, BAND = 4, 4, 12
 MIN_COVERAGE = 0.6
+#: Words of ordinary prose, the last choice for anchors.
+COMMON = frozenset("a an and any as at be by copy distributed do file following for free from hereby in is it its license licensed may more new not of on or part program released software source that the then this to under use version with without work you".split())
 
 #: Fixed texts: notices of well-known licenses.
 TEMPLATES = {
@@ -67,6 +74,14 @@ class Index:
             for i in picked:
                 hashes.append(runs[i])
                 where.append((k, i))
+        self.need = [int(np.ceil(MIN_COVERAGE * len(words) - 1e-9)) for words in self.words]
+        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, (words, text) in enumerate(zip(self.words, templates.values())):
+            names = [w.strip(",.;:()\"").lower() for w in text.split()]
+            rare = sorted(range(len(words)), key=lambda i: (names[i] in COMMON, -len(names[i]) if len(names) > GRAM + WINNOW else 0, i))
+            for i in rare[: len(words) - self.need[k] + 1]:
+                self.anchors[int(words[i])].append((k, i))
+        self.anchor_words = np.array(sorted(self.anchors), np.uint64)
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
         self.hashes = np.array(hashes, np.uint64)[order]
         self.where = [where[i] for i in order]
@@ -105,26 +120,57 @@ def align(template: np.ndarray, text: np.ndarray, shift: int) -> tuple[int, int,
     return best
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def regions(template: np.ndarray, words: np.ndarray, votes: Counter[int], need: int) -> list[tuple[int, int, int]]:
+    """(first word, last word, matched words) of parts that do not overlap, the fullest first, and again in what they leave."""
+    n, inside = len(template), np.concatenate([[0], np.cumsum(among(words, np.unique(template)))])
+    shifts = sorted(votes)
+    out, gaps = [], [(0, len(words))]
+    while gaps:
+        lo, hi = gaps.pop()
+        found = []
+        near = shifts[bisect_left(shifts, lo - n - BAND) : bisect_right(shifts, hi + BAND)]
+        for shift in sorted(near, key=lambda x: (-votes[x], x)):
+            a, b = max(lo, shift - BAND), min(hi, shift + n + BAND)
+            if b - a < need or inside[b] - inside[a] < need:
+                continue
+            if any(x[2] == n and x[0] < b and a <= x[1] for x in found):
+                continue  # beside a full one: left to the next turn
+            matched, first, last = align(template, words[a:b], shift - a)
+            if matched >= need:
+                found.append((a + first, a + last, matched))
+        chosen: list[tuple[int, int, int]] = []
+        for x in sorted(set(found), key=lambda x: (-x[2], x[0])):
+            if not any(x[0] <= y[1] and y[0] <= x[1] for y in chosen):
+                chosen.append(x)
+        if chosen:
+            edges = [lo, *(e for x in sorted(chosen) for e in (x[0], x[1] + 1)), hi]
+            gaps += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if b - a >= need]
+        out += chosen
+    return out
+
+
 def scan_text(index: Index, words: np.ndarray) -> list[tuple[str, int, int, int, float]]:
     """(template, first word, last word, matched words, coverage) of each region that covers MIN_COVERAGE."""
-    regions: dict[tuple[int, int], list[int]] = defaultdict(list)
+    votes: dict[int, Counter[int]] = defaultdict(Counter)
     for k, i, p in index.hits(window_hashes(words, GRAM)):
-        regions[k, (p - i + BAND) // (2 * BAND)].append(p - i)
-    found = []
-    for (k, _), shifts in regions.items():
-        template = index.words[k]
-        start = max(0, min(shifts) - BAND)
-        part = words[start : max(shifts) + len(template) + BAND]
-        for shift in sorted(set(shifts))[:1] if max(shifts) - min(shifts) <= BAND // 2 else sorted(set(shifts)):
-            matched, first, last = align(template, part, shift - start)
-            if matched >= MIN_COVERAGE * len(template):
-                found.append((index.names[k], start + first, start + last, matched, matched / len(template)))
-    # overlapping reports of one template: the fullest stays
-    out: list[tuple[str, int, int, int, float]] = []
-    for x in sorted(found, key=lambda x: (-x[3], x[1], x[0])):
-        if not any(x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: (x[1], x[0]))
+        votes[k][p - i] += GRAM
+    for p in np.flatnonzero(among(words, index.anchor_words)):
+        for k, i in index.anchors[int(words[p])]:
+            votes[k][int(p) - i] += 1
+    out = []
+    for k, shifts in votes.items():
+        n = len(index.words[k])
+        out += [(index.names[k], first, last, matched, matched / n) for first, last, matched in regions(index.words[k], words, shifts, index.need[k])]
+    # words inside a fuller region of another template speak for that one: the GPL's line holds five of the Apache line's seven words
+    lesser = {x for x in out if x[4] < 1 and any(x[4] < y[4] and x[3] < y[3] and y[1] <= x[1] and x[2] <= y[2] for y in out)}
+    return sorted((x for x in out if x not in lesser), key=lambda x: (x[1], x[0]))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,9 +189,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
                 words = word_hashes(buf, starts, ends)
                 text_bytes = np.cumsum([1] + [len(t.encode("utf-8", "replace")) + 1 if t else 1 for t in texts[a:b]])
                 runs = window_hashes(words, GRAM)
-                left = np.minimum(np.searchsorted(index.hashes, runs), len(index.hashes) - 1)
-                hot = np.unique(np.searchsorted(first, np.flatnonzero(index.hashes[left] == runs), "right") - 1)
-                for i in hot:  # texts with a fingerprint; runs across two texts find nothing there
+                at_words = np.concatenate([np.flatnonzero(among(runs, index.hashes)), np.flatnonzero(among(words, index.anchor_words))])
+                hot = np.unique(np.searchsorted(first, at_words, "right") - 1)
+                for i in hot:  # texts with a fingerprint or an anchor; runs across two texts find nothing there
                     own = words[first[i] : first[i + 1]]
                     for name, s, e, matched, coverage in scan_text(index, own):
                         at.append(a + i)
