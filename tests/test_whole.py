@@ -30,3 +30,18 @@ def test_joins_of_every_supplier_and_nation(spark, tmp_path):
     assert got == {(1, 30, 1, 1.0), (30, 40, 1, 1.0)}
     keys = QUERIES["join_left_all"](spark, SMALL).select("c_custkey").distinct().count()
     assert keys == read(spark, SMALL, "customer").count()
+
+
+def test_paths_of_every_ticker(spark):
+    got = QUERIES["mc_block_paths_all"](spark, SMALL, 200, 126).where("ticker = 'ECONOMY'").drop("ticker")
+    assert got.exceptAll(QUERIES["mc_block_paths"](spark, SMALL)).count() == 0 and got.count() == 200
+    tickers = panel(spark, SMALL).select("ticker").distinct().count()
+    assert {(r.ticker, r.n) for r in QUERIES["mc_block_paths_all"](spark, SMALL).groupBy("ticker").agg(F.count("*").alias("n")).collect()} == {(r.ticker, 2000) for r in panel(spark, SMALL).select("ticker").distinct().collect()}
+    assert QUERIES["mc_regimes_all"](spark, SMALL).count() == 4 * tickers and QUERIES["mc_percentiles_all"](spark, SMALL).count() == tickers
+    assert QUERIES["mc_crash_injection_all"](spark, SMALL).where("p5 < 0 AND p50 < 0").count() == tickers
+
+
+def test_regimes_of_every_year(spark):
+    some, every = QUERIES["model_hmm_regimes"](spark, SMALL).count(), QUERIES["model_hmm_regimes_all"](spark, SMALL)
+    rows = every.collect()
+    assert len(rows) > some and {r.state for r in rows} <= {0, 1, 2} and {(r.t - 504) % 252 for r in rows} == {0}

@@ -30,21 +30,35 @@ def block_paths(returns: DataFrame, paths: int, horizon: int, block: int, seed:
     return steps.join(returns, "i").select("path", "step", "r")
 
 
-def retargeted(paths: DataFrame, drift: float | None, multiplier: float) -> DataFrame:
-    """Adds a constant so that the grand mean meets the daily drift, and scales deviations from each path's mean."""
-    per = paths.groupBy("path").agg(F.avg("r").alias("own"))
-    grand = paths.agg(F.avg("r").alias("grand"))
-    rows = paths.join(per, "path").join(F.broadcast(grand), how="cross")  # grand is one row
+def block_paths_each(returns: DataFrame, paths: int, horizon: int, block: int, seed: int) -> DataFrame:
+    """(ticker, path, step, r): block_paths of every ticker with `block` returns or more, from (ticker, i, r); the draws of a path are the same for each ticker."""
+    spark, blocks = returns.sparkSession, -(-horizon // block)
+    sizes = returns.groupBy("ticker").agg(F.count("*").alias("n")).where(F.col("n") >= block)
+    grid = sizes.crossJoin(spark.range(paths).select(F.col("id").alias("path"))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    starts = grid.withColumn("start", draw(seed, F.col("path"), F.col("b")) % (F.col("n") - block + 1))
+    steps = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    steps = steps.select("ticker", "path", (F.col("b") * block + F.col("o")).alias("step"), (F.col("start") + F.col("o")).alias("i")).where(F.col("step") < horizon)
+    return steps.join(returns, ["ticker", "i"]).select("ticker", "path", "step", "r")
+
+
+def retargeted(paths: DataFrame, drift: float | None, multiplier: float, keys: list[str] | None = None) -> DataFrame:
+    """Adds a constant so that the grand mean meets the daily drift, and scales deviations from each path's mean; with keys, for each of their groups."""
+    keys = keys or []
+    per = paths.groupBy(*keys, "path").agg(F.avg("r").alias("own"))
+    grand = paths.groupBy(*keys).agg(F.avg("r").alias("grand"))
+    rows = paths.join(per, [*keys, "path"])
+    rows = rows.join(grand, keys) if keys else rows.join(F.broadcast(grand), how="cross")  # grand is one row
     shift = F.lit(0.0) if drift is None else F.lit((1 + drift) ** (1 / 252) - 1) - F.col("grand")
-    return rows.select("path", "step", (F.col("own") + (F.col("r") - F.col("own")) * multiplier + shift).alias("r"))
+    return rows.select(*keys, "path", "step", (F.col("own") + (F.col("r") - F.col("own")) * multiplier + shift).alias("r"))
 
 
-def path_metrics(paths: DataFrame) -> DataFrame:
+def path_metrics(paths: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Total return, worst drawdown and ulcer of each path; the curve starts at its first return."""
-    w = Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    keys = [*(keys or []), "path"]
+    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     rows = paths.withColumn("level", F.exp(F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12)))).over(w)))
     rows = rows.withColumn("dd", F.col("level") / F.max("level").over(w) - 1)
-    return rows.groupBy("path").agg((F.max_by("level", "step") - 1).alias("total"), F.min("dd").alias("max_dd"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"))
+    return rows.groupBy(*keys).agg((F.max_by("level", "step") - 1).alias("total"), F.min("dd").alias("max_dd"), F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"))
 
 
 def percentiles(frame: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -52,7 +66,7 @@ def percentiles(frame: DataFrame, name: str, keys: list[str] | None = None) -> D
     return p.select(*(keys or []), *[F.col("p")[i].alias(k) for i, k in enumerate(("p5", "p25", "p50", "p75", "p95"))], "mean", "std")
 
 
-def crash_injected(paths: DataFrame, buckets: DataFrame, days: int, seed: int) -> DataFrame:
+def crash_injected(paths: DataFrame, buckets: DataFrame, days: int, seed: int, keys: list[str] | None = None) -> DataFrame:
     """Adds each bucket's crash to the paths it hits: buckets (bucket, frequency a year, magnitude, duration in days). A path and bucket give one span of steps, added by an equi-join on path."""
     who = paths.select("path").distinct().crossJoin(F.broadcast(buckets))  # a handful of buckets
     chance = F.least(F.lit(0.99), F.col("frequency") * (days / 252.0))
@@ -60,4 +74,4 @@ def crash_injected(paths: DataFrame, buckets: DataFrame, days: int, seed: int) -
     spans = hit.withColumn("start", draw(seed + 1, F.col("path"), F.col("bucket")) % F.greatest(F.lit(days) - F.col("duration"), F.lit(1)))
     spans = spans.withColumn("stop", F.least(F.lit(days), F.col("start") + F.col("duration"))).withColumn("drag", F.pow(1 + F.col("magnitude"), 1.0 / (F.col("stop") - F.col("start"))) - 1)
     add = spans.select("path", F.explode(F.sequence("start", F.col("stop") - 1)).alias("step"), "drag").groupBy("path", "step").agg(F.sum("drag").alias("drag"))
-    return paths.join(add, ["path", "step"], "left").select("path", "step", (F.col("r") + F.coalesce("drag", F.lit(0.0))).alias("r"))
+    return paths.join(add, ["path", "step"], "left").select(*(keys or []), "path", "step", (F.col("r") + F.coalesce("drag", F.lit(0.0))).alias("r"))

@@ -646,6 +646,52 @@ def model_hmm_regimes(spark, sf_dir):
     return hmm.regimes(features, 504, 2)
 
 
+def histories(spark, sf_dir):
+    """Returns of every ticker, held within 5 % as in history."""
+    rows = with_returns(spark, sf_dir).where("ret IS NOT NULL")
+    return rows.select("ticker", (F.col("t") - 2).alias("i"), F.round(F.greatest(F.least("ret", F.lit(0.05)), F.lit(-0.05)), 6).alias("r"))
+
+
+@query(None)
+def mc_block_paths_all(spark, sf_dir, paths=2000, horizon=252):
+    m = montecarlo.path_metrics(montecarlo.block_paths_each(histories(spark, sf_dir), paths, horizon, 21, 7), ["ticker"])
+    return m.select("ticker", "path", r6("total"), r6("max_dd"), r6("ulcer"))
+
+
+@query(None)
+def mc_percentiles_all(spark, sf_dir):
+    m = montecarlo.path_metrics(montecarlo.block_paths_each(histories(spark, sf_dir), 2000, 252, 21, 7), ["ticker"])
+    p = montecarlo.percentiles(m, "total", ["ticker"])
+    return p.select("ticker", *[r6(c) for c in p.columns[1:]])
+
+
+@query(None)
+def mc_regimes_all(spark, sf_dir):
+    paths = montecarlo.block_paths_each(histories(spark, sf_dir), 1000, 756, 21, 7)
+    out = None
+    for name, drift, multiplier in montecarlo.REGIMES:  # four fixed regimes
+        m = montecarlo.path_metrics(montecarlo.retargeted(paths, drift, multiplier, ["ticker"]), ["ticker"]).select("ticker", F.lit(name).alias("regime"), "total")
+        out = m if out is None else out.unionByName(m)
+    p = montecarlo.percentiles(out, "total", ["ticker", "regime"])
+    return p.select("ticker", "regime", *[r6(c) for c in p.columns[2:]])
+
+
+@query(None)
+def mc_crash_injection_all(spark, sf_dir):
+    buckets = spark.sql("SELECT CAST(id AS INT) bucket, array(0.5, 0.2, 0.05)[CAST(id AS INT)] frequency, array(-0.15, -0.3, -0.5)[CAST(id AS INT)] magnitude, array(42, 84, 120)[CAST(id AS INT)] duration FROM range(3)")
+    # single days, as in the reference
+    hit = montecarlo.crash_injected(montecarlo.block_paths_each(histories(spark, sf_dir), 2000, 252, 1, 7), buckets, 252, 11, ["ticker"])
+    p = montecarlo.percentiles(montecarlo.path_metrics(hit, ["ticker"]), "max_dd", ["ticker"])
+    return p.select("ticker", *[r6(c) for c in p.columns[1:]])
+
+
+@query(None)
+def model_hmm_regimes_all(spark, sf_dir):
+    rows = with_returns(spark, sf_dir)
+    features = rows.select("ticker", "t", F.coalesce("lret", F.lit(0.0)).alias("f0"), F.coalesce(F.stddev_pop("lret").over(mom.frame(-20, 0)), F.lit(0.0)).alias("f1"))
+    return hmm.regimes(features)
+
+
 # --- sweeps, aggregates, reports --------------------------------------------------------------------------------------
 @query("!SELECT CAST(86625 AS BIGINT) AS configs, CAST(1375 AS BIGINT) AS signatures, CAST(58905 AS BIGINT) AS without_earnings")
 def sweep_grid(spark, sf_dir):
