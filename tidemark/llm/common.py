@@ -33,18 +33,20 @@ _COUNT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; where the session names none, as in local tests, a new temporary folder is set."""
+    """The folder of spark.checkpoint.dir, which every executor sees. Where the session names none, local mode takes a new temporary folder; on a cluster that is an error, as each machine would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
 def small_batches(frame: DataFrame) -> DataFrame:
-    """`frame` as it is; its session sends Arrow batches of BATCH_BYTES, unless it is set to less. Rows, not results, are dealt out by it."""
+    """`frame` as it is; its session sends Arrow batches of BATCH_BYTES from now on, unless it is set to less. The setting is read when a frame runs, so it can't be put back here; rows, not results, are dealt out by it."""
     spark = frame.sparkSession
     conf = spark.conf
     if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
@@ -53,21 +55,35 @@ def small_batches(frame: DataFrame) -> DataFrame:
 
 
 class Workspace:
-    """Tables written to the shared folder: they cut the lineage and outlive any executor."""
+    """Tables written to the shared folder: they cut the lineage and outlive any executor.
+
+    Tables that a returned frame still reads stay until the application ends; drop() and close() remove others earlier.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path, system = self._system(self.path)
+        system.deleteOnExit(path)
+
+    def _system(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, frame: DataFrame, table: str) -> DataFrame:
         where = f"{self.path}/{table}"
         frame.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
 
-    def drop(self, table: str) -> None:
-        """Removes a table that no returned frame reads any more."""
-        jvm, where = self.spark._jvm, f"{self.path}/{table}"
-        path = jvm.org.apache.hadoop.fs.Path(where)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: str) -> None:
+        """Removes tables that no returned frame reads any more."""
+        for table in tables:
+            path, system = self._system(f"{self.path}/{table}")
+            system.delete(path, True)
+
+    def close(self) -> None:
+        """Removes all of its tables."""
+        path, system = self._system(self.path)
+        system.delete(path, True)
 
 
 def held_out(doc_id: str, parts: int, part: int) -> Column:
