@@ -69,7 +69,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), held_out("doc_id", 4, 2)
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held), "toxic")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held), "toxic", copies_once=True)
     rows = toxicity.scored(docs, model, ["doc_id"])
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
