@@ -4,7 +4,13 @@ A source's mean repetition rate is target weight x total size / source size.
 Each document draws its number of copies from a Poisson distribution of that
 mean, by inverting the distribution at a uniform number hashed from the seed
 and the document id, so that a rerun or another partitioning draws the same.
-Copies are exploded and shuffled globally by a hash of (seed, id, copy).
+Copies are exploded and shuffled globally by a hash of (seed, id, copy): the one
+shuffle that texts go through.
+
+Edge cases: a null id hashes as ''; rows with equal ids draw equally; an empty or
+null text has size 0 but is drawn by its source's rate; a null source is a source
+of its own; a source without weight, or whose texts are all empty, gives no row; an
+empty table gives an empty one; mix_* columns of the input are replaced.
 """
 
 from __future__ import annotations
@@ -14,8 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import Workspace
+
 #: Poisson draws of a larger mean are sums of draws of at most this mean each.
 MEAN_PART = 16.0
+#: Up to so many sources their rates are broadcast (a few hundred bytes each); beyond, the join is salted by document.
+MAX_BROADCAST, SALTS = 10_000, 64
 #: Inverse terms: beyond MEAN_PART + 64 the remaining probability is below 2**-60.
 TERMS = 80
 
@@ -64,16 +74,20 @@ def mix(docs: DataFrame, weights: dict | None = None, epochs: float = 1.0, seed:
 
     Rows are dealt to partitions by mix_key and sorted by it inside them, so
     neighbours in the output are unrelated and a hot source spreads evenly.
-    The rates join the documents on source; with few sources Spark sends that
-    small table to every task by its own size check, else it splits the skewed
-    join. A null id hashes as '' ; rows with equal ids draw equally; an empty
-    text has size 0 but is drawn by its source's rate; an empty table gives an
-    empty one. mix_* columns of `docs` are replaced.
+    The rates, a row per source, are computed first and written to the shared
+    folder; documents meet them where they are.
     """
-    drawn = rates(docs, source_col, text_col, weights, epochs).where("rate > 0").select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    work = Workspace(docs.sparkSession, "mixing")
+    drawn = work.keep(rates(docs, source_col, text_col, weights, epochs).where("rate > 0").select(F.col("source").alias("__source"), F.col("rate").alias("__rate")), "rates")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.drop("mix_copy", "mix_key").join(drawn, F.col(source_col).eqNullSafe(F.col("__source")))
-    names = [c for c in rows.columns if c not in ("__source", "__rate")]
+    rows = docs.drop("mix_copy", "mix_key")
+    names = rows.columns
+    same = F.col(source_col).eqNullSafe(F.col("__source"))
+    if drawn.count() <= MAX_BROADCAST:
+        rows = rows.join(F.broadcast(drawn), same)
+    else:
+        salted = drawn.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__at", F.pmod(F.xxhash64(ident), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("__at") == F.col("__salt")))
     rows = rows.withColumn("__n", copies(ident, F.col("__rate"), seed)).where("__n > 0")
     rows = rows.select(*names, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("mix_copy"))
     rows = rows.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(str(seed)), ident, F.col("mix_copy").cast("string"), F.lit("order")).cast("binary")))
