@@ -60,6 +60,8 @@ MIN_SLICES, MAX_SLICES = 64, 1 << 15
 LEAST_BLOOM_BITS, MAX_BLOOM_IDS = 20, 1 << 24
 #: Entries of a posting list that are sorted together, and joined with others, at most.
 LIST_PART, JOIN_PART = 1024, 8192
+#: Pairs of one document that are verified together at most.
+HUB_PART = 64
 #: Fingerprints that a task remembers, so as to emit copies once; it forgets them all when it has so many.
 MAX_SEEN = 500_000
 
@@ -268,16 +270,25 @@ def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.coalesce(_enough(most, F.col("na"), F.col("nb"), percent), F.lit(True))).select("a", "fa", "b", "fb")
 
 
+def _with_sets(work: Workspace, name: str, pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """`pairs` with the shingles of their document in column `side`. A document of many pairs is dealt into parts by the other one, its set copied to each."""
+    hubs = pairs.groupBy(F.col(side).alias("hub")).agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts")).where("parts > 1")
+    hubs = work.keep(hubs, f"{name}-hubs-{side}")  # a row for HUB_PART pairs at most
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(other), F.col("parts"))).cast("int")
+    left = pairs.join(hubs, F.col(side) == F.col("hub"), "left").withColumn("part", part).drop("hub", "parts")
+    own = sets.select(F.col("node").alias(side), F.col("f1").alias(f"f{side}"), F.col("shingles").alias(f"set_{side}"))
+    own = own.join(hubs, F.col(side) == F.col("hub"), "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("hub", "parts")
+    return left.join(own, [side, f"f{side}", "part"]).drop("part")
+
+
 def _verified(work: Workspace, name: str, docs: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked."""
     ends = work.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ends")
     sets = work.keep(_sets(docs, n, ends), f"{name}-sets").dropDuplicates(["node", "f1"])
-    x = sets.select(F.col("node").alias("a"), F.col("f1").alias("fa"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("node").alias("b"), F.col("f1").alias("fb"), F.col("shingles").alias("y"))
-    joined = pairs.join(y, ["b", "fb"]).join(x, ["a", "fa"])
-    overlap = F.size(F.array_intersect("x", "y"))
-    links = work.keep(joined.where(_enough(overlap, F.size("x"), F.size("y"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-ends")
+    joined = _with_sets(work, name, _with_sets(work, name, pairs, sets, "b", "a"), sets, "a", "b")
+    overlap = F.size(F.array_intersect("set_a", "set_b"))
+    links = work.keep(joined.where(_enough(overlap, F.size("set_a"), F.size("set_b"), percent)).select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
+    work.drop(f"{name}-sets", f"{name}-ends", f"{name}-hubs-a", f"{name}-hubs-b")
     return links
 
 
