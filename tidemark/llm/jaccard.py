@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.llm.common import Workspace, components, mix64, shingle_sets, small_batches
+from tidemark.llm.common import Workspace, components, lean, mix64, shingle_sets, small_batches
 
 SKETCH_BITS, SKETCH_ROW = 22, 1 << 16
 #: Parts of one block of the sketch that a task adds up at most before the last step.
@@ -123,7 +123,7 @@ def _summaries(docs: DataFrame, n: int) -> DataFrame:
             packed = pa.array([_pack(sketch[i : i + SKETCH_ROW]) for i in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.nulls(r, pa.int64()), *[pa.nulls(r, pa.int64())] * 3, pa.nulls(r, pa.list_(pa.int64())), pa.array([i // SKETCH_ROW for i in rows], pa.int32()), packed], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, size long, f1 long, f2 long, slices array<long>, block int, counts binary")
+    return docs.mapInArrow(lean(run), "doc_id long, size long, f1 long, f2 long, slices array<long>, block int, counts binary")
 
 
 def _sketch(parts: DataFrame) -> np.ndarray:
@@ -139,8 +139,8 @@ def _sketch(parts: DataFrame) -> np.ndarray:
 
     groups = -(-parts.count() // (SKETCH_PARTS * ((1 << SKETCH_BITS) // SKETCH_ROW)))
     if groups > 1:
-        parts = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(groups))).mapInArrow(add, "block int, counts binary")
-    rows = parts.repartition("block").mapInArrow(add, "block int, counts binary").collect()
+        parts = parts.repartition("block", F.pmod(F.xxhash64("counts"), F.lit(groups))).mapInArrow(lean(add), "block int, counts binary")
+    rows = parts.repartition("block").mapInArrow(lean(add), "block int, counts binary").collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint16)
     for r in rows:
         out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.round(RANK_STEPS * np.log2(1.0 + _unpack(bytes(r["counts"]))))
@@ -198,7 +198,7 @@ def _prefixes(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
                     held = 0
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "token long, salt int, f1 long, spot long")
+    return docs.select("text").mapInArrow(lean(run), "token long, salt int, f1 long, spot long")
 
 
 def _bloom_slot(node: Column, bits: int) -> Column:
@@ -240,7 +240,7 @@ def _sets(docs: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
             shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(_signed(np.concatenate(sets))))
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([_fingerprint(x)[0] for x in sets], pa.int64()), shingles], names=["node", "f1", "shingles"])
 
-    return named.mapInArrow(run, "node long, f1 long, shingles array<long>")
+    return named.mapInArrow(lean(run), "node long, f1 long, shingles array<long>")
 
 
 def _enough(overlap: Column, size_a: Column, size_b: Column, percent: int) -> Column:

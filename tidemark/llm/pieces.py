@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import lean, small_batches
 
 MARK = "▁"
 #: Words and parts kept by a task at most, and the longest that enters a table.
@@ -196,4 +196,4 @@ def tokenize(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col:
                     more = [pa.array(ids, pa.list_(pa.int32())), pa.array(decoded)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), counts, *more], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

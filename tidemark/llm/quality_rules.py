@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, chunks, small_batches, window_hashes, word_hashes, word_spans
+from tidemark.llm.common import Workspace, chunks, lean, small_batches, window_hashes, word_hashes, word_spans
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -102,7 +102,7 @@ def _counted(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
             cols = [batch.column(i) for i in range(len(keep))] + [pa.array(stats[:, j]) for j in range(len(STATS))]
             yield pa.RecordBatch.from_arrays(cols, names=[f"k{i}" for i in range(len(keep))] + STATS)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def statistics(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tidemark.llm.common import Workspace, mix64, shingle_sets, small_batches
+from tidemark.llm.common import Workspace, lean, mix64, shingle_sets, small_batches
 
 #: Labelled rows at most, those of least id hash.
 MAX_ROWS = 20_000
@@ -220,6 +220,13 @@ class ToxicModel:
         self.__dict__.update(state)
         self.__post_init__()
 
+    def forget(self) -> None:
+        """Empties what was remembered of words, not what was learnt."""
+        self.known.clear()
+        self.runs.clear()
+        self.lexicon.one.reset()
+        self.lexicon.two.reset()
+
     def weight(self, word: str) -> float:
         """The largest weight among the terms that a word matches and the stems that begin it."""
         got = self.known.get(word)
@@ -354,7 +361,7 @@ def distinct(rows: DataFrame) -> DataFrame:
             signed = [[int(mix64(own ^ s).min() >> np.uint64(1)) if len(own) else -1 for s in seeds] for own in shingle_sets(batch.column("text").to_pylist(), RUN)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "signs"])
 
-    signed = rows.select("doc_id", "text").mapInArrow(sign, rows.select("doc_id").schema.add("signs", ArrayType(LongType())))
+    signed = rows.select("doc_id", "text").mapInArrow(lean(sign), rows.select("doc_id").schema.add("signs", ArrayType(LongType())))
     left = signed.join(rows.select("doc_id", "y"), "doc_id")
     for k in range(SIGNATURES):
         least = left.groupBy(F.col("signs")[k].alias("sign"), "y").agg(F.min(F.struct("doc_id", "signs")).alias("r"))
@@ -409,7 +416,7 @@ def _train(work: Workspace, rows: DataFrame) -> ToxicModel:
     def log_odds(t: int, c: int) -> float:
         return math.log((t + 0.5) / (toxic + 1.0)) - math.log((c + 0.5) / (clean + 1.0))
 
-    counted = rows.select("text", "y").mapInArrow(words, "word string, stem int, y long").groupBy("word", "stem").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    counted = rows.select("text", "y").mapInArrow(lean(words), "word string, stem int, y long").groupBy("word", "stem").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
     counted = work.keep(counted.select("word", "stem", "t", "c", odds.alias("odds")), "words")
     likely = F.col("odds") >= F.when(F.col("stem") == 1, STEM_ODDS).otherwise(MIN_ODDS)
@@ -442,7 +449,7 @@ def _train(work: Workspace, rows: DataFrame) -> ToxicModel:
                 y_out += [y] * len(seen)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(y_out, pa.int64())], names=["term", "y"])
 
-    around = rows.select("text", "y").mapInArrow(misspelled, "term string, y long").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
+    around = rows.select("text", "y").mapInArrow(lean(misspelled), "term string, y long").groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     fuzzy = {r["term"]: log_odds(r["t"], r["c"]) for r in around.collect()}  # a row per term
     unseen = math.log((clean + 1.0) / (toxic + 1.0)) if clean > toxic else 0.0
     # a misspelling that training never met weighs as its term, at a discount
@@ -457,7 +464,7 @@ def _train(work: Workspace, rows: DataFrame) -> ToxicModel:
     schema = rows.select("doc_id", "y").schema
     for name in names:
         schema = schema.add(name, "double")
-    sample = rows.select("doc_id", "y", "text").mapInArrow(features, schema).toPandas().sort_values("doc_id")  # at most MAX_ROWS rows of numbers
+    sample = rows.select("doc_id", "y", "text").mapInArrow(lean(features), schema).toPandas().sort_values("doc_id")  # at most MAX_ROWS rows of numbers
     x, y = sample[names].to_numpy(float), sample["y"].to_numpy(float)
     w, intercept = logistic(x, y)
     while (w[:EVIDENCE] < 0).any():  # more evidence never lowers a score: features that would are left out
@@ -477,6 +484,7 @@ def scored(docs: DataFrame, model: ToxicModel, keep: list[str], text_col: str =
         for batch in batches:
             score = pa.array([model.score(t) for t in batch.column(texts).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), score], names=schema.names)
+        model.forget()
 
-    out = source.mapInArrow(run, schema)
+    out = source.mapInArrow(lean(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("score").alias(name))
