@@ -25,7 +25,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below TOXIC_FROM; the model learns from the labelled rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out("doc_id", 4, 2))
-    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, "toxic")
+    model = toxicity.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels, "toxic", copies_once=True)
     rows = toxicity.scored(docs, model, docs.columns, name="toxic_score__")
     return rows.where(rows["toxic_score__"] < TOXIC_FROM).select(*docs.columns)
 
@@ -59,7 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = work.keep(stage(spark, docs, sf_dir), name)
+        if before:  # a stage's rows are on disk before its predecessor's go
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
