@@ -2,20 +2,28 @@
 
 Vectors are compared inside their label. Equal vectors are one class first, so
 that copies never meet each other. On unit vectors cosine >= c is a distance of
-at most sqrt(2 - 2c). Each label's classes are dealt into blocks of about BLOCK,
-by nearest pivot and then by hash, so no task holds a label whole; two blocks
-whose covering balls are too far apart are never paired. Each pair of blocks is
-one task's work: a cover tree for either, with nested levels of halving radii,
-and a traversal of node pairs from the roots that drops a pair when the distance
-of the centres exceeds both covering radii and the threshold distance. Leaf pairs
-are compared by cosine in double precision. A pair of blocks returns the links'
-counts per vector and a spanning forest of its links, not the links.
+at most sqrt(2 - 2c).
+
+The upper levels of the tree are tables: the root of a label and length is one
+cell; a cell of more than BLOCK classes is dealt to the nearest of PIVOTS of its
+own members, picked by hash, whose cells are its children, until a cell fits a
+block or all of it lies within reach, where hashing deals it into blocks. A cell
+has its centre and covering radius (the largest distance from the centre). The
+dual traversal goes down the same levels: from the pairs of roots a pair of cells
+gives the pairs of their children, but those whose centres are farther apart than
+both radii and the reach. The surviving pairs of blocks are one task's work each:
+inside them a cover tree for either with nested levels of halving radii, and the
+same traversal of node pairs. Leaf pairs are compared by cosine in double
+precision. A pair of blocks returns the links' counts per vector and a spanning
+forest of its links, not the links. Where vectors have no structure nothing can be
+pruned, and an exact method compares all pairs of a label.
 
 Edge cases: a null label, a null, empty or zero vector and one with a null or
-non-finite component links with nothing and is its own component; vectors of
-different lengths never link; rows equal in id, label and vector count once; a
-null id is a row that links with nothing; an empty table gives an empty one;
-other columns are ignored.
+non-finite component, or whose square overflows or vanishes, links with nothing and
+is its own component; vectors of different lengths never link; rows equal in id,
+label and vector count once; rows of one id with several vectors are one row with
+the links of the vector that has most, in one component; a null id is a row that
+links with nothing; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +32,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace, components
 
 BLOCK = 2048
-PIVOTS = 32
+#: Children of a cell, levels of cells at most, and vectors that one task deals to pivots.
+PIVOTS, LEVELS, DEALT = 32, 16, 8192
 LEAF = 48
 #: Slack of pruning bounds against rounding; comparisons themselves have none.
 SLACK = 1e-9
@@ -117,15 +127,24 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def compare_blocks(left: pd.DataFrame, right: pd.DataFrame, same: bool, cosine: float) -> pd.DataFrame:
-    """Per class its links' summed copies (as `links`, where `other` is null) and spanning edges (node, other)."""
-    raw_a = np.array(left["vector"].tolist(), np.float64)
-    raw_b = raw_a if same else np.array(right["vector"].tolist(), np.float64)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A list column of one length as rows of a matrix."""
+    whole = column.combine_chunks()
+    flat = whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(whole), -1)
+
+
+_FOUND = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+
+
+def compare_blocks(left: pa.Table, right: pa.Table, same: bool, cosine: float) -> pa.Table:
+    """Per class its links' summed copies (as `links`, where `other` is null) and spanning edges (node, other). Tables: node, copies, vector."""
+    raw_a = _matrix(left["vector"])
+    raw_b = raw_a if same else _matrix(right["vector"])
     a = CoverTree(raw_a / np.sqrt((raw_a * raw_a).sum(1))[:, None])
     b = a if same else CoverTree(raw_b / np.sqrt((raw_b * raw_b).sum(1))[:, None])
     n, m = len(raw_a), 0 if same else len(raw_b)
-    ids = np.concatenate([left["node"].to_numpy(np.int64), np.zeros(0, np.int64) if same else right["node"].to_numpy(np.int64)])
-    copies = np.concatenate([left["copies"].to_numpy(np.int64), np.zeros(0, np.int64) if same else right["copies"].to_numpy(np.int64)])
+    ids, copies = (np.concatenate([t[name].to_numpy() for t in ([left] if same else [left, right])]) for name in ("node", "copies"))
     links, parent = np.zeros(n + m, np.int64), list(range(n + m))
     src, dst = [], []
     for i, j in linked_pairs(a, b, raw_a, raw_b, cosine):
@@ -139,16 +158,81 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame, same: bool, cosine:
                 src.append(ids[x])
                 dst.append(ids[y])
     some = np.flatnonzero(links)
-    counts = pd.DataFrame({"node": ids[some], "other": pd.array([None] * len(some), "Int64"), "links": links[some]})
-    edges = pd.DataFrame({"node": np.array(src, np.int64), "other": pd.array(np.array(dst, np.int64), "Int64"), "links": np.zeros(len(src), np.int64)})
-    return pd.concat([counts, edges], ignore_index=True)
+    counts = pa.table({"node": pa.array(ids[some], pa.int64()), "other": pa.nulls(len(some), pa.int64()), "links": pa.array(links[some], pa.int64())}, schema=_FOUND)
+    edges = pa.table({"node": pa.array(src, pa.int64()), "other": pa.array(dst, pa.int64()), "links": pa.array(np.zeros(len(src), np.int64))}, schema=_FOUND)
+    return pa.concat_tables([counts, edges])
 
 
 def _normal(vector: Column) -> tuple[Column, Column]:
     """Whether a vector can link, and its norm."""
     fine = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))), F.lit(False))
     square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x)
-    return fine & (square > 0), F.sqrt(square)
+    return fine & (square > 0) & (square < F.lit(float("inf"))), F.sqrt(square)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """The distance of two unit vectors; 0 where one is null, so that nothing is pruned."""
+    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return F.coalesce(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)), F.lit(0.0))
+
+
+def _dealt(big: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Members of big cells with the nearest pivot's number `k` and the distance `away`: parts of a cell (cell, salt) meet their cell's pivots."""
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table({"key": pa.array([], pa.string()), "k": pa.array([], pa.int32()), "away": pa.array([], pa.float64())})
+        x = _matrix(left["vector"])
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        order = np.argsort(right["k"].to_numpy())
+        dot = x @ _matrix(right["centre"])[order].T
+        k = dot.argmax(1)
+        away = np.sqrt(np.maximum(0.0, 2 - 2 * dot[np.arange(len(k)), k]))
+        return pa.table({"key": left["key"].combine_chunks().cast(pa.string()), "k": pa.array(k.astype(np.int32)), "away": pa.array(away)})
+
+    salts = F.ceil(F.col("n") / DEALT).cast("int")
+    left = big.select("cell", F.pmod(F.xxhash64("key"), salts).cast("int").alias("salt"), "key", "vector")
+    right = pivots.select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), "k", "centre")
+    return left.groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(nearest, "key string, k int, away double")
+
+
+def _cells(work: Workspace, classes: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """The classes with their last cell, and the pairs (x, y) of last cells that the traversal of the levels leaves, with how many blocks each is dealt into."""
+    root = F.concat_ws("|", F.to_json(F.struct("label")), F.size("vector").cast("string"))
+    placed = work.keep(classes.withColumn("cell", root), "placed-0")
+    nowhere = F.lit(None).cast("array<double>")
+    current = work.keep(placed.groupBy("cell").agg(F.count("*").alias("n")).select("cell", F.col("cell").alias("parent"), "n", nowhere.alias("centre"), F.lit(2.0).alias("radius")), "cells-0")
+    pairs = work.keep(current.select(F.col("cell").alias("x"), F.col("cell").alias("y")), "pairs-0")
+    level = 0
+    while level < LEVELS:
+        splits = current.where((F.col("n") > BLOCK) & (F.col("radius") > reach)).select("cell", "n")
+        if splits.isEmpty():
+            break
+        level += 1
+        big = placed.join(splits, "cell")
+        # of some four times as many members by hash the first PIVOTS: a bounded number a cell
+        some = big.where(F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4.0 * PIVOTS / F.col("n"))
+        norm = _normal(F.col("vector"))[1]
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key", F.lit(level)), "key")) - 1
+        pivots = work.keep(some.select("cell", "n", F.transform("vector", lambda x: x / norm).alias("centre"), place.alias("k")).where(F.col("k") < PIVOTS), f"pivots-{level}")
+        near = work.keep(_dealt(big, pivots), f"dealt-{level}")
+        moved = placed.join(near, "key", "left")
+        child = F.when(F.col("k").isNotNull(), F.concat_ws("/", "cell", F.col("k").cast("string"))).otherwise(F.col("cell"))
+        after = work.keep(moved.select("key", "node", "copies", "vector", child.alias("cell"), "away"), f"placed-{level}")
+        grown = after.where("away IS NOT NULL").groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"))
+        centres = pivots.select(F.concat_ws("/", "cell", F.col("k").cast("string")).alias("cell"), F.col("cell").alias("parent"), "centre")
+        kept = current.join(splits.select("cell"), "cell", "left_anti").withColumn("parent", F.col("cell"))
+        next_cells = work.keep(kept.select("cell", "parent", "n", "centre", "radius").unionByName(grown.join(centres, "cell").select("cell", "parent", "n", "centre", "radius")), f"cells-{level}")
+        a = next_cells.select(F.col("cell").alias("a"), F.col("parent").alias("x"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
+        b = next_cells.select(F.col("cell").alias("b"), F.col("parent").alias("y"), F.col("centre").alias("cb"), F.col("radius").alias("rb"))
+        down = pairs.join(a, "x").join(b, "y").where((F.col("x") != F.col("y")) | (F.col("a") <= F.col("b")))
+        down = down.where(_apart(F.col("ca"), F.col("cb")) <= F.col("ra") + F.col("rb") + reach)
+        pairs = work.keep(down.select(F.col("a").alias("x"), F.col("b").alias("y")), f"pairs-{level}")
+        work.drop(f"placed-{level - 1}", f"cells-{level - 1}", f"pairs-{level - 1}", f"pivots-{level}", f"dealt-{level}")
+        placed, current = after.drop("away"), next_cells
+    parts = current.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    pairs = pairs.join(parts.select(F.col("cell").alias("x"), F.col("parts").alias("px")), "x").join(parts.select(F.col("cell").alias("y"), F.col("parts").alias("py")), "y")
+    return placed.join(parts, "cell"), pairs
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -161,53 +245,27 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     # classes of equal vectors; a class is named by its least id, unique to it unless an id has several vectors, which then count as one
     members = work.keep(good.withColumn("key", F.sha2(F.to_json(F.struct("label", "vector")), 256)), "members")
     classes = work.keep(members.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vector").alias("vector")), "classes")
-    sized = classes.withColumn("dim", F.size("vector"))
-    counts = sized.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    # the first PIVOTS classes by hash, for each length, as unit vectors: a bounded sample
-    lengths = [r["dim"] for r in counts.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()]
-    pivots: dict[int, list[list[float]]] = {}
-    for dim in lengths:
-        got = sized.where(F.col("dim") == dim).select("vector", F.xxhash64("key").alias("h")).orderBy("h").limit(PIVOTS).collect()
-        pivots[dim] = [(np.array(r["vector"]) / np.linalg.norm(r["vector"])).tolist() for r in got]
-    unit = F.transform("vector", lambda x: x / _normal(F.col("vector"))[1])
-    cell, away = F.lit(0), F.lit(2.0)
-    placed = sized.join(F.broadcast(counts.where(F.col("n") > BLOCK).select(F.col("label").alias("l"), F.col("dim").alias("d"), F.col("n").alias("whole"))), (F.col("label") == F.col("l")) & (F.col("dim") == F.col("d")), "left")  # labels above BLOCK classes only: at most classes / BLOCK rows
-    for dim, points in pivots.items():
-        grid = F.array(*[F.struct((-F.aggregate(F.zip_with(F.lit(p), F.col("unit"), lambda s, x: s * x), F.lit(0.0), lambda s, x: s + x)).alias("far"), F.lit(k).alias("k")) for k, p in enumerate(points)])
-        large = F.col("whole").isNotNull() & (F.col("dim") == dim)
-        nearest = F.array_min(F.filter(grid, lambda g: g["k"] < F.ceil(F.col("whole") / BLOCK)))
-        cell = F.when(large, nearest["k"]).otherwise(cell)
-        away = F.when(large, F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * nearest["far"]))).otherwise(away)
-    placed = work.keep(placed.withColumn("unit", unit).withColumn("cell", cell).withColumn("away", away).drop("l", "d", "unit", "whole"), "placed")
-    cells = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("in_cell"), F.max("away").alias("radius"))
-    blocks = cells.withColumn("parts", F.ceil(F.col("in_cell") / BLOCK).cast("int")).select("label", "dim", "cell", "radius", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
-    blocks = work.keep(blocks, "blocks")
-    apart = F.lit(0.0)
-    for dim, points in pivots.items():
-        unit_points = np.array(points)
-        table = np.sqrt(np.maximum(0, 2 - 2 * unit_points @ unit_points.T)).reshape(-1).tolist()
-        apart = F.when(F.col("a.dim") == dim, F.get(F.lit(table), F.col("a.cell") * len(points) + F.col("b.cell"))).otherwise(apart)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    order_a, order_b = F.struct("a.cell", "a.part"), F.struct("b.cell", "b.part")
-    pairs = blocks.alias("a").join(blocks.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.dim") == F.col("b.dim")) & (order_a <= order_b))
-    pairs = pairs.where(apart <= F.col("a.radius") + F.col("b.radius") + reach)
-    pairs = pairs.select(F.col("a.label").alias("label"), F.col("a.dim").alias("dim"), F.struct("a.cell", "a.part").alias("x"), F.struct("b.cell", "b.part").alias("y"))
-    pairs = pairs.withColumn("pair", F.to_json(F.struct("label", "dim", "x", "y")))
-    roles = pairs.select("pair", "label", "dim", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at")))).alias("r"), (F.col("x") == F.col("y")).alias("same"))
-    roles = roles.where(~F.col("same") | (F.col("r.side") == 0)).select("pair", "label", "dim", F.col("r.side").alias("side"), F.col("r.at.cell").alias("cell"), F.col("r.at.part").alias("part"), "same")
-    dealt = placed.join(cells.select("label", "dim", "cell", F.ceil(F.col("in_cell") / BLOCK).cast("long").alias("parts")), ["label", "dim", "cell"])
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
-    work_rows = dealt.join(roles, ["label", "dim", "cell", "part"]).select("pair", "side", "same", "node", "copies", "vector")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        if bool(frame["same"].iloc[0]):
-            return compare_blocks(frame, frame, True, cosine)
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": np.zeros(0, np.int64), "other": pd.array([], "Int64"), "links": np.zeros(0, np.int64)})
+    placed, pairs = _cells(work, classes, reach)
+    sides = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("px") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("py") - 1)))
+    sides = sides.where((F.col("x") != F.col("y")) | (F.col("i") <= F.col("j"))).withColumn("same", (F.col("x") == F.col("y")) & (F.col("i") == F.col("j")))
+    sides = sides.withColumn("pair", F.concat_ws(" ", "x", F.col("i").cast("string"), "y", F.col("j").cast("string")))
+    roles = sides.select("pair", "same", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("cell"), F.col("i").alias("part")), F.struct(F.lit(1).alias("side"), F.col("y").alias("cell"), F.col("j").alias("part")))).alias("r"))
+    roles = work.keep(roles.where(~F.col("same") | (F.col("r.side") == 0)).select("pair", "same", "r.side", "r.cell", "r.part"), "roles")
+    dealt = placed.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    work_rows = dealt.join(roles, ["cell", "part"]).select("pair", "side", "same", "node", "copies", "vector")
+
+    def compare(block: pa.Table) -> pa.Table:
+        if block["same"][0].as_py():
+            return compare_blocks(block, block, True, cosine)
+        side = block["side"].to_numpy()
+        left, right = block.filter(pa.array(side == 0)), block.filter(pa.array(side == 1))
+        if not left.num_rows or not right.num_rows:
+            return _FOUND.empty_table()
         return compare_blocks(left, right, False, cosine)
 
-    found = work.keep(work_rows.groupBy("pair").applyInPandas(compare, "node long, other long, links long"), "found")
+    found = work.keep(work_rows.groupBy("pair").applyInArrow(compare, "node long, other long, links long"), "found")
+    work.drop("roles")
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(work, found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")))
     named = classes.select("key", "node", "copies").join(links, "node", "left").join(groups, "node", "left")
