@@ -7,8 +7,9 @@ mean over all its windows. The network is trained in numpy on the driver, on
 windows of at most PER_LANGUAGE documents of each language, picked by a hash of
 the id; it is a few kilobytes and travels with the tasks.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0; rows
-may repeat; an empty table gives an empty one; without any training row every
+Edge cases: a null text, or one without a letter (a character of Unicode category
+L), is `und` with score 0; of languages with equal probability the first by name is
+taken; more than `max_languages` languages raise; rows may repeat; an empty table gives an empty one; without any training row every
 text is `und`; other columns are ignored.
 """
 
@@ -28,14 +29,20 @@ WIDTHS = (2, 3, 4)
 EMBED, FILTERS = 4, 8
 #: Training rows at most, a language; windows at most of each; passes over them.
 PER_LANGUAGE, WINDOWS_PER_TEXT, STEPS = 300, 6, 900
+#: Languages that train() takes, unless told otherwise.
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BLOCK = 256
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; other word characters (fractions, superscripts) are none."""
+    return any(m.group().isalpha() for m in _LETTERS.finditer(text))
+
+
 def windows(text: str) -> np.ndarray:
     """All windows of a text, (n, WINDOW) bytes."""
     raw = text.encode("utf-8", "replace").translate(_LOWER)
@@ -116,12 +123,14 @@ class ByteNet:
         return self
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteNet | None:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> ByteNet | None:
     """A network from at most PER_LANGUAGE rows of each language, those of least id hash up to a share that the language's count sets."""
     rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages + 1).collect()}
     if not counts:
         return None
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: raise max_languages to learn them all")
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("l") == lang, F.lit(min(1.0, PER_LANGUAGE / n))).otherwise(share)
@@ -164,7 +173,7 @@ def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_
                     owner.clear()
 
             for i, text in enumerate(batch.column("text").to_pylist()):
-                if net and text and _LETTER.search(text):
+                if net and text and has_letter(text):
                     pending.append(windows(text))
                     owner.append(i)
                     size += len(pending[-1])
