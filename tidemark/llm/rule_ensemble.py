@@ -136,10 +136,12 @@ def featured(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """`labels`: the rows that may be learnt from. The sample of ids is bounded by MAX_ROWS, so its join is broadcast."""
-    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-    chosen = chosen.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
+    chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_ROWS)
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = featured(named.join(F.broadcast(chosen), "doc_id"), "text", ["doc_id", "y"]).limit(2 * MAX_ROWS).toPandas().sort_values("doc_id")
+    # of rows with one id the least text, so that the sample is the same on every run
+    found = named.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = featured(found, "text", ["doc_id", "y"]).toPandas().sort_values("doc_id")
     return fit(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float))
 
 
