@@ -11,8 +11,8 @@ is written ``<\\n>``. No control string can then stand inside a text, and the
 reverse replacements give every text back.
 
 Edge cases: a null role or text is the empty string; a null conversation id is
-a conversation of its own; turns are ordered by (turn, role, text), null turns
-first, and repeated rows are repeated turns; an empty table gives no rows; other
+a conversation of its own; turns are ordered by (turn, role, text) as they are
+before escaping, null turns first, and repeated rows are repeated turns; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -46,19 +46,20 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     loss_spans holds (start, length) in code points of `formatted`, one for
     each text of `loss_role`, in order; marks and separators lie outside. One
     shuffle gathers a conversation, the unit of the output; blocks are cut at
-    role changes by index arithmetic, in time linear in its turns.
+    role changes by index arithmetic. The list of spans is grown turn by turn, so a
+    conversation of n loss turns copies some n * n / 2 pairs of numbers.
     """
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(
             F.col(turn_col).alias("turn"),
-            escape_role(F.coalesce(F.col(role_col), F.lit(""))).alias("role"),
-            escape(F.coalesce(F.col(text_col), F.lit(""))).alias("text"),
+            F.coalesce(F.col(role_col), F.lit("")).alias("role"),
+            F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         ).alias("t"),
     )
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    role = F.transform("turns", lambda t: t["role"])
-    text = F.transform("turns", lambda t: t["text"])
+    role = F.transform("turns", lambda t: escape_role(t["role"]))
+    text = F.transform("turns", lambda t: escape(t["text"]))
     chats = chats.select("conv_id", role.alias("roles"), text.alias("texts"), F.size("turns").alias("n"))
     at = F.sequence(F.lit(1), F.col("n"))
     begins = F.filter(at, lambda i: (i == 1) | (F.get("roles", i - 1) != F.get("roles", i - 2)))
@@ -81,7 +82,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         lambda t, i: F.struct(
             (F.when(F.get("first", i), F.lit(lead) + F.char_length(F.get("roles", i)) + F.when(i == 0, 0).otherwise(len(END) + 1)).otherwise(len(SEP))).cast("long").alias("gap"),
             F.char_length(t).cast("long").alias("size"),
-            (F.get("roles", i) == F.lit(loss_role)).alias("loss"),
+            (F.get("roles", i) == escape_role(F.lit(loss_role))).alias("loss"),
         ),
     )
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
