@@ -10,10 +10,12 @@ MIN_COVERAGE can do without them. Each hit names a diagonal, and a banded
 alignment of the words there with the template's reports how much of the
 template is matched, in order, and where. What lies between the regions found is
 aligned again, so that copies side by side are reported apart. Short templates,
-under GRAM + WINNOW - 1 words, keep all their hashes. The templates are notices,
-no full license texts.
+under GRAM + WINNOW - 1 words, keep all their hashes, and those under GRAM words
+have none and are found by their anchors. The built-in templates are notices,
+headers and the texts of short licenses; the long ones (GPL, Apache and MPL whole)
+are not among them and can be given as `templates`.
 
-Edge cases: a null or wordless text gives no row; a text may hold several
+Edge cases: no templates, or templates without words, find nothing; a null or wordless text gives no row; a text may hold several
 licenses or copies, each a row; rows with equal ids are scanned apart; an empty
 table gives an empty one; other columns are ignored; texts are scanned whole.
 """
@@ -52,6 +54,17 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
 
+#: Fixed texts: well-known licenses that are short enough to be given whole, and headers of others.
+FULL_TEXTS = {
+    "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Unlicense-text": 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.',
+    "Zlib-text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "LGPL-3.0-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "CC0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+}
+
 
 def _words(text: str) -> np.ndarray:
     buf, starts, ends, _ = word_spans([text], lower=True)
@@ -74,10 +87,11 @@ class Index:
             for i in picked:
                 hashes.append(runs[i])
                 where.append((k, i))
-        self.need = [int(np.ceil(MIN_COVERAGE * len(words) - 1e-9)) for words in self.words]
+        self.need = [max(1, int(np.ceil(MIN_COVERAGE * len(words) - 1e-9))) for words in self.words]
         self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (words, text) in enumerate(zip(self.words, templates.values())):
             names = [w.strip(",.;:()\"").lower() for w in text.split()]
+            names += [""] * (len(words) - len(names))
             rare = sorted(range(len(words)), key=lambda i: (names[i] in COMMON, -len(names[i]) if len(names) > GRAM + WINNOW else 0, i))
             for i in rare[: len(words) - self.need[k] + 1]:
                 self.anchors[int(words[i])].append((k, i))
@@ -175,7 +189,7 @@ def scan_text(index: Index, words: np.ndarray) -> list[tuple[str, int, int, int,
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per license found: doc_id, license, first_word, last_word (0-based), start_byte, end_byte (in UTF-8), matched_words, coverage."""
-    index = Index(templates or TEMPLATES)
+    index = Index(TEMPLATES | FULL_TEXTS if templates is None else templates)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = source.select("doc_id").schema
     for name, kind in (("license", "string"), ("first_word", "long"), ("last_word", "long"), ("start_byte", "long"), ("end_byte", "long"), ("matched_words", "long"), ("coverage", "double")):
