@@ -1,4 +1,4 @@
-"""Queries that return every row, beside those that return some."""
+"""Queries return a row for every day, ticker and pair that their tables hold."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,12 +9,7 @@ from tidemark.plans.catalog import QUERIES
 from tidemark.sources.panel import panel, read
 
 
-def test_every_cut_query_has_a_whole_one():
-    cut = {n for n in QUERIES if n.startswith(("mom_", "sig_")) and f"{n}_all" in QUERIES}
-    assert len(cut) >= 29 and {"prep_split_adjust_all", "prep_jump_repair_all", "sim_switch_equity_all", "join_as_of_earnings_all", "join_fund_overlap_all", "join_left_all"} <= set(QUERIES)
-
-
-@pytest.mark.parametrize("name", ["mom_returns_all", "mom_log_trimmed_all", "sig_volume_all", "join_as_of_earnings_all", "prep_split_adjust_all", "sim_switch_equity_all"])
+@pytest.mark.parametrize("name", ["mom_returns", "mom_log_trimmed", "mom_log_ewma", "sig_volume", "sig_consistency", "join_as_of_earnings", "prep_split_adjust", "sim_switch_equity", "risk_restarting_year"])
 def test_a_row_for_every_day(spark, name):
     assert QUERIES[name](spark, SMALL).count() == panel(spark, SMALL).count()
 
@@ -26,22 +21,12 @@ def test_no_volume_factor_without_a_slope(spark):
 def test_joins_of_every_supplier_and_nation(spark, tmp_path):
     rows = [(1, 7), (1, 7), (30, 7), (30, 8), (40, 8), (41, 9)]
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {(r.a, r.b, r.common, r.share) for r in QUERIES["join_fund_overlap_all"](spark, str(tmp_path)).collect()}
+    got = {(r.a, r.b, r.common, r.share) for r in QUERIES["join_fund_overlap"](spark, str(tmp_path)).collect()}
     assert got == {(1, 30, 1, 1.0), (30, 40, 1, 1.0)}
-    keys = QUERIES["join_left_all"](spark, SMALL).select("c_custkey").distinct().count()
+    keys = QUERIES["join_left"](spark, SMALL).select("c_custkey").distinct().count()
     assert keys == read(spark, SMALL, "customer").count()
 
 
-def test_paths_of_every_ticker(spark):
-    got = QUERIES["mc_block_paths_all"](spark, SMALL, 200, 126).where("ticker = 'ECONOMY'").drop("ticker")
-    assert got.exceptAll(QUERIES["mc_block_paths"](spark, SMALL)).count() == 0 and got.count() == 200
-    tickers = panel(spark, SMALL).select("ticker").distinct().count()
-    assert {(r.ticker, r.n) for r in QUERIES["mc_block_paths_all"](spark, SMALL).groupBy("ticker").agg(F.count("*").alias("n")).collect()} == {(r.ticker, 2000) for r in panel(spark, SMALL).select("ticker").distinct().collect()}
-    assert QUERIES["mc_regimes_all"](spark, SMALL).count() == 4 * tickers and QUERIES["mc_percentiles_all"](spark, SMALL).count() == tickers
-    assert QUERIES["mc_crash_injection_all"](spark, SMALL).where("p5 < 0 AND p50 < 0").count() == tickers
-
-
 def test_regimes_of_every_year(spark):
-    some, every = QUERIES["model_hmm_regimes"](spark, SMALL).count(), QUERIES["model_hmm_regimes_all"](spark, SMALL)
-    rows = every.collect()
-    assert len(rows) > some and {r.state for r in rows} <= {0, 1, 2} and {(r.t - 504) % 252 for r in rows} == {0}
+    rows = QUERIES["model_hmm_regimes"](spark, SMALL).collect()
+    assert rows and {r.state for r in rows} <= {0, 1, 2} and {(r.t - 504) % 252 for r in rows} == {0}

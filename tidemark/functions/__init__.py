@@ -48,3 +48,41 @@ def contracts(amount: Column, price: Column) -> Column:
 
 def quarter_end(date: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(date, "quarter"), 2))
+
+
+def cents(x: Column) -> Column:
+    """To two decimals, halves up in plain double arithmetic."""
+    return F.floor(x * 100 + 0.5) / 100.0
+
+
+def option_record(kind: str, price: Column, vol: Column, away: float, days: int = 90, rate: float = 0.05) -> Column:
+    """A struct: strike some share away from the price, premium, its share of the price, delta, break-even, and what a put protects or a call levers."""
+    years = F.lit(days / 365.0)
+    strike = cents(price * (1 - away if kind == "put" else 1 + away))
+    premium = black_scholes(price, strike, years, F.lit(rate), vol, kind)
+    own = (price - strike - cents(premium)) if kind == "put" else F.when(premium > 0, price / premium).otherwise(0.0)
+    even = (price if kind == "put" else strike) + premium
+    return F.struct(strike.alias("strike"), cents(premium).alias("premium"), (premium / price).alias("cost"), F.round(delta(price, strike, years, F.lit(rate), vol, kind), 3).alias("delta"), cents(even).alias("breakeven"), cents(own).alias("protected" if kind == "put" else "leverage"))
+
+
+def affordable(wanted: Column, premium: Column, budget: Column) -> Column:
+    """Contracts of 100 that a budget pays for, of those wanted; none below one."""
+    return F.least(wanted, F.greatest(F.coalesce(F.floor(F.try_divide(budget, premium * 100)), F.lit(0)), F.lit(0)))
+
+
+def log_metrics(text: Column) -> Column:
+    """What a run's printed log says, by patterns; 0 where it doesn't."""
+    clean = F.regexp_replace(text, "\\x1b\\[[0-9;]*m", "")
+    number = lambda pattern, k=1: F.coalesce(F.regexp_extract(clean, pattern, k).try_cast("double"), F.lit(0.0))
+    return F.struct(
+        number(r"Survivable.*?:\s*(\d+)/(\d+)").cast("long").alias("n_survivable"),
+        number(r"Survivable.*?:\s*(\d+)/(\d+)", 2).cast("long").alias("n_combos"),
+        number(r"folds=(\d+)").cast("long").alias("n_folds"),
+        number(r"median:\s*([+\-]?\d+\.?\d*)%").alias("median"),
+        number(r"best:\s*([+\-]?\d+\.?\d*)%").alias("best"),
+    )
+
+
+def flattened(prefix: str, struct: str, fields: list[str], arrays: tuple[str, ...] = ()) -> list[Column]:
+    """Columns prefix_field of a struct's fields, arrays joined by commas."""
+    return [(F.array_join(F.col(f"{struct}.{f}").cast("array<string>"), ",") if f in arrays else F.col(f"{struct}.{f}")).alias(f"{prefix}_{f}") for f in fields]

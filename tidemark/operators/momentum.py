@@ -71,12 +71,10 @@ def log_momentum(lb: int, skip: int = 21) -> Column:
 
 
 def ewma_log_momentum(lb: int = 126, skip: int = 21, half_life: float = 63.0) -> Column:
-    """Exponentially weighted mean of log returns in the skipped window; a factor common to its weights cancels. Weights are taken about the row's position, folded to keep exponents small."""
+    """Exponentially weighted mean of log returns in the skipped window; a factor common to its weights cancels, so a row's weight may follow from its own number (up to some 40000 rows of a ticker)."""
     span = frame(-(skip + lb - 2), -skip)
-    rets = F.collect_list(F.col("lret")).over(span)
-    k = F.lit(0.6931471805599453 / half_life)
-    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-    return F.aggregate(rets, zero, lambda a, x: F.struct((a["up"] * F.exp(-k) + x).alias("up"), (a["down"] * F.exp(-k) + 1).alias("down")), lambda a: F.try_divide(a["up"], a["down"]))
+    weight = F.when(F.col("lret").isNotNull(), F.exp(F.lit(0.6931471805599453 / half_life) * F.col("t")))
+    return F.try_divide(F.sum(F.col("lret") * weight).over(span), F.sum(weight).over(span))
 
 
 def volnorm_log_momentum(lb: int = 126, skip: int = 21) -> Column:
@@ -84,8 +82,8 @@ def volnorm_log_momentum(lb: int = 126, skip: int = 21) -> Column:
 
 
 def acceleration(lb: int = 126, skip: int = 21) -> Column:
-    """Base log momentum plus half of (second half - first half)."""
-    end, mid, start = back("close", skip), back("close", skip + lb // 2), back("close", skip + lb - 1)
+    """Base log momentum plus half of (second half - first half); the halves meet lb // 2 rows after the start."""
+    end, mid, start = back("close", skip), back("close", skip + lb - 1 - lb // 2), back("close", skip + lb - 1)
     return F.ln(F.try_divide(end, start)) + 0.5 * (F.ln(F.try_divide(end, mid)) - F.ln(F.try_divide(mid, start)))
 
 

@@ -63,6 +63,92 @@ def snap_factor(raw: Column) -> Column:
     return F.when(best["gap"] <= 0.2 * best["factor"], best["factor"]).otherwise(raw)
 
 
+#: A close over the next outside this band is taken for a corporate action; gaps of more days than GAP for missing data.
+BAND, GAP, NEAR = (0.7, 1.4), 7, 3
+
+
+def _outside(ratio: Column) -> Column:
+    return (ratio <= BAND[0]) | (ratio >= BAND[1])
+
+
+def changed_identity(bars: DataFrame) -> DataFrame:
+    """(ticker, ex_date, factor) where a ticker's identifier `isin` changes from one bar to the next and the closes are too far apart."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = bars.withColumn("before", F.lag("isin").over(w)).withColumn("ratio", F.try_divide(F.lag("close").over(w), F.col("close")))
+    known = (F.coalesce("before", F.lit("")) != "") & (F.coalesce("isin", F.lit("")) != "")
+    return rows.where(known & (F.col("before") != F.col("isin")) & _outside(F.col("ratio"))).select("ticker", F.col("date").alias("ex_date"), snap_factor(F.col("ratio")).alias("factor"))
+
+
+def not_near(inferred: DataFrame, known: DataFrame, days: int = NEAR) -> DataFrame:
+    """Inferred actions but those within some days of a known one, or of an inferred one before them that stands.
+
+    The first rule is an anti-join on ticker and nearby dates; the second depends on
+    which earlier ones stand, so it is a fold over each ticker's dates in order.
+    """
+    apart = inferred.join(known.select(F.col("ticker").alias("k"), F.col("ex_date").alias("d")), (F.col("ticker") == F.col("k")) & (F.abs(F.datediff("ex_date", "d")) <= days), "left_anti")
+    packed = apart.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("ex_date", "factor"))).alias("events"))
+    none = F.filter("events", lambda e: F.lit(False))
+
+    def standing(kept: Column, e: Column) -> Column:
+        free = kept.isNull() | (F.size(kept) == 0) | (F.datediff(e["ex_date"], F.element_at(F.transform(kept, lambda k: k["ex_date"]), -1)) > days)
+        return F.when(free, F.concat(kept, F.array(e))).otherwise(kept)
+
+    return packed.select("ticker", F.explode(F.aggregate("events", none, standing)).alias("e")).select("ticker", "e.ex_date", "e.factor")
+
+
+def residual_factors(adjusted: DataFrame) -> DataFrame:
+    """(ticker, ex_date, factor) of what is left in adjusted closes (ticker, date, adj_close): a jump between near bars, but for factors within 5 % of one."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    rows = adjusted.withColumn("ratio", F.try_divide(F.lag("adj_close").over(w), F.col("adj_close"))).withColumn("gap", F.datediff("date", F.lag("date").over(w)))
+    rows = rows.where((F.col("ratio") > 0) & (F.col("gap") <= GAP) & _outside(F.col("ratio"))).withColumn("factor", snap_factor(F.col("ratio")))
+    return rows.where(F.abs(F.col("factor") - 1) >= 0.05).select("ticker", F.col("date").alias("ex_date"), "factor")
+
+
+def fully_adjusted(bars: DataFrame, actions: DataFrame) -> DataFrame:
+    """Bars (ticker, date, close, isin) adjusted by known actions, by those inferred from identifiers, and once more by what is left."""
+    known = actions.select("ticker", "ex_date", "factor")
+    factors = known.unionByName(not_near(changed_identity(bars), known))
+    return split_adjusted(bars, factors.unionByName(residual_factors(split_adjusted(bars, factors))))
+
+
+def populated(panel: DataFrame, first: int, last: int, share: float = 0.9) -> DataFrame:
+    """The window's rows of tickers that have a value on at least `share` of its days."""
+    window = panel.where((F.col("t") >= first) & (F.col("t") <= last))
+    enough = window.groupBy("ticker").agg(F.count("close").alias("n")).where(F.col("n") >= share * (last - first + 1)).select("ticker")
+    return window.join(enough, "ticker", "left_semi")
+
+
+def folded(frames: list[DataFrame], key: str) -> DataFrame:
+    """Frames of one value column each, side by side on their key: stacked long and grouped once, not a chain of outer joins."""
+    names = [next(c for c in f.columns if c != key) for f in frames]
+    rows = None
+    for frame, name in zip(frames, names, strict=True):
+        long = frame.select(F.col(key), F.lit(name).alias("name"), F.col(name).cast("double").alias("value"))
+        rows = long if rows is None else rows.unionByName(long)
+    return rows.groupBy(key).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
+#: Fixed values of the master filter.
+EXCLUDED = ["idcw", "dividend", "regular plan", "bonus", "payout", "institutional", "segregated", "annual", "monthly", "quarterly", "weekly", "reinvestment"]
+DROPPED = [" - Direct Plan", " Direct Plan", "-Direct Plan", " - Growth Option", " - Growth", "-Growth", " Growth", " Option", " Fund"]
+NAME_CHARS = 45
+
+
+def master_filter(schemes: DataFrame) -> DataFrame:
+    """Direct growth schemes (scheme_code, scheme_name) without the excluded kinds, with a short name."""
+    low = F.lower("scheme_name")
+    rows = schemes.where(low.contains("direct") & (low.contains("growth") | low.endswith(" gr")) & ~low.rlike("|".join(EXCLUDED)))
+    short = F.col("scheme_name")
+    for words in DROPPED:
+        short = F.replace(short, F.lit(words), F.lit(""))
+    return rows.select("scheme_code", "scheme_name", F.substring(short, 1, NAME_CHARS).alias("name"))
+
+
+def safe_havens(names: DataFrame, tickers: list[str], keywords: list[str]) -> DataFrame:
+    """Tickers (ticker, name) that are listed, or whose name has a keyword."""
+    return names.where(F.col("ticker").isin(tickers) | F.lower("name").rlike("|".join(keywords))).select("ticker").distinct()
+
+
 def jump_ratios(panel: DataFrame, low: float = -2 / 3, high: float = 2.0) -> DataFrame:
     """Closes rescaled so that jumps beyond the band vanish, anchored at the latest price: one reverse product."""
     r = F.try_divide(F.col("close"), F.lag("close").over(by_ticker()))

@@ -28,6 +28,11 @@ def restarting(panel: DataFrame, at: DataFrame, n: int = 252) -> DataFrame:
     return rows.groupBy("ticker", "rt").agg(F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"), F.min("dd").alias("max_dd"), F.count("*").alias("n"))
 
 
+def depth_in(n: int, name: str = "close") -> Column:
+    """The row's depth below the highest of the n rows up to it. Its least value over some rows is the worst drawdown inside any window of n rows among them."""
+    return F.try_divide(F.col(name), F.max(name).over(by_ticker().rowsBetween(-(n - 1), 0))) - 1
+
+
 def curve_summary(curve: DataFrame, keys: list[str], value: str = "equity", order: str = "t") -> DataFrame:
     """Total, CAGR (points / 252 years), Sharpe, ulcer, pain, Martin ratio and worst drawdown of each curve."""
     w = Window.partitionBy(*keys).orderBy(order)
@@ -95,3 +100,51 @@ def composite_score(pain_ratio: Column, cagr: Column, months: Column, depth: Col
     winning = F.when(win < 0.5, 0.5 + win).otherwise(1.0 + F.least(F.lit(0.3), win - 0.7))
     score = pain_ratio * ramp * underwater_penalty(months) * nerve_penalty(depth, months) * (1.0 - tail) * winning
     return F.when((rebalances < 3) | (cagr <= 0) | (pain_ratio <= 0), -1.0).otherwise(score)
+
+
+def strategy_stats(curve: DataFrame, keys: list[str], value: str, order: str, per_year: int, risk_free: float) -> DataFrame:
+    """CAGR over the steps, sample volatility, Sharpe and Sortino over a risk-free rate, worst drawdown and Calmar of curves with a point a period."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = curve.withColumn("r", F.try_divide(F.col(value), F.lag(value).over(w)) - 1).withColumn("dd", F.col(value) / F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    root = F.sqrt(F.lit(float(per_year)))
+    g = rows.groupBy(*keys).agg(F.count("r").alias("n"), (F.max_by(value, order) / F.min_by(value, order)).alias("growth"), (F.stddev_samp("r") * root).alias("risk"), (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * root).alias("down"), F.min("dd").alias("max_dd"))
+    g = g.withColumn("cagr", F.pow("growth", F.lit(float(per_year)) / F.col("n")) - 1)
+    over = lambda x: F.try_divide(F.col("cagr") - risk_free, x)
+    return g.withColumn("sharpe", over(F.col("risk"))).withColumn("sortino", over(F.col("down"))).withColumn("calmar", F.try_divide(F.col("cagr"), -F.col("max_dd"))).drop("growth", "down")
+
+
+def pain_report(panel: DataFrame) -> DataFrame:
+    """Per ticker: worst and current depth, the spread of calendar months, share of losing ones, yearly return and volatility."""
+    depth = panel.withColumn("dd", drawdown()).groupBy("ticker").agg(F.min("dd").alias("max_dd"), F.max_by("dd", "t").alias("current_dd"), (F.pow(F.max_by("close", "t") / F.min_by("close", "t"), F.lit(float(YEAR)) / F.count("*")) - 1).alias("cagr"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(YEAR)))).alias("vol"))
+    months = panel.groupBy("ticker", F.trunc("date", "month").alias("m")).agg((F.max_by("close", "date") / F.min_by("close", "date") - 1).alias("r"))
+    spread = months.groupBy("ticker").agg(F.expr("percentile(r, array(0.05, 0.5, 0.95))").alias("p"), F.avg((F.col("r") < 0).cast("double")).alias("losing"))
+    return depth.join(spread.select("ticker", *[F.col("p")[i].alias(n) for i, n in enumerate(("p5", "p50", "p95"))], "losing"), "ticker")
+
+
+def rank_sum(rows: DataFrame, name: str, measures: dict[str, bool]) -> DataFrame:
+    """(name, rank_sum): places by each measure (True: more is better) summed; a missing value takes the last places. A row a fund."""
+    total = F.lit(0)
+    for measure, high in measures.items():
+        value = F.coalesce(F.col(measure), F.lit(-999.0 if high else 999.0))
+        total = total + F.row_number().over(Window.orderBy(value.desc() if high else value.asc(), name))
+    return rows.select(name, total.cast("long").alias("rank_sum"))
+
+
+def rolling_correlations(panel: DataFrame, n: int, name: str = "ret") -> DataFrame:
+    """(a, b, t, c) over the last n common days of every pair of tickers a < b, where there are n; NULL for a constant side."""
+    a = panel.select(F.col("ticker").alias("a"), "t", F.col(name).alias("x"))
+    b = panel.select(F.col("ticker").alias("b"), "t", F.col(name).alias("y"))
+    w = Window.partitionBy("a", "b").orderBy("t").rowsBetween(-(n - 1), 0)
+    rows = a.join(b, "t").where("a < b AND x IS NOT NULL AND y IS NOT NULL").withColumn("k", F.count(F.lit(1)).over(w))
+    rows = rows.withColumn("c", F.try_divide(F.covar_pop("x", "y").over(w), F.stddev_pop("x").over(w) * F.stddev_pop("y").over(w)))
+    return rows.where(F.col("k") == n).select("a", "b", "t", "c")
+
+
+def weighted_portfolio(panel: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row: yearly mean and volatility, Sharpe, Sortino and worst drawdown of weights (ticker, w) brought to a sum of one over the tickers of each day."""
+    daily = panel.join(weights, "ticker").groupBy("t").agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("r"))
+    w = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)  # a row a date
+    rows = daily.withColumn("level", F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12)))).over(w))
+    rows = rows.withColumn("dd", F.exp(F.col("level") - F.greatest(F.max("level").over(w), F.lit(0.0))) - 1)
+    g = rows.agg(F.count("*").alias("n"), (F.avg("r") * YEAR).alias("mean"), (F.stddev_samp("r") * F.sqrt(F.lit(float(YEAR)))).alias("vol"), (F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))) * F.sqrt(F.lit(float(YEAR)))).alias("down"), F.min("dd").alias("max_dd"))
+    return g.withColumn("sharpe", F.try_divide(F.col("mean"), F.col("vol"))).withColumn("sortino", F.try_divide(F.col("mean"), F.col("down")))

@@ -28,7 +28,7 @@ def smoothness(n: int = 252, skip: int = 0) -> Column:
 
 
 def downside(kind: str) -> Column:
-    """Downside volatility by name; see the table of definitions in the README."""
+    """Downside volatility by name: the window, whether zeros stand in for gains, and the degrees of freedom differ."""
     neg = F.when(F.col("ret") < 0, F.col("ret"))
     clipped = F.least("ret", F.lit(0.0))
     year, history, forty = frame(-251, 0), by_ticker().rowsBetween(Window.unboundedPreceding, 0), frame(-39, 0)
@@ -66,14 +66,12 @@ def trend_t(n: int = 252) -> tuple[Column, Column]:
     return slope, F.when((count > 2) & (error > 0), F.try_divide(slope, error))
 
 
-def consistent(months: int = 11, least: int = 8) -> Column:
-    """At least `least` of the last 21-row returns are positive; true where history is short."""
-    ups, known = F.lit(0), F.lit(True)
-    for k in range(months):
-        a, b = back("close", 21 * k) if k else F.col("close"), back("close", 21 * (k + 1))
-        ups = ups + F.when(a > b, 1).otherwise(0)
-        known = known & b.isNotNull()
-    return F.when(known, ups >= least).otherwise(F.lit(True))
+def consistent(months: int = 11, least: int = 8, skip: int = 21) -> Column:
+    """At least `least` of the returns over 21 rows are positive, in the months two to twelve back: the first ends 21 rows before the skipped month's start. True where history is short."""
+    ups = F.lit(0)
+    for m in range(1, months + 1):
+        ups = ups + F.when(back("close", skip - 1 + 21 * m) > back("close", skip - 1 + 21 * (m + 1)), 1).otherwise(0)
+    return F.when(back("close", skip - 1 + 21 * (months + 1)).isNotNull(), ups >= least).otherwise(F.lit(True))
 
 
 def below_high(n: int = 252) -> Column:
@@ -142,3 +140,33 @@ def keyword_count(text: Column, words: list[str]) -> Column:
 def polarity(text: Column, positive: list[str], negative: list[str]) -> Column:
     p, n = keyword_count(text, positive), keyword_count(text, negative)
     return F.coalesce(F.try_divide(p - n, p + n), F.lit(0.0))
+
+
+def presence_polarity(text: Column, positive: list[str], negative: list[str], squash: float = 0.7) -> Column:
+    """How many of the words are there at all, good less bad over both, times `squash`; 0 where none is."""
+    low = F.lower(text)
+    p, n = (sum((low.contains(w).cast("int") for w in words), F.lit(0)) for words in (positive, negative))
+    return F.greatest(F.least(F.coalesce(F.try_divide((p - n).cast("double"), p + n) * squash, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+
+
+def null_ratios(frame: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, ratio): the share of rows where it is NULL or NaN."""
+    row = frame.agg(*[F.avg((F.col(f).isNull() | F.isnan(F.col(f).cast("double"))).cast("double")).alias(f) for f in features])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("ratio")) for f in features])).alias("x")).select("x.*")
+
+
+def correlated_features(frame: DataFrame, features: list[str], least: float = 0.0) -> DataFrame:
+    """(a, b, r) of every pair of features a before b, from one pass over the rows; only pairs with |r| above `least`."""
+    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    one = lambda a, b: F.when(both(a, b), F.col(a).cast("double"))
+    row = frame.agg(*[F.try_divide(F.covar_pop(one(a, b), one(b, a)), F.stddev_pop(one(a, b)) * F.stddev_pop(one(b, a))).alias(f"{a}|{b}") for a, b in pairs])
+    out = row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("x")).select("x.*")
+    return out.where(F.abs("r") > least)
+
+
+def daily_from_quarters(quarters: DataFrame, last: Column) -> DataFrame:
+    """(date, score, n) of every day from the first quarter end to `last`, each with the latest quarter (q, score, n) that has ended; business days are those of weekday < 5."""
+    w = Window.orderBy("q")  # a row a quarter
+    spans = quarters.withColumn("until", F.coalesce(F.date_sub(F.lead("q").over(w), 1), last)).where(F.col("until") >= F.col("q"))
+    return spans.select(F.explode(F.sequence("q", "until")).alias("date"), "score", "n").withColumn("business", F.weekday("date") < 5)

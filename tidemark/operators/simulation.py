@@ -23,27 +23,55 @@ def equity_under(signal: str = "signal", price: str = "close", start: float = 10
     return F.lit(start) * F.exp(F.sum(F.ln(F.coalesce(step, F.lit(1.0)))).over(so_far()))
 
 
-def expanding_folds(calendar: DataFrame, train: int, length: int, step: int) -> DataFrame:
-    """(fold, start, stop): out-of-sample windows of `length` rows after `train` rows, every `step`; starts are a sequence, not a loop."""
-    last = calendar.agg(F.max("t").alias("last"))
-    starts = last.select(F.explode(F.sequence(F.lit(train + 1), F.greatest(F.col("last") - 20, F.lit(train + 1)), F.lit(step))).alias("start"), "last")
-    rows = starts.select("start", F.least(F.col("start") + length - 1, F.col("last")).alias("stop")).where("stop - start + 1 >= 21")
-    return rows.withColumn("fold", F.row_number().over(Window.orderBy("start")))
+def expanding_folds(panel: DataFrame, train: int, length: int, least: int = 15) -> DataFrame:
+    """(fold, start, stop, live): out-of-sample windows from `train` rows of the calendar on, each as long as `length` or to the calendar's last row, the next starting where one stops; short ones (21 rows) end the list, ones with under `least` tickers alive before them are left out.
+
+    panel: ticker, t (0-based calendar numbers are t - 1, as in `start` and `stop`).
+    """
+    whole = panel.groupBy("ticker").agg(F.min("t").alias("born"), F.max("t").alias("last"))  # a row per ticker
+    last = whole.agg((F.max("last") - 1).alias("last"))
+    steps = F.sequence(F.lit(train).cast("long"), F.greatest(F.col("last") - 21, F.lit(train)).cast("long"), F.lit(length).cast("long"))
+    starts = last.select(F.explode(steps).alias("start"), "last").select("start", F.least(F.col("start") + length, F.col("last")).alias("stop")).where("stop - start >= 21")
+    live = starts.join(whole, F.col("born") <= F.col("start")).groupBy("start", "stop").agg(F.count("*").alias("live")).where(F.col("live") >= least)
+    return live.withColumn("fold", F.row_number().over(Window.orderBy("start"))).select("fold", "start", "stop", "live")  # some dozens of rows
+
+
+#: Rows of a ticker that a range join takes as one block.
+BLOCK = 64
+
+
+def held_prices(panel: DataFrame, weights: DataFrame, *columns: str) -> DataFrame:
+    """The weights' rows with the panel's rows of their ticker after rt and up to `until`: an equi-join on blocks of rows, so that a holding meets its own days and at most two blocks more."""
+    block = lambda t: F.floor(t / BLOCK)
+    prices = panel.select("ticker", "t", *columns, block(F.col("t")).alias("block"))
+    spans = weights.withColumn("block", F.explode(F.sequence(block(F.col("rt") + 1), block(F.greatest(F.col("until"), F.col("rt") + 1)))))
+    return spans.join(prices, ["ticker", "block"]).where((F.col("t") > F.col("rt")) & (F.col("t") <= F.col("until"))).drop("block")
 
 
 def period_returns(panel: DataFrame, weights: DataFrame, keys: list[str], hold: str = "daily") -> DataFrame:
-    """Returns per (keys, rt) of weights (keys, rt, until, ticker, w) held from rt to `until`.
+    """Logarithms of growth per (keys, rt) of weights (keys, rt, until, ticker, w) held from rt to `until`.
 
-    'daily' puts the weights back every day; 'shares' lets them drift. The range
-    join has one price row per held ticker and day, which is the result's size.
+    'daily' puts the weights back every day; 'shares' lets them drift.
     """
-    rows = weights.join(panel.select("ticker", "t", "close", "ret"), "ticker").where((F.col("t") > F.col("rt")) & (F.col("t") <= F.col("until")))
     if hold == "daily":
+        rows = held_prices(panel, weights, "ret")
         days = rows.groupBy(*keys, "rt", "t").agg(F.sum(F.col("w") * F.coalesce("ret", F.lit(0.0))).alias("r"))
-        return days.groupBy(*keys, "rt").agg((F.exp(F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12))))) - 1).alias("period_return"), F.count("*").alias("days"))
+        return days.groupBy(*keys, "rt").agg(F.sum(F.ln(F.greatest(1 + F.col("r"), F.lit(1e-12)))).alias("log_growth"), F.count("*").alias("days"))
+    rows = held_prices(panel, weights, "close")
     base = panel.select("ticker", F.col("t").alias("rt"), F.col("close").alias("entry"))
     ends = rows.join(base, ["ticker", "rt"]).groupBy(*keys, "rt", "ticker").agg(F.max_by("close", "t").alias("exit"), F.first("entry").alias("entry"), F.first("w").alias("w"), F.count("*").alias("n"))
-    return ends.groupBy(*keys, "rt").agg(F.sum(F.col("w") * (F.col("exit") / F.col("entry") - 1)).alias("period_return"), F.max("n").alias("days"))
+    return ends.groupBy(*keys, "rt").agg(F.ln(1 + F.sum(F.col("w") * (F.col("exit") / F.col("entry") - 1))).alias("log_growth"), F.max("n").alias("days"))
+
+
+#: Fixed values of the cost model: commission and fees a share, least commission an order, half spread, tax on gains, portfolio's money and a share's usual price.
+PER_SHARE, PER_ORDER, HALF_SPREAD, TAX, MONEY, SHARE_PRICE = 0.0037, 0.35, 0.0005, 0.21, 50_000.0, 75.0
+
+
+def trade_cost(moved: Column, sold_gain: Column) -> Column:
+    """An aggregate over the tickers of one rebalance: its cost as a share of the portfolio, of absolute weight changes and of the weights sold times their gain; 0 for hardly any turnover."""
+    turnover = F.sum(moved)
+    commission = F.greatest(turnover * MONEY / SHARE_PRICE * PER_SHARE, F.sum((moved > 0.001).cast("long")) * PER_ORDER) / MONEY
+    return F.when(turnover < 0.001, 0.0).otherwise(commission + turnover * HALF_SPREAD + F.sum(sold_gain) * TAX)
 
 
 def rebalance_cost(old: DataFrame, new: DataFrame, per_side: float = 0.001, tax: float = 0.2) -> DataFrame:
@@ -55,17 +83,18 @@ def rebalance_cost(old: DataFrame, new: DataFrame, per_side: float = 0.001, tax:
 
 
 def walk(prices: np.ndarray, scores: np.ndarray, top: int, every: int, warm: int, stop: float, cool: int, target: float, cash_rate: float) -> np.ndarray:
-    """Equity of one configuration: fixed-step rebalances into the best `top` positive scores, marked daily, with a drawdown stop, a cool-down and volatility scaling of at least 0.20.
+    """Equity of one configuration over a small matrix: fixed-step rebalances into equal parts of the best `top` positive scores, marked daily, with a drawdown stop, a cool-down and volatility scaling of at least 0.20.
 
-    Only rows up to the current one are read: no later price can change an earlier equity.
+    A missing price is the last one before it; a ticker without any yet isn't bought. Only rows up to the current one are read: no later price can change an earlier equity.
     """
     n = len(prices)
+    filled = pd.DataFrame(prices).ffill().to_numpy(float)
     daily = (1 + cash_rate) ** (1 / 252) - 1
     equity, cash, shares = np.ones(n), 1.0, np.zeros(prices.shape[1])
     peak, wait = 1.0, 0
     for t in range(1, n):
         cash *= 1 + daily
-        live = np.where(np.isfinite(prices[t]), prices[t], 0.0)
+        live = np.where(np.isfinite(filled[t]), filled[t], 0.0)
         value = cash + float(shares @ live)
         equity[t] = value
         peak = max(peak, value)
@@ -87,28 +116,6 @@ def walk(prices: np.ndarray, scores: np.ndarray, top: int, every: int, warm: int
     return equity
 
 
-def run_engine(panel: DataFrame, scores: DataFrame, grid: DataFrame) -> DataFrame:
-    """(config_id, t, equity) for each row of grid (config_id, top, every, warm, stop, cool, target, cash_rate).
-
-    Every configuration meets the whole panel, so the panel is packed into one
-    row (a matrix of days by tickers, some megabytes) and sent along; the grid
-    is what grows, and is dealt over all tasks.
-    """
-    matrix = panel.select("t", "ticker", "close").join(scores.select("t", "ticker", "score"), ["t", "ticker"], "left").toPandas()  # the aligned panel: days x universe
-    p = matrix.pivot(index="t", columns="ticker", values="close").sort_index().sort_index(axis=1)
-    s = matrix.pivot(index="t", columns="ticker", values="score").reindex_like(p)
-    packed = panel.sparkSession.sparkContext.broadcast((p.to_numpy(float), s.to_numpy(float)))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for c in frame.itertuples():
-            e = walk(*packed.value, c.top, c.every, c.warm, c.stop, c.cool, c.target, c.cash_rate)
-            out.append(pd.DataFrame({"config_id": c.config_id, "t": np.arange(1, len(e) + 1), "equity": e}))
-        return pd.concat(out)
-
-    return grid.groupBy("config_id").applyInPandas(run, "config_id long, t long, equity double")
-
-
 def rotation_targets(monthly: DataFrame, months: list[int], cash_below: float | None = None) -> DataFrame:
     """Per period the fund to hold: the best 12-1 momentum in the named months, kept until the next; cash where the best is below a bound."""
     w = Window.partitionBy("ticker").orderBy("period")

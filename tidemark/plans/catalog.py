@@ -1,4 +1,4 @@
-"""All registered queries and their SQL."""
+"""Queries of preparation, momentum, signals, risk, aggregates and joins, with their SQL; further plans are imported at the end."""
 
 from __future__ import annotations
 
@@ -8,111 +8,61 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import functions, streaming
-from tidemark.operators import allocation, hmm, montecarlo, prep, risk, signals, simulation, sweep
+from tidemark.operators import allocation, prep, risk, signals, simulation, sweep
 from tidemark.operators import momentum as mom
-from tidemark.sources.panel import by_ticker, SQL, panel, read
+from tidemark.plans.registry import CLIP, NEG, ORACLE_SQL, QUERIES, ROOT, YEAR, fr, lag, query, r6, with_returns
+from tidemark.sources.panel import SQL, by_ticker, panel, read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 
+def column_query(name: str, columns: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], digits: int = 6) -> None:
+    """A query of new columns at every row of every ticker."""
 
-def query(sql: str | None, name: str | None = None):
-    """Registers a query, with SQL that may start from the panel's common tables."""
-
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            text = sql.strip()
-            ORACLE_SQL[name or f.__name__] = f"{SQL}{',' if text[:1] == '+' else ''} {text.lstrip('+')}" if not text.startswith("!") else text[1:]
-        return f
-
-    return add
-
-
-def r6(c: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(c), digits).alias(c) if isinstance(c, str) else F.round(c, digits)
-
-
-def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
-
-
-def column_query(name: str, columns: Callable[[], dict[str, Column | Callable[[], Column]]], sql: dict[str, str], where: str = "t % 63 = 0", digits: int = 6, all_sql: dict[str, str] | None = None, all_digits: int | None = None) -> None:
-    """A query of new columns at some rows of every ticker, and one with _all in its name at every row, whose SQL may say more of first rows: the rows are chosen after the windows."""
-
-    def run(spark: SparkSession, sf_dir: str, where: str = where, digits: int = digits) -> DataFrame:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows, made = with_returns(spark, sf_dir), columns()
         for c, e in made.items():
             rows = rows.withColumn(c, e() if callable(e) else e)
-        return rows.where(where).select("ticker", "t", *[r6(c, digits) if dict(rows.dtypes)[c] == "double" else F.col(c) for c in made])
-
-    def text(sql: dict[str, str], digits: int) -> str:
-        inner = ", ".join(f"{e} AS {c}" for c, e in sql.items())
-        out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in sql)
-        w = "WINDOW w AS (PARTITION BY ticker ORDER BY t)"
-        return f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {inner} FROM rets {w})"
+        kinds = dict(rows.dtypes)
+        return rows.select("ticker", "t", *[r6(c, digits) if kinds[c] == "double" else F.col(c) for c in made])
 
-    many = all_digits or digits
+    inner = ", ".join(f"{e} AS {c}" for c, e in sql.items())
+    out = ", ".join(f"round({c}, {digits}) AS {c}" if not sql[c].startswith("/*raw*/") else c for c in sql)
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"{text(sql, digits)} WHERE {where}"
-    QUERIES[f"{name}_all"] = lambda spark, sf_dir: run(spark, sf_dir, "true", many)
-    ORACLE_SQL[f"{name}_all"] = text(all_sql or sql, many)
-
-
-def lag(k: int) -> str:
-    return f"lag(close, {k}) OVER w" if k else "close"
-
-
-def fr(lo: int, hi: int) -> str:
-    side = lambda k: "CURRENT ROW" if k == 0 else f"{-k} PRECEDING" if k < 0 else f"{k} FOLLOWING"
-    return f"OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN {side(lo)} AND {side(hi)})"
+    ORACLE_SQL[name] = f"{SQL} SELECT ticker, t, {out} FROM (SELECT ticker, t, {inner} FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY t))"
 
 
 short = lambda lb, skip=21: f"coalesce({lag(skip)} / {lag(skip + lb - 1)} - 1, 0)"
 full = lambda lb, skip=21: f"{lag(skip)} / {lag(skip + lb)} - 1"
 prev = lambda lb, skip=21: f"{lag(skip + 1)} / {lag(skip + lb)} - 1"
 BLEND = f"(0.2 * {short(63)} + 0.4 * {short(126)} + 0.4 * {short(252)})"
-ROOT = "sqrt(252)"
 
 # --- momentum ---------------------------------------------------------------------------------------------------------
-column_query("mom_returns", lambda: {"ret1": mom.simple_return(), "lret1": mom.log_return()}, {"ret1": "ret", "lret1": "lret"}, "t % 20 = 0")
-column_query("mom_skip_short", lambda: {f"m{lb}": mom.skip_short(lb) for lb in (21, 63, 126, 252)}, {f"m{lb}": short(lb) for lb in (21, 63, 126, 252)}, "t % 20 = 0")
-column_query("mom_skip_full", lambda: {f"m{lb}": mom.skip_full(lb) for lb in (63, 126, 252)}, {f"m{lb}": full(lb) for lb in (63, 126, 252)}, "t % 20 = 0")
-column_query("mom_no_skip", lambda: {"m63": mom.no_skip(63)}, {"m63": f"close / {lag(63)} - 1"}, "t % 20 = 0")
-column_query("mom_previous_bar", lambda: {f"m{lb}": mom.previous_bar(lb) for lb in (63, 126)}, {f"m{lb}": prev(lb) for lb in (63, 126)}, "t % 20 = 0")
-column_query("mom_blend", lambda: {"blend": mom.blend()}, {"blend": BLEND}, "t % 20 = 0")
+column_query("mom_returns", lambda: {"ret1": mom.simple_return(), "lret1": mom.log_return()}, {"ret1": "ret", "lret1": "lret"})
+column_query("mom_skip_short", lambda: {f"m{lb}": mom.skip_short(lb) for lb in (21, 63, 126, 252)}, {f"m{lb}": short(lb) for lb in (21, 63, 126, 252)})
+column_query("mom_skip_full", lambda: {f"m{lb}": mom.skip_full(lb) for lb in (63, 126, 252)}, {f"m{lb}": full(lb) for lb in (63, 126, 252)})
+column_query("mom_no_skip", lambda: {"m63": mom.no_skip(63)}, {"m63": f"close / {lag(63)} - 1"})
+column_query("mom_previous_bar", lambda: {f"m{lb}": mom.previous_bar(lb) for lb in (63, 126)}, {f"m{lb}": prev(lb) for lb in (63, 126)})
+column_query("mom_blend", lambda: {"blend": mom.blend()}, {"blend": BLEND})
 column_query(
     "mom_available_blend",
     lambda: {"blend": mom.available_blend()},
     {"blend": "(" + " + ".join(f"coalesce({w} * ({prev(lb)}), 0)" for lb, w in ((63, 0.2), (126, 0.4), (252, 0.4))) + ") / nullif(" + " + ".join(f"(CASE WHEN {lag(21 + lb)} IS NULL THEN 0 ELSE {w} END)" for lb, w in ((63, 0.2), (126, 0.4), (252, 0.4))) + ", 0)"},
-    "t % 20 = 0",
 )
-column_query("mom_sign_composite", lambda: {"score": mom.sign_composite()}, {"score": f"abs(sign({short(63)}) + sign({short(126)}) + sign({short(252)})) / 3 * {BLEND}"}, "t % 20 = 0")
-column_query("mom_log", lambda: {"m": mom.log_momentum(126)}, {"m": f"ln({lag(21)} / {lag(146)})"}, "t % 20 = 0")
-column_query("mom_log_volnorm", lambda: {"m": mom.volnorm_log_momentum()}, {"m": f"ln({lag(21)} / {lag(146)}) / nullif(stddev_pop(lret) {fr(-145, -21)} * sqrt(126), 0)"}, "t % 21 = 0")
-column_query("mom_log_accel", lambda: {"m": mom.acceleration()}, {"m": f"ln({lag(21)} / {lag(146)}) + 0.5 * (ln({lag(21)} / {lag(84)}) - ln({lag(84)} / {lag(146)}))"}, "t % 20 = 0")
-column_query("mom_log_ewma", lambda: {"m": mom.ewma_log_momentum()}, {"m": f"sum(lret * exp(ln(2) / 63 * (t - 2000))) {fr(-145, -21)} / sum(CASE WHEN lret IS NOT NULL THEN exp(ln(2) / 63 * (t - 2000)) END) {fr(-145, -21)}"}, "t % 63 = 0 AND t > 200")
-column_query("mom_weeks", lambda: {"flat": mom.weeks(), "tilted": mom.weeks(True)}, {k: " + ".join(f"{a} * (close / {lag(lb)} - 1)" for a, lb in zip(w, (5, 10, 20, 40), strict=True)) for k, w in (("flat", (0.25,) * 4), ("tilted", (0.4, 0.3, 0.2, 0.1)))}, "t % 20 = 0")
-column_query("mom_rolling_cagr", lambda: {f"y{y}": mom.rolling_cagr(y) for y in (1, 3, 5)}, {f"y{y}": f"pow(close / {lag(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5)}, "t % 40 = 0")
-column_query("mom_dual", lambda: {"absolute": mom.no_skip(252)}, {"absolute": f"close / {lag(252)} - 1"}, "t % 20 = 0")
-column_query("mom_pct_change", lambda: {"pct": F.round(mom.no_skip(10) * 100, 2)}, {"pct": f"round((close / {lag(10)} - 1) * 100, 2)"}, "t % 20 = 0")
-
-
-@query("SELECT ticker, t, round(list_sum(list_sort(l)[k + 1:n - k]), 6) AS m FROM (SELECT ticker, t, l, len(l) AS n, greatest(CAST(floor(len(l) * 0.05) AS INTEGER), 1) AS k FROM (SELECT ticker, t, list(lret) FILTER (lret IS NOT NULL) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 145 PRECEDING AND 21 PRECEDING) AS l FROM rets) WHERE t % 63 = 0 AND t > 150)")
-def mom_log_trimmed(spark, sf_dir):
-    return with_returns(spark, sf_dir).withColumn("m", mom.trimmed_log_momentum()).where("t % 63 = 0 AND t > 150").select("ticker", "t", r6("m"))
+column_query("mom_sign_composite", lambda: {"score": mom.sign_composite()}, {"score": f"abs(sign({short(63)}) + sign({short(126)}) + sign({short(252)})) / 3 * {BLEND}"})
+column_query("mom_log", lambda: {"m": mom.log_momentum(126)}, {"m": f"ln({lag(21)} / {lag(146)})"})
+column_query("mom_log_volnorm", lambda: {"m": mom.volnorm_log_momentum()}, {"m": f"ln({lag(21)} / {lag(146)}) / nullif(stddev_pop(lret) {fr(-145, -21)} * sqrt(126), 0)"})
+column_query("mom_log_accel", lambda: {"m": mom.acceleration()}, {"m": f"ln({lag(21)} / {lag(146)}) + 0.5 * (ln({lag(21)} / {lag(83)}) - ln({lag(83)} / {lag(146)}))"})
+column_query("mom_log_ewma", lambda: {"m": mom.ewma_log_momentum()}, {"m": f"sum(lret * exp(ln(2) / 63 * (t - 2000))) {fr(-145, -21)} / sum(CASE WHEN lret IS NOT NULL THEN exp(ln(2) / 63 * (t - 2000)) END) {fr(-145, -21)}"})
+column_query("mom_weeks", lambda: {"flat": mom.weeks(), "tilted": mom.weeks(True)}, {k: " + ".join(f"{a} * (close / {lag(lb)} - 1)" for a, lb in zip(w, (5, 10, 20, 40), strict=True)) for k, w in (("flat", (0.25,) * 4), ("tilted", (0.4, 0.3, 0.2, 0.1)))})
+column_query("mom_rolling_cagr", lambda: {f"y{y}": mom.rolling_cagr(y) for y in (1, 3, 5)}, {f"y{y}": f"pow(close / {lag(252 * y)}, 1.0 / {y}) - 1" for y in (1, 3, 5)})
+column_query("mom_dual", lambda: {"absolute": mom.no_skip(252)}, {"absolute": f"close / {lag(252)} - 1"})
+column_query("mom_pct_change", lambda: {"pct": F.round(mom.no_skip(10) * 100, 2)}, {"pct": f"round((close / {lag(10)} - 1) * 100, 2)"})
 
 
 @query("SELECT ticker, t, round(list_sum(list_sort(l)[k + 1:n - k]), 6) AS m FROM (SELECT ticker, t, l, len(l) AS n, greatest(CAST(floor(len(l) * 0.05) AS INTEGER), 1) AS k FROM (SELECT ticker, t, list(lret) FILTER (lret IS NOT NULL) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 145 PRECEDING AND 21 PRECEDING) AS l FROM rets))")
-def mom_log_trimmed_all(spark, sf_dir):
+def mom_log_trimmed(spark, sf_dir):
     return with_returns(spark, sf_dir).withColumn("m", mom.trimmed_log_momentum()).select("ticker", "t", r6("m"))
 
 
-@query("SELECT date, round(sum(CASE WHEN m > 0 THEN 1 ELSE 0 END) / greatest(count(m), 1), 6) AS breadth FROM (SELECT date, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY t) - 1 AS m FROM panel) GROUP BY date")
-def mom_breadth(spark, sf_dir):
-    return mom.breadth(panel(spark, sf_dir)).select("date", r6("breadth"))
-
-
 EPS = "+eps AS (SELECT ticker, date_trunc('quarter', date) AS q, CAST(date_trunc('quarter', date) AS DATE) AS report_date, round(avg(close), 4) AS eps FROM panel GROUP BY 1, 2), yoy AS (SELECT ticker, report_date, CASE WHEN p IS NULL THEN NULL WHEN abs(p) > 0.01 THEN (eps - p) / abs(p) ELSE sign(eps - p) END AS yoy FROM (SELECT *, lag(eps, 4) OVER (PARTITION BY ticker ORDER BY report_date) AS p FROM eps))"
 
 
@@ -125,14 +75,8 @@ def mom_earnings_yoy(spark, sf_dir):
     return mom.yoy_growth(quarterly(spark, sf_dir)).select("ticker", "report_date", r6("yoy"))
 
 
-@query(EPS + " SELECT p.ticker, p.date, round(y.yoy, 6) AS yoy FROM panel p ASOF LEFT JOIN (SELECT * FROM yoy WHERE yoy IS NOT NULL) y ON p.ticker = y.ticker AND p.date >= y.report_date WHERE t % 20 = 0")
-def join_as_of_earnings(spark, sf_dir):
-    facts = mom.yoy_growth(quarterly(spark, sf_dir)).select("ticker", F.col("report_date").alias("date"), "yoy")
-    return prep.as_of(panel(spark, sf_dir), facts, "ticker", "date", "yoy").where("t % 20 = 0").select("ticker", "date", r6("yoy"))
-
-
 @query(EPS + " SELECT p.ticker, p.date, round(y.yoy, 6) AS yoy FROM panel p ASOF LEFT JOIN (SELECT * FROM yoy WHERE yoy IS NOT NULL) y ON p.ticker = y.ticker AND p.date >= y.report_date")
-def join_as_of_earnings_all(spark, sf_dir):
+def join_as_of_earnings(spark, sf_dir):
     facts = mom.yoy_growth(quarterly(spark, sf_dir)).select("ticker", F.col("report_date").alias("date"), "yoy")
     return prep.as_of(panel(spark, sf_dir), facts, "ticker", "date", "yoy").select("ticker", "date", r6("yoy"))
 
@@ -144,10 +88,8 @@ def mom_monthly_12_1(spark, sf_dir):
 
 
 # --- signals ----------------------------------------------------------------------------------------------------------
-YEAR = fr(-251, 0)
 R2 = f"(CASE WHEN regr_syy(ln(close), t) {YEAR} > 0 THEN regr_r2(ln(close), t) {YEAR} ELSE 0 END)"
 UP = f"avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) {YEAR}"
-NEG, CLIP = "CASE WHEN ret < 0 THEN ret END", "CASE WHEN ret IS NULL THEN 0 ELSE least(ret, 0) END"
 column_query("sig_trend_quality", lambda: {"r2": signals.trend_r2(), "fip": signals.share_up(), "smooth": signals.smoothness()}, {"r2": R2, "fip": UP, "smooth": f"sqrt({R2} * {UP})"})
 DNV = {
     "dnv_hist_neg": f"coalesce(stddev_pop({NEG}) OVER w * {ROOT}, 1e-4)",
@@ -162,20 +104,23 @@ DNV = {
     "dnv_monthly_sq": f"sqrt(avg(({CLIP}) * ({CLIP})) {fr(-11, 0)})",
 }
 column_query("sig_downside_vols", lambda: {k: (lambda k=k: signals.downside(k)) for k in signals.DOWNSIDE}, DNV)
+R40 = f"CASE WHEN regr_syy(ln(close), t) {fr(-39, 0)} > 0 THEN regr_r2(ln(close), t) {fr(-39, 0)} ELSE 0 END"
+TILT = " + ".join(f"{a} * (close / {lag(lb)} - 1)" for a, lb in zip((0.4, 0.3, 0.2, 0.1), (5, 10, 20, 40), strict=True))
+column_query("mom_week_scores", lambda: {**{f"score_{k}w": mom.no_skip(5 * k) for k in (1, 2, 4, 8)}, "score_sortino": mom.weeks(True) * signals.smoothness(40) / signals.downside("dnv_40_neg")}, {**{f"score_{k}w": f"close / {lag(5 * k)} - 1" for k in (1, 2, 4, 8)}, "score_sortino": f"({TILT}) * sqrt({R40} * avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END) {fr(-39, 0)}) / coalesce(stddev_pop({NEG}) {fr(-39, 0)} * {ROOT}, 1e-4)"}, digits=5)
 column_query("sig_total_vol", lambda: {"vol": signals.total_vol()}, {"vol": f"greatest(coalesce(stddev_pop(ret) {fr(-125, 0)} * {ROOT}, 1e-4), 1e-4)"})
 column_query("sig_trend_slope", lambda: {"slope": signals.trend_t()[0], "tstat": signals.trend_t()[1]}, {"slope": f"regr_slope(ln(close), t) {YEAR}", "tstat": f"CASE WHEN regr_count(ln(close), t) {YEAR} > 2 THEN regr_slope(ln(close), t) {YEAR} / nullif(sqrt(greatest(regr_syy(ln(close), t) {YEAR} - pow(regr_sxy(ln(close), t) {YEAR}, 2) / regr_sxx(ln(close), t) {YEAR}, 0) / (regr_count(ln(close), t) {YEAR} - 2)) / sqrt(regr_sxx(ln(close), t) {YEAR}), 0) END"})
-column_query("sig_consistency", lambda: {"ok": signals.consistent()}, {"ok": "/*raw*/CASE WHEN lag(close, 231) OVER w IS NULL THEN true ELSE " + " + ".join(f"(CASE WHEN {lag(21 * k)} > {lag(21 * k + 21)} THEN 1 ELSE 0 END)" for k in range(11)) + " >= 8 END"})
+column_query("sig_consistency", lambda: {"ok": signals.consistent()}, {"ok": "/*raw*/CASE WHEN lag(close, 272) OVER w IS NULL THEN true ELSE " + " + ".join(f"(CASE WHEN {lag(20 + 21 * k)} > {lag(41 + 21 * k)} THEN 1 ELSE 0 END)" for k in range(1, 12)) + " >= 8 END"})
 HIGH = f"(1 - close / max(close) {YEAR})"
-column_query("sig_high_distance", lambda: {"below": signals.below_high(), "factor": signals.level_factor(signals.below_high())}, {"below": HIGH, "factor": f"CASE WHEN {HIGH} < 0.10 THEN 1.10 WHEN {HIGH} < 0.25 THEN 1.0 ELSE greatest(0.85, 1.0 - 0.5 * ({HIGH} - 0.25)) END"}, "t % 20 = 0")
+column_query("sig_high_distance", lambda: {"below": signals.below_high(), "factor": signals.level_factor(signals.below_high())}, {"below": HIGH, "factor": f"CASE WHEN {HIGH} < 0.10 THEN 1.10 WHEN {HIGH} < 0.25 THEN 1.0 ELSE greatest(0.85, 1.0 - 0.5 * ({HIGH} - 0.25)) END"})
 TWO = f"regr_count(ln(greatest(dvol, 1e-4)), t) {fr(-62, 0)} > 1"
 VS = f"(regr_slope(ln(greatest(dvol, 1e-4)), t) {fr(-62, 0)} * 252)"
-column_query("sig_volume", lambda: {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": VS, "factor": f"least(greatest(1 + 0.15 * {VS}, 0.7), 1.3)", "adv60": f"avg(dvol) {fr(-59, 0)}"}, "t % 63 = 0", 4, {"slope": f"CASE WHEN {TWO} THEN {VS} END", "factor": f"CASE WHEN {TWO} THEN least(greatest(1 + 0.15 * {VS}, 0.7), 1.3) END", "adv60": f"avg(dvol) {fr(-59, 0)}"}, 7)
+column_query("sig_volume", lambda: {"slope": signals.volume_slope(), "factor": signals.volume_factor(signals.volume_slope()), "adv60": F.avg("dvol").over(mom.frame(-59, 0))}, {"slope": f"CASE WHEN {TWO} THEN {VS} END", "factor": f"CASE WHEN {TWO} THEN least(greatest(1 + 0.15 * {VS}, 0.7), 1.3) END", "adv60": f"avg(dvol) {fr(-59, 0)}"}, 7)
 column_query("sig_rolling_max", lambda: {"peak": F.max("close").over(mom.frame(-62, 0))}, {"peak": f"max(close) {fr(-62, 0)}"})
 column_query("sig_ma_cross", lambda: {"above": signals.ma_cross()}, {"above": f"/*raw*/CASE WHEN count(close) {fr(-199, 0)} = 200 THEN avg(close) {fr(-49, 0)} > avg(close) {fr(-199, 0)} END"})
 column_query("sig_below_mean", lambda: {"below": signals.below_own_mean()}, {"below": f"/*raw*/lag(close) OVER w < avg(close) {fr(-100, -1)}"})
-column_query("sig_vol_state", lambda: {"state": signals.vol_state(60, 30.0, 60.0)}, {"state": f"/*raw*/CASE WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 30 THEN 'low' WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 60 THEN 'mid' WHEN stddev_pop(ret) {fr(-59, 0)} IS NOT NULL THEN 'high' END"})
+column_query("sig_vol_state", lambda: {"state": signals.vol_state()}, {"state": f"/*raw*/CASE WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 0.14 THEN 'low' WHEN stddev_pop(ret) {fr(-59, 0)} * {ROOT} < 0.22 THEN 'mid' WHEN stddev_pop(ret) {fr(-59, 0)} IS NOT NULL THEN 'high' END"})
 column_query("sig_zscore", lambda: {"z": signals.zscore("volume")}, {"z": f"coalesce(CASE WHEN count(volume) {YEAR} >= 5 THEN (volume - avg(volume) {YEAR}) / nullif(stddev_pop(volume) {YEAR}, 0) END, 0)"})
-column_query("sig_rolling_sums", lambda: {"s21": signals.full_sum("volume", 21), "s60": signals.full_sum("volume", 60), "vlog": F.ln(F.col("volume") / F.avg("volume").over(mom.frame(-59, 0)))}, {"s21": f"CASE WHEN count(volume) {fr(-20, 0)} = 21 THEN sum(volume) {fr(-20, 0)} END", "s60": f"CASE WHEN count(volume) {fr(-59, 0)} = 60 THEN sum(volume) {fr(-59, 0)} END", "vlog": f"ln(volume / avg(volume) {fr(-59, 0)})"}, "t % 20 = 0")
+column_query("sig_rolling_sums", lambda: {"s21": signals.full_sum("volume", 21), "s60": signals.full_sum("volume", 60), "vlog": F.ln(F.col("volume") / F.avg("volume").over(mom.frame(-59, 0)))}, {"s21": f"CASE WHEN count(volume) {fr(-20, 0)} = 21 THEN sum(volume) {fr(-20, 0)} END", "s60": f"CASE WHEN count(volume) {fr(-59, 0)} = 60 THEN sum(volume) {fr(-59, 0)} END", "vlog": f"ln(volume / avg(volume) {fr(-59, 0)})"})
 column_query("sig_realised_vol", lambda: {"vol": F.coalesce(F.stddev_samp("lret").over(mom.frame(-89, 0)) * 252**0.5, F.lit(0.30))}, {"vol": f"coalesce(stddev_samp(lret) {fr(-89, 0)} * {ROOT}, 0.30)"})
 
 
@@ -187,19 +132,6 @@ def sig_microstructure(spark, sf_dir):
     return g.select("date", r6("a").alias("agg_abs_ret"), r6(F.log1p(1e6 * F.col("m"))).alias("agg_amihud_log"), r6("vp").alias("agg_vp_corr"))
 
 
-@query("+m AS (SELECT date, avg(greatest(least(ret, 0.2), -0.2)) AS r FROM rets GROUP BY date) SELECT date, round(ln(level), 6) AS log_level FROM (SELECT date, exp(sum(ln(1 + coalesce(r, 0))) OVER (ORDER BY date)) AS level FROM m)")
-def sig_market_level(spark, sf_dir):
-    return signals.market_level(with_returns(spark, sf_dir)).select("date", r6(F.ln("level")).alias("log_level"))
-
-
-@query("+m AS (SELECT date, row_number() OVER (ORDER BY date) AS t, round(avg(close), 4) AS p FROM panel GROUP BY date) SELECT date, CASE WHEN a < 0 AND b > 0.05 THEN 0.5 ELSE 1.0 END AS scale FROM (SELECT date, p / lag(p, 504) OVER (ORDER BY date) - 1 AS a, p / lag(p, 21) OVER (ORDER BY date) - 1 AS b FROM m)")
-def sig_crash_protection(spark, sf_dir):
-    m = panel(spark, sf_dir).groupBy("date").agg(F.round(F.avg("close"), 4).alias("p"))  # a row per day before the one ordered window
-    w = Window.orderBy("date")
-    fall, rise = F.col("p") / F.lag("p", 504).over(w) - 1 < 0, F.col("p") / F.lag("p", 21).over(w) - 1 > 0.05
-    return m.select("date", F.when(fall & rise, 0.5).otherwise(1.0).alias("scale"))
-
-
 POSITIVE, NEGATIVE = ["the", "tion", "est"], ["ing", "les", "und"]
 _COUNT = lambda words: " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}.0" for w in words)
 
@@ -226,15 +158,8 @@ def prep_scaffold_fill(spark, sf_dir):
     return prep.scaffold(panel(spark, sf_dir)).select("ticker", "date", prep.forward_fill("close").alias("filled"))
 
 
-@query("+a AS (SELECT ticker, date AS ex_date, 2.0 AS factor FROM panel WHERE t % 500 = 0) SELECT p.ticker, p.date, round(p.close / coalesce(exp((SELECT sum(ln(factor)) FROM a WHERE a.ticker = p.ticker AND a.ex_date > p.date)), 1), 6) AS adj_close FROM panel p WHERE t % 20 = 0")
-def prep_split_adjust(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    actions = p.where("t % 500 = 0").select("ticker", F.col("date").alias("ex_date"), F.lit(2.0).alias("factor"))
-    return prep.split_adjusted(p, actions).join(p.where("t % 20 = 0").select("ticker", "date"), ["ticker", "date"], "left_semi").select("ticker", "date", r6("adj_close"))
-
-
 @query("+a AS (SELECT ticker, date AS ex_date, 2.0 AS factor FROM panel WHERE t % 500 = 0) SELECT p.ticker, p.date, round(p.close / coalesce(exp((SELECT sum(ln(factor)) FROM a WHERE a.ticker = p.ticker AND a.ex_date > p.date)), 1), 6) AS adj_close FROM panel p")
-def prep_split_adjust_all(spark, sf_dir):
+def prep_split_adjust(spark, sf_dir):
     p = panel(spark, sf_dir)
     actions = p.where("t % 500 = 0").select("ticker", F.col("date").alias("ex_date"), F.lit(2.0).alias("factor"))
     return prep.split_adjusted(p, actions).select("ticker", "date", r6("adj_close"))
@@ -246,13 +171,8 @@ def prep_infer_factor(spark, sf_dir):
     return raw.select("ticker", "t", r6(prep.snap_factor(F.col("raw"))).alias("factor"))
 
 
-@query("+j AS (SELECT ticker, t, close, CASE WHEN ret > 2 OR ret < -2.0 / 3 THEN ln(1 + ret) ELSE 0 END AS jump FROM rets) SELECT ticker, t, round(ln(repaired), 6) AS log_repaired FROM (SELECT ticker, t, close * exp(coalesce(sum(jump) OVER (PARTITION BY ticker ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS repaired FROM j) WHERE t % 20 = 0")
-def prep_jump_repair(spark, sf_dir):
-    return prep.jump_ratios(panel(spark, sf_dir)).where("t % 20 = 0").select("ticker", "t", r6(F.ln("repaired")).alias("log_repaired"))
-
-
 @query("+j AS (SELECT ticker, t, close, CASE WHEN ret > 2 OR ret < -2.0 / 3 THEN ln(1 + ret) ELSE 0 END AS jump FROM rets) SELECT ticker, t, round(ln(repaired), 6) AS log_repaired FROM (SELECT ticker, t, close * exp(coalesce(sum(jump) OVER (PARTITION BY ticker ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS repaired FROM j)")
-def prep_jump_repair_all(spark, sf_dir):
+def prep_jump_repair(spark, sf_dir):
     return prep.jump_ratios(panel(spark, sf_dir)).select("ticker", "t", r6(F.ln("repaired")).alias("log_repaired"))
 
 
@@ -261,9 +181,11 @@ def prep_coverage(spark, sf_dir):
     return prep.coverage(panel(spark, sf_dir)).select("ticker", "n", "first", "last", F.col("max_gap").cast("long"), r6("max_move"))
 
 
-@query("SELECT ticker, days, moves FROM (SELECT ticker, count(close) AS days, CAST(sum(CASE WHEN abs(ret) > 5 THEN 1 ELSE 0 END) AS BIGINT) AS moves FROM rets GROUP BY ticker) WHERE days >= 252 AND moves <= 400 ORDER BY days DESC, ticker LIMIT 5")
+@query("+m AS (SELECT ticker, t, round(avg(close) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS level FROM panel), r AS (SELECT ticker, t, level, level / lag(level) OVER (PARTITION BY ticker ORDER BY t) - 1 AS ret FROM m) SELECT ticker, days, moves FROM (SELECT ticker, count(level) AS days, CAST(sum(CASE WHEN abs(ret) > 0.2 THEN 1 ELSE 0 END) AS BIGINT) AS moves FROM r GROUP BY ticker) WHERE days >= 252 AND moves <= 3 ORDER BY days DESC, ticker LIMIT 100")
 def prep_quality_gate(spark, sf_dir):
-    return prep.quality_gate(panel(spark, sf_dir), 252, 5.0, 400, 5)
+    """At the operator's own thresholds, over each ticker's 60-day mean: single closes of this panel jump too far for any to pass."""
+    level = panel(spark, sf_dir).select("ticker", "t", F.round(F.avg("close").over(mom.frame(-59, 0)), 6).alias("close"))
+    return prep.quality_gate(level)
 
 
 @query("!SELECT p_name, trim(replace(lower(p_name), 'part', '')) AS name, p_partkey FROM part WHERE lower(p_name) LIKE '%a%' AND NOT regexp_matches(lower(p_name), '(7|9)')")
@@ -314,16 +236,10 @@ def risk_drawdown(spark, sf_dir):
     return rows.groupBy("ticker").agg(r6(F.min("dd")).alias("max_dd"), r6(F.max_by("dd", "t")).alias("current_dd"), r6(F.sqrt(F.avg(F.col("dd") * F.col("dd")))).alias("ulcer"), r6(F.avg(F.abs("dd"))).alias("pain"))
 
 
-@query("+r AS (SELECT a.ticker, a.t AS rt, p.t, p.close / max(p.close) OVER (PARTITION BY a.ticker, a.t ORDER BY p.t) - 1 AS dd FROM panel a JOIN panel p ON a.ticker = p.ticker AND p.t > a.t - 252 AND p.t <= a.t WHERE a.t % 126 = 0) SELECT ticker, rt, round(sqrt(avg(dd * dd)), 6) AS ulcer, round(min(dd), 6) AS max_dd, count(*) AS n FROM r GROUP BY ticker, rt")
+@query("+r AS (SELECT a.ticker, a.t AS rt, p.t, p.close / max(p.close) OVER (PARTITION BY a.ticker, a.t ORDER BY p.t) - 1 AS dd FROM panel a JOIN panel p ON a.ticker = p.ticker AND p.t > a.t - 252 AND p.t <= a.t) SELECT ticker, rt, round(sqrt(avg(dd * dd)), 6) AS ulcer, round(min(dd), 6) AS max_dd, count(*) AS n FROM r GROUP BY ticker, rt")
 def risk_restarting_year(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return risk.restarting(p, p.where("t % 126 = 0").select("ticker", F.col("t").alias("rt"))).select("ticker", "rt", r6("ulcer"), r6("max_dd"), "n")
-
-
-@query("+r AS (SELECT a.ticker, a.t AS rt, p.t, p.close / max(p.close) OVER (PARTITION BY a.ticker, a.t ORDER BY p.t) - 1 AS dd FROM panel a JOIN panel p ON a.ticker = p.ticker AND p.t > a.t - 63 AND p.t <= a.t WHERE a.t % 21 = 0), m AS (SELECT ticker, rt, min(dd) AS d FROM r GROUP BY ticker, rt) SELECT ticker, round(min(d), 6) AS worst FROM m GROUP BY ticker")
-def risk_worst_quarter(spark, sf_dir):
-    p = panel(spark, sf_dir)
-    return risk.restarting(p, p.where("t % 21 = 0").select("ticker", F.col("t").alias("rt")), 63).groupBy("ticker").agg(r6(F.min("max_dd")).alias("worst"))
+    return risk.restarting(p, p.select("ticker", F.col("t").alias("rt"))).select("ticker", "rt", r6("ulcer"), r6("max_dd"), "n")
 
 
 @query(DD + ", s AS (SELECT ticker, count(*) AS n, arg_min(close, t) AS f, arg_max(close, t) AS l, avg(ret) AS m, stddev_pop(ret) AS v, sqrt(avg(dd * dd)) AS u, min(dd) AS d FROM dd GROUP BY ticker) SELECT ticker, round(l / f - 1, 6) AS total, round(pow(l / f, 252.0 / n) - 1, 6) AS cagr, round(m / v * sqrt(252), 6) AS sharpe, round(u, 6) AS ulcer, round((pow(l / f, 252.0 / n) - 1) / u, 6) AS martin, round((pow(l / f, 252.0 / n) - 1) / -d, 6) AS calmar FROM s")
@@ -355,29 +271,6 @@ def risk_correlations(spark, sf_dir):
     return risk.correlations(with_returns(spark, sf_dir)).select("a", "b", r6("corr"))
 
 
-@query("+x AS (SELECT a.date, a.t, a.ret AS x, b.ret AS y FROM rets a JOIN rets b ON a.date = b.date AND a.ticker = 'ECONOMY' AND b.ticker = 'PROMO'), c AS (SELECT date, count(*) OVER w AS n, corr(x, y) OVER w AS c FROM x WINDOW w AS (ORDER BY date ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)) SELECT date, round(c, 6) AS c FROM c WHERE n = 90")
-def risk_rolling_correlation(spark, sf_dir):
-    rows = with_returns(spark, sf_dir)
-    x = rows.where("ticker = 'ECONOMY'").select("date", F.col("ret").alias("x")).join(rows.where("ticker = 'PROMO'").select("date", F.col("ret").alias("y")), "date")
-    w = Window.orderBy("date").rowsBetween(-89, 0)  # one pair of tickers: a row per day
-    return x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("c", signals.safe_corr("x", "y", w)).where("n = 90").select("date", r6("c"))
-
-
-@query("+w AS (SELECT ticker, (row_number() OVER (ORDER BY ticker)) * 1.0 AS w FROM (SELECT DISTINCT ticker FROM panel)), d AS (SELECT r.date, sum(w.w * r.ret) / sum(w.w) AS r FROM rets r JOIN w ON r.ticker = w.ticker WHERE r.ret IS NOT NULL GROUP BY r.date) SELECT round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS vol FROM d")
-def risk_weighted_portfolio(spark, sf_dir):
-    rows = with_returns(spark, sf_dir).where("ret IS NOT NULL")
-    w = rows.select("ticker").distinct().withColumn("w", F.row_number().over(Window.orderBy("ticker")) * 1.0)
-    d = rows.join(w, "ticker").groupBy("date").agg((F.sum(F.col("w") * F.col("ret")) / F.sum("w")).alias("r"))
-    return d.agg(r6(F.avg("r")).alias("mean"), r6(F.stddev_samp("r")).alias("vol"))
-
-
-@query("+b AS (SELECT ticker, CAST(floor((t - 1) / 252) AS BIGINT) AS y, arg_max(close, t) / arg_min(close, t) - 1 AS r FROM panel GROUP BY 1, 2), m AS (SELECT y, avg(r) AS m FROM b GROUP BY y) SELECT ticker, round(avg(CASE WHEN r > m THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM b JOIN m ON b.y = m.y GROUP BY ticker")
-def risk_yearly_win_rate(spark, sf_dir):
-    b = panel(spark, sf_dir).groupBy("ticker", F.floor((F.col("t") - 1) / 252).alias("y")).agg((F.max_by("close", "t") / F.min_by("close", "t") - 1).alias("r"))
-    m = b.groupBy("y").agg(F.avg("r").alias("m"))
-    return b.join(m, "y").groupBy("ticker").agg(r6(F.avg((F.col("r") > F.col("m")).cast("double"))).alias("win_rate"))
-
-
 @query("!WITH x AS (SELECT o_orderkey, (o_orderkey % 97) / 97.0 AS p, (o_orderkey % 53) / 100.0 - 0.05 AS c, o_orderkey % 41 AS m, -(o_orderkey % 61) / 100.0 AS d, (o_orderkey % 11) / 100.0 AS tail, (o_orderkey % 101) / 100.0 AS w, o_orderkey % 7 AS n FROM orders), y AS (SELECT *, abs(d) * m / 12 AS l FROM x) SELECT o_orderkey, round(CASE WHEN n < 3 OR c <= 0 OR p <= 0 THEN -1 ELSE p * (CASE WHEN c < 0.10 THEN 0 WHEN c < 0.25 THEN (c - 0.10) / 0.15 ELSE 1 + least(0.4, (c - 0.25) / 0.50) END) * (CASE WHEN m <= 12 THEN 1.0 WHEN m <= 24 THEN 1 - 0.6 * (m - 12) / 12 WHEN m <= 36 THEN 0.4 - 0.37 * (m - 24) / 12 ELSE 0.03 END) * (CASE WHEN l <= 0.10 THEN 1.0 WHEN l <= 0.50 THEN 1 - 0.5 * (l - 0.10) / 0.40 WHEN l <= 0.80 THEN 0.5 - 0.45 * (l - 0.50) / 0.30 ELSE 0.05 END) * (1 - tail) * (CASE WHEN w < 0.5 THEN 0.5 + w ELSE 1 + least(0.3, w - 0.7) END) END, 5) AS score FROM y")
 def risk_composite_score(spark, sf_dir):
     k = F.col("o_orderkey")
@@ -386,56 +279,6 @@ def risk_composite_score(spark, sf_dir):
 
 
 # --- ranking and allocation -------------------------------------------------------------------------------------------
-FLAG = f"+s AS (SELECT ticker, t, date, {BLEND} AS blend, CASE WHEN regr_syy(ln(close), t) {YEAR} > 0 THEN regr_r2(ln(close), t) {YEAR} ELSE 0 END AS r2, {UP} AS fip, greatest(coalesce(stddev_pop({NEG}) {YEAR} * {ROOT}, 1e-4), 1e-4) AS dv, {HIGH} AS below, {VS} AS slope, greatest(coalesce(stddev_pop(ret) {fr(-125, 0)} * {ROOT}, 1e-4), 1e-4) AS vol FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY t)), f AS (SELECT *, round(blend * sqrt(r2 * fip) / dv, 8) AS score FROM s)"
-
-
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ticker scorer: blended momentum x smoothness / downside volatility, with its parts."""
-    rows = with_returns(spark, sf_dir)
-    rows = rows.select("ticker", "t", "date", "close", "ret", mom.blend().alias("blend"), signals.smoothness().alias("smooth"), signals.downside("dnv_252_neg").alias("dv"), signals.below_high().alias("below"), signals.volume_slope().alias("slope"), signals.total_vol().alias("vol"))
-    return rows.withColumn("score", F.round(F.col("blend") * F.col("smooth") / F.col("dv"), 8))
-
-
-@query(FLAG + " SELECT ticker, round(score, 6) AS score, rank FROM (SELECT ticker, score, row_number() OVER (ORDER BY score DESC, ticker) AS rank FROM f WHERE t >= 273 AND t = (SELECT min(m) FROM (SELECT max(t) AS m FROM panel GROUP BY ticker))) WHERE rank <= 5")
-def flagship_top5(spark, sf_dir):
-    """The five best tickers at the last row that all of them have."""
-    rows = scores(spark, sf_dir)
-    last = panel(spark, sf_dir).groupBy("ticker").agg(F.max("t").alias("m")).agg(F.min("m").alias("last"))
-    now = rows.where("t >= 273").join(F.broadcast(last), F.col("t") == F.col("last"))  # one row
-    # one row a ticker is left for this window
-    return now.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "ticker"))).where("rank <= 5").select("ticker", r6("score"), "rank")
-
-
-@query(FLAG + " SELECT t, ticker, round(score, 6) AS score, rank FROM (SELECT t, ticker, score, row_number() OVER (PARTITION BY t ORDER BY score DESC, ticker) AS rank FROM f WHERE t % 63 = 0 AND t > 273) WHERE rank <= 3")
-def rank_top_n(spark, sf_dir):
-    rows = scores(spark, sf_dir).where("t % 63 = 0 AND t > 273")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "ticker"))).where("rank <= 3").select("t", "ticker", r6("score"), "rank")
-
-
-def average_rank(name: str, descending: bool) -> Column:
-    """Percentile rank with ties averaged; 0 is the worst."""
-    w = Window.partitionBy("t")
-    order = F.col(name) if descending else F.col(name).desc()
-    low = F.rank().over(w.orderBy(order))
-    ties = F.count("*").over(Window.partitionBy("t", name))
-    return (low + (ties - 1) / 2.0 - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
-
-
-_pct = lambda c, d: f"(rank() OVER (PARTITION BY t ORDER BY {c} {'ASC' if d else 'DESC'}) + (count(*) OVER (PARTITION BY t, {c}) - 1) / 2.0 - 1) / greatest(count(*) OVER (PARTITION BY t) - 1, 1)"
-
-
-@query(FLAG + f", g AS (SELECT ticker, t, round(blend, 6) AS blend, round(slope, 4) AS slope, round(below, 6) AS below, round(vol, 5) AS vol FROM f WHERE t % 63 = 0 AND t > 273 AND blend > 0) SELECT ticker, t, round(({_pct('blend', True)} + {_pct('slope', True)} + {_pct('below', False)} + {_pct('vol', False)}) / 4, 6) AS score_rank FROM g")
-def rank_percentile_mean(spark, sf_dir):
-    g = scores(spark, sf_dir).where("t % 63 = 0 AND t > 273 AND blend > 0").select("ticker", "t", r6("blend"), r6("slope", 4), r6("below"), r6("vol", 5))
-    parts = average_rank("blend", True) + average_rank("slope", True) + average_rank("below", False) + average_rank("vol", False)
-    return g.select("ticker", "t", r6(parts / 4).alias("score_rank"))
-
-
-@query(FLAG + " , c AS (SELECT t, ticker, score, ticker IN ('ECONOMY', 'PROMO', 'SMALL') AS capped FROM f WHERE t % 63 = 0 AND t > 273), r AS (SELECT *, row_number() OVER (PARTITION BY t, capped ORDER BY score DESC, ticker) AS own FROM c) SELECT t, ticker, rank FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, ticker) AS rank FROM r WHERE NOT capped OR own <= 1) WHERE rank <= 3")
-def rank_top_n_sub_cap(spark, sf_dir):
-    c = scores(spark, sf_dir).where("t % 63 = 0 AND t > 273").withColumn("capped", F.col("ticker").isin("ECONOMY", "PROMO", "SMALL"))
-    c = c.withColumn("own", F.row_number().over(Window.partitionBy("t", "capped").orderBy(F.desc("score"), "ticker"))).where("NOT capped OR own <= 1")
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "ticker"))).where("rank <= 3").select("t", "ticker", "rank")
 
 
 @query("!SELECT p_brand, p_partkey FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) WHERE rn = 1")
@@ -444,24 +287,12 @@ def rank_top_per_group(spark, sf_dir):
     return read(spark, sf_dir, "part").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("p_brand", "p_partkey")
 
 
-@query(FLAG + " SELECT ticker, t, round(1 / vol / sum(1 / vol) OVER (PARTITION BY t), 6) AS inv, round(sqrt(greatest(score, 1e-6)) / sum(sqrt(greatest(score, 1e-6))) OVER (PARTITION BY t), 6) AS root FROM f WHERE t % 63 = 0 AND t > 273")
-def alloc_weights(spark, sf_dir):
-    rows = scores(spark, sf_dir).where("t % 63 = 0 AND t > 273")
-    return rows.select("ticker", "t", r6(allocation.inverse_vol(["t"])).alias("inv"), r6(allocation.score_weight(["t"], "sqrt_score")).alias("root"))
-
-
 @query("!WITH x AS (SELECT s_nationkey AS k, s_suppkey AS ticker, 1.0 + s_suppkey % 7 AS w, 10.0 + s_suppkey % 5 AS cap FROM supplier), o AS (SELECT *, sum(cap) OVER p - cap AS capped, sum(w) OVER (PARTITION BY k) - sum(w) OVER p + w AS open FROM x WINDOW p AS (PARTITION BY k ORDER BY cap / w, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), l AS (SELECT *, (30.0 - capped) / open AS lvl FROM o), b AS (SELECT *, min(CASE WHEN lvl <= cap / w THEN lvl END) OVER (PARTITION BY k) AS bind FROM l) SELECT k, ticker, round(greatest(CASE WHEN bind IS NULL THEN cap ELSE least(cap, bind * w) END, 0), 6) AS alloc FROM b")
 def alloc_water_fill(spark, sf_dir):
     rows = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("ticker"), (1.0 + F.col("s_suppkey") % 7).alias("weight"), (10.0 + F.col("s_suppkey") % 5).alias("cap"))
     return allocation.water_fill(rows, ["k"], 30.0).select("k", "ticker", r6("alloc"))
 
 
-@query(None)
-def alloc_cascade(spark, sf_dir):
-    rows = scores(spark, sf_dir).where("t % 63 = 0 AND t > 273").select("t", "ticker", "score")
-    return allocation.cascade(rows, ["t"], 100_000.0, 5, 0.4, 0.05, "sqrt").select("t", "ticker", r6("alloc", 2))
-
-
 @query("!WITH s AS (SELECT p_partkey AS ticker, p_retailprice AS score, p_brand AS group_id FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, ticker) AS rn FROM s) SELECT ticker, score FROM r WHERE rn <= 3")
 def alloc_group_limit(spark, sf_dir):
     p = read(spark, sf_dir, "part")
@@ -499,13 +330,8 @@ def sim_switch(spark, sf_dir):
     return switched(spark, sf_dir).select("ticker", "t", "signal")
 
 
-@query(SWITCH + ", e AS (SELECT ticker, t, CASE WHEN lag(signal) OVER w = 'MOMENTUM' THEN ln(close / lag(close) OVER w) ELSE 0 END AS g FROM s WINDOW w AS (PARTITION BY ticker ORDER BY t)) SELECT ticker, t, round(l, 6) AS log_equity FROM (SELECT ticker, t, ln(1000) + sum(g) OVER (PARTITION BY ticker ORDER BY t) AS l FROM e) WHERE t % 63 = 0")
-def sim_switch_equity(spark, sf_dir):
-    return switched(spark, sf_dir).withColumn("e", F.ln(simulation.equity_under())).where("t % 63 = 0").select("ticker", "t", r6("e").alias("log_equity"))
-
-
 @query(SWITCH + ", e AS (SELECT ticker, t, CASE WHEN lag(signal) OVER w = 'MOMENTUM' THEN ln(close / lag(close) OVER w) ELSE 0 END AS g FROM s WINDOW w AS (PARTITION BY ticker ORDER BY t)) SELECT ticker, t, round(l, 6) AS log_equity FROM (SELECT ticker, t, ln(1000) + sum(g) OVER (PARTITION BY ticker ORDER BY t) AS l FROM e)")
-def sim_switch_equity_all(spark, sf_dir):
+def sim_switch_equity(spark, sf_dir):
     return switched(spark, sf_dir).withColumn("e", F.ln(simulation.equity_under())).select("ticker", "t", r6("e").alias("log_equity"))
 
 
@@ -515,28 +341,6 @@ def sim_switch_counts(spark, sf_dir):
     return rows.groupBy("ticker").agg(F.sum(F.when(F.col("signal") != F.col("p"), 1).otherwise(0)).alias("switches"), F.sum(F.when((F.col("signal") == "CASH") & (F.col("p") == "MOMENTUM"), 1).otherwise(0)).alias("sells"))
 
 
-@query("SELECT row_number() OVER (ORDER BY start) AS fold, start, stop FROM (SELECT s AS start, least(s + 125, m) AS stop FROM (SELECT max(t) AS m, unnest(range(505, greatest(max(t) - 20, 505) + 1, 126)) AS s FROM panel)) WHERE stop - start + 1 >= 21")
-def sim_folds(spark, sf_dir):
-    return simulation.expanding_folds(panel(spark, sf_dir).select("t"), 504, 126, 126).select("fold", F.col("start").cast("long"), F.col("stop").cast("long"))
-
-
-TOP3 = FLAG + ", p3 AS (SELECT t AS rt, t + 63 AS until, ticker, 1.0 / 3 AS w FROM (SELECT t, ticker, row_number() OVER (PARTITION BY t ORDER BY score DESC, ticker) AS rank FROM f WHERE t % 63 = 0 AND t > 273) WHERE rank <= 3)"
-
-
-def top3(spark, sf_dir):
-    return rank_top_n(spark, sf_dir).select(F.lit(1).alias("config_id"), F.col("t").alias("rt"), (F.col("t") + 63).alias("until"), "ticker", F.lit(1.0 / 3).alias("w"))
-
-
-@query(TOP3 + ", d AS (SELECT rt, r.t, sum(w * coalesce(ret, 0)) AS r FROM p3 JOIN rets r ON r.ticker = p3.ticker AND r.t > rt AND r.t <= until GROUP BY 1, 2) SELECT rt, round(exp(sum(ln(greatest(1 + r, 1e-12)))) - 1, 5) AS period_return, count(*) AS days FROM d GROUP BY rt")
-def sim_periods_daily(spark, sf_dir):
-    return simulation.period_returns(with_returns(spark, sf_dir), top3(spark, sf_dir), ["config_id"]).select("rt", F.round("period_return", 5).alias("period_return"), "days")
-
-
-@query(TOP3 + ", e AS (SELECT rt, r.ticker, max(w) AS w, arg_max(r.close, r.t) AS x, count(*) AS n FROM p3 JOIN rets r ON r.ticker = p3.ticker AND r.t > rt AND r.t <= until GROUP BY 1, 2) SELECT rt, round(sum(e.w * (x / b.close - 1)), 6) AS period_return, max(n) AS days FROM e JOIN panel b ON b.ticker = e.ticker AND b.t = rt GROUP BY rt")
-def sim_periods_shares(spark, sf_dir):
-    return simulation.period_returns(with_returns(spark, sf_dir), top3(spark, sf_dir), ["config_id"], "shares").select("rt", r6("period_return"), "days")
-
-
 @query("!WITH o AS (SELECT l_returnflag AS key, l_suppkey AS ticker, round(sum(l_discount), 2) AS w, round(avg(l_tax), 4) - 0.04 AS gain FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2), n AS (SELECT l_returnflag AS key, l_suppkey AS ticker, round(sum(l_tax), 2) AS w2 FROM lineitem WHERE l_linenumber = 2 GROUP BY 1, 2), j AS (SELECT coalesce(o.key, n.key) AS key, coalesce(w2, 0) - coalesce(w, 0) AS m, coalesce(gain, 0) AS g FROM o FULL JOIN n ON o.key = n.key AND o.ticker = n.ticker) SELECT key, round(sum(abs(m)), 4) AS turnover, round(sum(abs(m) * 0.001 + greatest(-m, 0) * greatest(g, 0) * 0.2), 4) AS cost FROM j GROUP BY key")
 def sim_rebalance_cost(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem")
@@ -545,24 +349,6 @@ def sim_rebalance_cost(spark, sf_dir):
     return simulation.rebalance_cost(old, new).select("key", r6("turnover", 4), r6("cost", 4))
 
 
-def engine_grid(spark: SparkSession) -> DataFrame:
-    grid = spark.range(27).select(F.col("id").alias("config_id"), (F.col("id") % 3 + 1).cast("int").alias("top"), F.when(F.floor(F.col("id") / 3) % 3 == 0, 21).when(F.floor(F.col("id") / 3) % 3 == 1, 42).otherwise(63).alias("every"))
-    return grid.select("*", F.lit(273).alias("warm"), F.when(F.col("config_id") < 9, 0.0).otherwise(0.5).alias("stop"), F.lit(21).alias("cool"), F.when(F.col("config_id") < 18, 0.0).otherwise(0.2).alias("target"), F.lit(0.03).alias("cash_rate"))
-
-
-@query(None)
-def sim_engine(spark, sf_dir):
-    """The stateful engine over a 27-row grid, summed up per configuration."""
-    curve = simulation.run_engine(panel(spark, sf_dir), scores(spark, sf_dir).select("ticker", "t", "score"), engine_grid(spark))
-    s = risk.curve_summary(curve, ["config_id"])
-    return s.select("config_id", "n", *[r6(c) for c in ("cagr", "ulcer", "max_dd")])
-
-
-@query("+m AS (SELECT ticker, CAST(date_trunc('month', date) AS DATE) AS period, arg_max(close, date) AS close FROM panel GROUP BY 1, 2), x AS (SELECT ticker, period, lag(close, 1) OVER w / lag(close, 12) OVER w - 1 AS mom FROM m WINDOW w AS (PARTITION BY ticker ORDER BY period)), b AS (SELECT period, max(mom) AS mom, max_by(ticker, mom) FILTER (mom IS NOT NULL) AS ticker FROM x GROUP BY period), p AS (SELECT period, CASE WHEN month(period) IN (4, 10) AND mom IS NOT NULL THEN CASE WHEN mom < 0 THEN 'CASH' ELSE ticker END END AS pick FROM b) SELECT period, last_value(pick IGNORE NULLS) OVER (ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fund FROM p")
-def sim_rotation(spark, sf_dir):
-    return simulation.rotation_targets(prep.resample(panel(spark, sf_dir)), [4, 10], 0.0)
-
-
 @query("!SELECT o_orderkey, round(CASE WHEN g <= 0 THEN 0 WHEN m >= 12 THEN 0.125 * greatest(g - 125000, 0) ELSE 0.2 * g END, 6) AS tax FROM (SELECT o_orderkey, o_totalprice - 100000 AS g, o_orderkey % 24 AS m FROM orders)")
 def sim_tax(spark, sf_dir):
     tax = simulation.taxed_sale(F.col("o_totalprice") - 100000, F.col("o_orderkey") % 24)
@@ -578,118 +364,7 @@ def sim_train_quantiles(spark, sf_dir):
     return q.groupBy("ticker").agg(r6(at(0.25)).alias("low"), r6(at(0.75)).alias("high"))
 
 
-@query("+b AS (SELECT arg_min(close, t) AS f, arg_max(close, t) AS l, s FROM (SELECT unnest(range(1, 1400, 126)) AS s) JOIN panel ON ticker = 'ECONOMY' AND t >= s AND t < s + 1008 GROUP BY s) SELECT CAST(s AS BIGINT) AS start, round(pow(l / f, 0.25) - 1, 6) AS cagr, CASE WHEN pow(l / f, 0.25) - 1 >= 0.10 THEN 'bull' WHEN pow(l / f, 0.25) - 1 <= 0 THEN 'bear' ELSE 'flat' END AS regime FROM b")
-def sim_window_regimes(spark, sf_dir):
-    starts = spark.range(1, 1400, 126).select(F.col("id").alias("start"))
-    p = panel(spark, sf_dir).where("ticker = 'ECONOMY'").select("t", "close")
-    b = starts.join(p, (F.col("t") >= F.col("start")) & (F.col("t") < F.col("start") + 1008)).groupBy("start").agg(F.min_by("close", "t").alias("f"), F.max_by("close", "t").alias("l"))
-    cagr = F.pow(F.col("l") / F.col("f"), F.lit(0.25)) - 1
-    return b.select("start", r6(cagr).alias("cagr"), F.when(cagr >= 0.10, "bull").when(cagr <= 0, "bear").otherwise("flat").alias("regime"))
-
-
-@query(TOP3 + ", h AS (SELECT ticker, CAST(rt / 63 AS BIGINT) AS k FROM p3), g AS (SELECT ticker, k - row_number() OVER (PARTITION BY ticker ORDER BY k) AS island FROM h), l AS (SELECT ticker, island, count(*) AS len FROM g GROUP BY 1, 2) SELECT ticker, count(*) AS spells, max(len) AS longest, round(avg(len), 6) AS mean_len FROM l GROUP BY ticker")
-def report_holding_spells(spark, sf_dir):
-    h = rank_top_n(spark, sf_dir).select("ticker", F.floor(F.col("t") / 63).alias("k"))
-    g = h.withColumn("island", F.col("k") - F.row_number().over(Window.partitionBy("ticker").orderBy("k"))).groupBy("ticker", "island").agg(F.count("*").alias("len"))
-    return g.groupBy("ticker").agg(F.count("*").alias("spells"), F.max("len").alias("longest"), r6(F.avg("len")).alias("mean_len"))
-
-
 # --- Monte Carlo ------------------------------------------------------------------------------------------------------
-def history(spark, sf_dir):
-    rows = with_returns(spark, sf_dir).where("ticker = 'ECONOMY' AND ret IS NOT NULL")
-    return rows.select((F.col("t") - 2).alias("i"), F.round(F.greatest(F.least("ret", F.lit(0.05)), F.lit(-0.05)), 6).alias("r"))
-
-
-MC = f"""+h AS (SELECT t - 2 AS i, round(greatest(least(ret, 0.05), -0.05), 6) AS r FROM rets WHERE ticker = 'ECONOMY' AND ret IS NOT NULL), z AS (SELECT count(*) AS n FROM h),
-b AS (SELECT path, b, ((((7 * 48271 + path * 16807 + 11) % {montecarlo.MODULUS}) * 48271 + b * 16807 + 11) % {montecarlo.MODULUS} * 48271) % {montecarlo.MODULUS} % (n - 21 + 1) AS start FROM (SELECT unnest(range(0, 200)) AS path), (SELECT unnest(range(0, 6)) AS b), z),
-p AS (SELECT path, b * 21 + o AS step, h.r FROM b, (SELECT unnest(range(0, 21)) AS o) o JOIN h ON h.i = start + o.o WHERE b * 21 + o.o < 126)"""
-METRICS = ", lv AS (SELECT path, step, exp(sum(ln(greatest(1 + r, 1e-12))) OVER (PARTITION BY path ORDER BY step)) AS l FROM {0}), dd AS (SELECT path, step, l, l / max(l) OVER (PARTITION BY path ORDER BY step) - 1 AS d FROM lv), m AS (SELECT path, arg_max(l, step) - 1 AS total, min(d) AS max_dd, sqrt(avg(d * d)) AS ulcer FROM dd GROUP BY path)"
-
-
-@query(MC + METRICS.format("p") + " SELECT path, round(total, 6) AS total, round(max_dd, 6) AS max_dd, round(ulcer, 6) AS ulcer FROM m")
-def mc_block_paths(spark, sf_dir):
-    m = montecarlo.path_metrics(montecarlo.block_paths(history(spark, sf_dir), 200, 126, 21, 7))
-    return m.select("path", r6("total"), r6("max_dd"), r6("ulcer"))
-
-
-@query(MC + METRICS.format("p") + " SELECT round(quantile_cont(total, 0.05), 6) AS p5, round(quantile_cont(total, 0.25), 6) AS p25, round(quantile_cont(total, 0.5), 6) AS p50, round(quantile_cont(total, 0.75), 6) AS p75, round(quantile_cont(total, 0.95), 6) AS p95, round(avg(total), 6) AS mean, round(stddev_pop(total), 6) AS std FROM m")
-def mc_percentiles(spark, sf_dir):
-    m = montecarlo.path_metrics(montecarlo.block_paths(history(spark, sf_dir), 200, 126, 21, 7))
-    p = montecarlo.percentiles(m, "total")
-    return p.select(*[r6(c) for c in p.columns])
-
-
-_REG = " UNION ALL ".join(f"SELECT '{n}' AS regime, p.path, step, (r - own) * {k} + own + {'0' if d is None else f'pow({1 + d}, 1 / 252.0) - 1 - grand'} AS r FROM p JOIN o ON p.path = o.path, gr" for n, d, k in montecarlo.REGIMES)
-
-
-@query(MC + f", o AS (SELECT path, avg(r) AS own FROM p GROUP BY path), gr AS (SELECT avg(r) AS grand FROM p), q AS ({_REG}), t AS (SELECT regime, path, exp(sum(ln(greatest(1 + r, 1e-12)))) - 1 AS total FROM q GROUP BY 1, 2) SELECT regime, round(quantile_cont(total, 0.5), 6) AS p50, round(avg(total), 6) AS mean FROM t GROUP BY regime")
-def mc_regimes(spark, sf_dir):
-    paths = montecarlo.block_paths(history(spark, sf_dir), 200, 126, 21, 7)
-    out = None
-    for name, drift, multiplier in montecarlo.REGIMES:  # four fixed regimes
-        m = montecarlo.path_metrics(montecarlo.retargeted(paths, drift, multiplier)).select(F.lit(name).alias("regime"), "total")
-        out = m if out is None else out.unionByName(m)
-    return montecarlo.percentiles(out, "total", ["regime"]).select("regime", r6("p50"), r6("mean"))
-
-
-@query(None)
-def mc_crash_injection(spark, sf_dir):
-    buckets = spark.sql("SELECT CAST(id AS INT) bucket, array(0.5, 0.2, 0.05)[CAST(id AS INT)] frequency, array(-0.15, -0.3, -0.5)[CAST(id AS INT)] magnitude, array(42, 84, 120)[CAST(id AS INT)] duration FROM range(3)")
-    hit = montecarlo.crash_injected(montecarlo.block_paths(history(spark, sf_dir), 200, 126, 21, 7), buckets, 126, 11)
-    return montecarlo.percentiles(montecarlo.path_metrics(hit), "max_dd").select(r6("p5"), r6("p50"), r6("mean"))
-
-
-@query(None)
-def model_hmm_regimes(spark, sf_dir):
-    rows = with_returns(spark, sf_dir)
-    features = rows.select("ticker", "t", F.coalesce("lret", F.lit(0.0)).alias("f0"), F.coalesce(F.stddev_pop("lret").over(mom.frame(-20, 0)), F.lit(0.0)).alias("f1"))
-    return hmm.regimes(features, 504, 2)
-
-
-def histories(spark, sf_dir):
-    """Returns of every ticker, held within 5 % as in history."""
-    rows = with_returns(spark, sf_dir).where("ret IS NOT NULL")
-    return rows.select("ticker", (F.col("t") - 2).alias("i"), F.round(F.greatest(F.least("ret", F.lit(0.05)), F.lit(-0.05)), 6).alias("r"))
-
-
-@query(None)
-def mc_block_paths_all(spark, sf_dir, paths=2000, horizon=252):
-    m = montecarlo.path_metrics(montecarlo.block_paths_each(histories(spark, sf_dir), paths, horizon, 21, 7), ["ticker"])
-    return m.select("ticker", "path", r6("total"), r6("max_dd"), r6("ulcer"))
-
-
-@query(None)
-def mc_percentiles_all(spark, sf_dir):
-    m = montecarlo.path_metrics(montecarlo.block_paths_each(histories(spark, sf_dir), 2000, 252, 21, 7), ["ticker"])
-    p = montecarlo.percentiles(m, "total", ["ticker"])
-    return p.select("ticker", *[r6(c) for c in p.columns[1:]])
-
-
-@query(None)
-def mc_regimes_all(spark, sf_dir):
-    paths = montecarlo.block_paths_each(histories(spark, sf_dir), 1000, 756, 21, 7)
-    out = None
-    for name, drift, multiplier in montecarlo.REGIMES:  # four fixed regimes
-        m = montecarlo.path_metrics(montecarlo.retargeted(paths, drift, multiplier, ["ticker"]), ["ticker"]).select("ticker", F.lit(name).alias("regime"), "total")
-        out = m if out is None else out.unionByName(m)
-    p = montecarlo.percentiles(out, "total", ["ticker", "regime"])
-    return p.select("ticker", "regime", *[r6(c) for c in p.columns[2:]])
-
-
-@query(None)
-def mc_crash_injection_all(spark, sf_dir):
-    buckets = spark.sql("SELECT CAST(id AS INT) bucket, array(0.5, 0.2, 0.05)[CAST(id AS INT)] frequency, array(-0.15, -0.3, -0.5)[CAST(id AS INT)] magnitude, array(42, 84, 120)[CAST(id AS INT)] duration FROM range(3)")
-    # single days, as in the reference
-    hit = montecarlo.crash_injected(montecarlo.block_paths_each(histories(spark, sf_dir), 2000, 252, 1, 7), buckets, 252, 11, ["ticker"])
-    p = montecarlo.percentiles(montecarlo.path_metrics(hit, ["ticker"]), "max_dd", ["ticker"])
-    return p.select("ticker", *[r6(c) for c in p.columns[1:]])
-
-
-@query(None)
-def model_hmm_regimes_all(spark, sf_dir):
-    rows = with_returns(spark, sf_dir)
-    features = rows.select("ticker", "t", F.coalesce("lret", F.lit(0.0)).alias("f0"), F.coalesce(F.stddev_pop("lret").over(mom.frame(-20, 0)), F.lit(0.0)).alias("f1"))
-    return hmm.regimes(features)
 
 
 # --- sweeps, aggregates, reports --------------------------------------------------------------------------------------
@@ -699,67 +374,6 @@ def sweep_grid(spark, sf_dir):
     return g.agg(F.count("*").alias("configs"), F.count_distinct("s").alias("signatures"), F.sum((~F.col("profile").contains("earnings")).cast("long")).alias("without_earnings"))
 
 
-RESULTS = "!WITH y AS (SELECT o_custkey AS config_id, year(o_orderdate) AS f, round(sum(o_totalprice) / 1000000.0 - 0.6, 4) AS r FROM orders GROUP BY 1, 2), x AS (SELECT config_id, list(r ORDER BY f) AS folds, exp(sum(ln(1 + r))) - 1 AS total, stddev_pop(r) AS sd, min(r) AS worst, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS win, count(*) AS n FROM y GROUP BY 1)"
-
-
-def results(spark, sf_dir) -> DataFrame:
-    """(config_id, folds, total, sd, worst, win, n): a result table made of yearly folds."""
-    y = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("config_id"), F.year("o_orderdate").alias("f")).agg(F.round(F.sum("o_totalprice") / 1000000.0 - 0.6, 4).alias("r"))
-    return y.groupBy("config_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "r"))), lambda x: x["r"]).alias("folds"), (F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total"), F.stddev_pop("r").alias("sd"), F.min("r").alias("worst"), F.avg((F.col("r") > 0).cast("double")).alias("win"), F.count("*").alias("n"))
-
-
-@query(RESULTS + " SELECT config_id, round(total, 6) AS total FROM x ORDER BY round(total, 6) DESC, config_id LIMIT 10")
-def report_top_total(spark, sf_dir):
-    return results(spark, sf_dir).select("config_id", r6("total")).orderBy(F.desc("total"), "config_id").limit(10)
-
-
-@query(RESULTS + ", t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6]) AS cap) SELECT cap, count(*) AS n, round(max(total), 6) AS best FROM x JOIN t ON abs(worst) <= cap GROUP BY cap")
-def report_dd_tiers(spark, sf_dir):
-    tiers = spark.range(4).select((F.lit(3 + 0) + F.col("id")).alias("k")).select((F.col("k") / 10.0).alias("cap"))
-    return results(spark, sf_dir).join(F.broadcast(tiers), F.abs("worst") <= F.col("cap")).groupBy("cap").agg(F.count("*").alias("n"), r6(F.max("total")).alias("best"))  # four rows
-
-
-@query(RESULTS + " SELECT config_id, round(win, 6) AS win, round(worst, 6) AS worst FROM x WHERE win >= 0.3 AND worst > -0.6")
-def report_survivors(spark, sf_dir):
-    return results(spark, sf_dir).where("win >= 0.3 AND worst > -0.6").select("config_id", r6("win"), r6("worst"))
-
-
-@query(RESULTS + " SELECT config_id, round(sd, 6) AS sd FROM x WHERE total > -0.99 ORDER BY round(sd, 6), config_id LIMIT 10")
-def report_steadiest(spark, sf_dir):
-    return results(spark, sf_dir).where("total > -0.99").select("config_id", r6("sd")).orderBy("sd", "config_id").limit(10)
-
-
-@query(RESULTS + ", b AS (SELECT CASE WHEN abs(worst) <= 0.3 THEN 'to30' WHEN abs(worst) <= 0.45 THEN 'to45' ELSE 'over45' END AS band, total / greatest(abs(worst), 0.01) AS calmar FROM x) SELECT band, count(*) AS n, round(max(calmar), 6) AS best FROM b GROUP BY band")
-def report_calmar_bands(spark, sf_dir):
-    band = F.when(F.abs("worst") <= 0.3, "to30").when(F.abs("worst") <= 0.45, "to45").otherwise("over45")
-    return results(spark, sf_dir).groupBy(band.alias("band")).agg(F.count("*").alias("n"), r6(F.max(F.col("total") / F.greatest(F.abs("worst"), F.lit(0.01)))).alias("best"))
-
-
-@query(RESULTS + ", e AS (SELECT config_id, f, r, row_number() OVER (PARTITION BY config_id ORDER BY r, f) AS rn, lead(r, 1) OVER w AS a, lead(r, 2) OVER w AS b, lead(r, 3) OVER w AS c FROM y WINDOW w AS (PARTITION BY config_id ORDER BY f)) SELECT e.config_id, r AS worst, round((1 + a) * (1 + b) * (1 + c) - 1, 6) AS next3 FROM e JOIN x ON x.config_id = e.config_id WHERE rn = 1 AND n >= 5")
-def report_after_worst(spark, sf_dir):
-    rows = results(spark, sf_dir).where("n >= 5").select("config_id", "n", F.posexplode("folds").alias("f", "r"))
-    w = Window.partitionBy("config_id")
-    e = rows.withColumn("rn", F.row_number().over(w.orderBy("r", "f")))
-    for k, c in enumerate("abc", 1):
-        e = e.withColumn(c, F.lead("r", k).over(w.orderBy("f")))
-    return e.where("rn = 1").select("config_id", F.col("r").alias("worst"), r6((1 + F.col("a")) * (1 + F.col("b")) * (1 + F.col("c")) - 1).alias("next3"))
-
-
-@query(RESULTS + " SELECT round(quantile_cont(r, 0.1), 6) AS p10, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.9), 6) AS p90, min(r) AS low, max(r) AS high FROM y")
-def report_fold_percentiles(spark, sf_dir):
-    folds = results(spark, sf_dir).select(F.explode("folds").alias("r"))
-    g = folds.agg(F.expr("percentile(r, array(0.1, 0.5, 0.9))").alias("p"), F.min("r").alias("low"), F.max("r").alias("high"))
-    return g.select(*[r6(F.col("p")[i]).alias(f"p{q}") for i, q in enumerate((10, 50, 90))], "low", "high")
-
-
-@query(RESULTS + ", f AS (SELECT config_id, f, r < 0 AS neg, f - row_number() OVER (PARTITION BY config_id, r < 0 ORDER BY f) AS i, row_number() OVER (PARTITION BY config_id ORDER BY f) - row_number() OVER (PARTITION BY config_id, r < 0 ORDER BY f) AS island FROM y), l AS (SELECT config_id, island, count(*) AS len FROM f WHERE neg GROUP BY 1, 2) SELECT config_id, max(len) AS streak FROM l GROUP BY 1")
-def report_losing_streak(spark, sf_dir):
-    rows = results(spark, sf_dir).select("config_id", F.posexplode("folds").alias("f", "r")).withColumn("neg", F.col("r") < 0)
-    w = Window.orderBy("f")
-    island = F.row_number().over(Window.partitionBy("config_id").orderBy("f")) - F.row_number().over(Window.partitionBy("config_id", "neg").orderBy("f"))
-    return rows.withColumn("island", island).where("neg").groupBy("config_id", "island").agg(F.count("*").alias("len")).groupBy("config_id").agg(F.max("len").alias("streak"))
-
-
 @query("!WITH p AS (SELECT unnest(['p_brand', 'p_type', 'p_size']) AS param, unnest([p_brand, p_type, CAST(p_size AS VARCHAR)]) AS value, p_retailprice AS m FROM part), g AS (SELECT param, value, avg(m) AS mean FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY param ORDER BY round(mean, 8) DESC, value) AS rn, count(*) OVER (PARTITION BY param) AS k FROM g), q AS (SELECT *, greatest(k // 4, 1) AS q FROM r) SELECT param, max(k) AS n_values, round((avg(CASE WHEN rn <= q THEN mean END) - avg(CASE WHEN rn > k - q THEN mean END)) / (SELECT stddev_samp(p_retailprice) FROM part), 6) AS importance FROM q GROUP BY param")
 def agg_param_importance(spark, sf_dir):
     return sweep.importance(read(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"], "p_retailprice").select("param", "n_values", r6("importance"))
@@ -781,18 +395,8 @@ def agg_traded_value(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("date").agg(r6(F.sum("dvol") / 1e7).alias("crores"), F.count("*").alias("n"))
 
 
-@query("!WITH h AS (SELECT DISTINCT l_suppkey AS fund, l_partkey AS symbol FROM lineitem WHERE l_suppkey <= 20), z AS (SELECT fund, count(*) AS n FROM h GROUP BY fund) SELECT a.fund AS a, b.fund AS b, count(*) AS common, round(count(*) * 1.0 / least(max(za.n), max(zb.n)), 6) AS share FROM h a JOIN h b ON a.symbol = b.symbol AND a.fund < b.fund JOIN z za ON za.fund = a.fund JOIN z zb ON zb.fund = b.fund GROUP BY 1, 2")
-def join_fund_overlap(spark, sf_dir):
-    h = read(spark, sf_dir, "lineitem").where("l_suppkey <= 20").select(F.col("l_suppkey").alias("fund"), F.col("l_partkey").alias("symbol")).distinct()
-    z = h.groupBy("fund").agg(F.count("*").alias("n"))
-    a, b = h.select(F.col("fund").alias("a"), "symbol"), h.select(F.col("fund").alias("b"), "symbol")
-    c = a.join(b, "symbol").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    c = c.join(z.select(F.col("fund").alias("a"), F.col("n").alias("na")), "a").join(z.select(F.col("fund").alias("b"), F.col("n").alias("nb")), "b")
-    return c.select("a", "b", "common", r6(F.col("common") / F.least("na", "nb")).alias("share"))
-
-
 @query("!WITH h AS (SELECT DISTINCT l_suppkey AS fund, l_partkey AS symbol FROM lineitem), z AS (SELECT fund, count(*) AS n FROM h GROUP BY fund) SELECT a.fund AS a, b.fund AS b, count(*) AS common, round(count(*) * 1.0 / least(max(za.n), max(zb.n)), 6) AS share FROM h a JOIN h b ON a.symbol = b.symbol AND a.fund < b.fund JOIN z za ON za.fund = a.fund JOIN z zb ON zb.fund = b.fund GROUP BY 1, 2")
-def join_fund_overlap_all(spark, sf_dir):
+def join_fund_overlap(spark, sf_dir):
     h = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("fund"), F.col("l_partkey").alias("symbol")).distinct()
     z = h.groupBy("fund").agg(F.count("*").alias("n"))
     a, b = h.select(F.col("fund").alias("a"), "symbol"), h.select(F.col("fund").alias("b"), "symbol")
@@ -807,14 +411,8 @@ def join_entry_date(spark, sf_dir):
     return panel(spark, sf_dir).groupBy("ticker").agg(F.coalesce(near, F.min_by("date", F.abs(F.col("close") - 1500))).alias("entry"))
 
 
-@query("!SELECT c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 100000 WHERE c_nationkey < 10")
-def join_left(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_custkey", "o_orderkey")
-    return read(spark, sf_dir, "customer").where("c_nationkey < 10").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
-
-
 @query("!SELECT c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 100000")
-def join_left_all(spark, sf_dir):
+def join_left(spark, sf_dir):
     o = read(spark, sf_dir, "orders").where("o_totalprice > 100000").select("o_custkey", "o_orderkey")
     return read(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
 
@@ -871,3 +469,7 @@ def stream_tumbling(spark, sf_dir):
 @query("!WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark, sf_dir):
     return streaming.sessions(read(spark, sf_dir, "events"))
+
+
+# further plans register themselves
+from tidemark.plans import allocations, funds, montecarlo, preparation, reports, scoring, search, simulations  # noqa: E402, F401

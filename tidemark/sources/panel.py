@@ -27,9 +27,9 @@ def four(x: Column) -> Column:
 
 
 def panel(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
-    """close: value per unit; volume, dvol: units and value; dividend: mean discount; t: 1-based number of the ticker's day."""
+    """close: value per unit; volume, dvol: units and value; dividend: mean discount; t: 1-based number of the ticker's day. `key` is an expression over part."""
     fills = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
-    names = read(spark, sf_dir, "part").select("p_partkey", F.col(key).alias("ticker"))
+    names = read(spark, sf_dir, "part").select("p_partkey", F.expr(key).alias("ticker"))
     days = (
         fills.join(names, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("ticker", F.to_date("l_shipdate").alias("date"))
@@ -45,13 +45,50 @@ def panel(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
     return days.withColumn("t", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
 
 
-#: The same panel in SQL, for checks.
-SQL = """WITH sums AS (
-  SELECT p_type AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(l_quantity) AS volume,
+def aligned(panel: DataFrame) -> DataFrame:
+    """The panel on one calendar: a row for every ticker and every date from its first on, the close carried forward.
+
+    t: 1-based number of the date in the union calendar, the same for all tickers;
+    n: number of the ticker's last own day; traded: whether the date is one;
+    volume, dvol and dividend are 0 where it is not. Prices of one t are of one date.
+    """
+    dates = panel.select("date").distinct()
+    # one row a date before the one ordered window
+    calendar = dates.withColumn("t", F.row_number().over(Window.orderBy("date")))
+    starts = panel.groupBy("ticker").agg(F.min("date").alias("first"))
+    grid = starts.join(calendar, F.col("date") >= F.col("first")).select("ticker", "date", "t")  # calendar x universe: the aligned panel itself
+    own = panel.select("ticker", "date", "close", "volume", "dvol", "dividend", F.col("t").alias("n"))
+    rows = grid.join(own, ["ticker", "date"], "left")
+    last = Window.partitionBy("ticker").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    zero = [F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in ("volume", "dvol", "dividend")]
+    return rows.select("ticker", "date", "t", F.last("close", ignorenulls=True).over(last).alias("close"), *zero, F.last("n", ignorenulls=True).over(last).alias("n"), F.col("n").isNotNull().alias("traded"))
+
+
+def _sums(key: str) -> str:
+    return f"""WITH sums AS (
+  SELECT {key} AS ticker, CAST(l_shipdate AS DATE) AS date, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, sum(l_quantity) AS volume,
     sum(CAST(round(l_discount * 100) AS BIGINT)) AS percents, count(*) AS fills
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2
 ), days AS (
   SELECT ticker, date, floor(CAST(cents AS DOUBLE) / 100.0 / volume * 10000 + 0.5) / 10000.0 AS close, volume, CAST(cents AS DOUBLE) / 100.0 AS dvol,
     floor(CAST(percents AS DOUBLE) / 100.0 / fills * 10000 + 0.5) / 10000.0 AS dividend FROM sums
-), panel AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM days),
-rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY t) - 1 AS ret, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY t)) AS lret FROM panel)"""
+)"""
+
+
+_RETS = "rets AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY t) - 1 AS ret, ln(close / lag(close) OVER (PARTITION BY ticker ORDER BY t)) AS lret FROM panel)"
+
+#: The same panel in SQL, for checks.
+SQL = f"""{_sums("p_type")}, panel AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS t FROM days),
+{_RETS}"""
+
+#: The aligned panel of brands: `own` has the tickers' own days, numbered by n.
+ALIGNED_SQL = f"""{_sums("p_brand")}, own AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM days),
+cal AS (SELECT date, row_number() OVER (ORDER BY date) AS t FROM (SELECT DISTINCT date FROM own)),
+starts AS (SELECT ticker, min(date) AS first FROM own GROUP BY ticker),
+panel AS (
+  SELECT s.ticker, c.date, c.t, last_value(o.close IGNORE NULLS) OVER w AS close, coalesce(o.volume, 0) AS volume, coalesce(o.dvol, 0) AS dvol,
+    coalesce(o.dividend, 0) AS dividend, last_value(o.n IGNORE NULLS) OVER w AS n, o.n IS NOT NULL AS traded
+  FROM starts s JOIN cal c ON c.date >= s.first LEFT JOIN own o ON o.ticker = s.ticker AND o.date = c.date
+  WINDOW w AS (PARTITION BY s.ticker ORDER BY c.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+),
+{_RETS}"""

@@ -40,9 +40,9 @@ def number(text: Column) -> Column:
 
 def subtitles(spark: SparkSession, path: str, from_second: int = 0) -> DataFrame:
     """SRT files -> (file, text) from a second on: tags stripped, repeated neighbours removed."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n\r?\n")).alias("n", "block"))
+    blocks = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n\r?\n")).alias("n", "block"))
     at = [F.regexp_extract("block", r"(\d+):(\d+):(\d+)[,.]\d+ -->", k).try_cast("int") for k in (1, 2, 3)]
-    rows = blocks.withColumn("second", at[0] * 3600 + at[1] * 60 + at[2]).withColumn("line", F.trim(F.regexp_replace(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n", ""), r"<[^>]+>", "")))
+    rows = blocks.withColumn("second", at[0] * 3600 + at[1] * 60 + at[2]).withColumn("line", F.regexp_replace(F.regexp_replace(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n", ""), r"<[^>]+>", ""), r"^\s+|\s+$", ""))
     w = Window.partitionBy("file").orderBy("n")
     rows = rows.where((F.col("second") >= from_second) & (F.col("line") != "")).withColumn("before", F.lag("line").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("line")))
     return rows.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), " ").alias("text"))
@@ -56,3 +56,25 @@ def preferred(sources: list[DataFrame], min_rows: int = 200) -> DataFrame:
         rows = s if rows is None else rows.unionByName(s)
     good = rows.groupBy("ticker", "rank").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows).groupBy("ticker").agg(F.min("rank").alias("rank"))
     return rows.join(good, ["ticker", "rank"], "left_semi").drop("rank")
+
+
+def month_of(text: Column) -> Column:
+    """The first day of a month written like Jan-20."""
+    return F.to_date(F.concat(F.lit("01-"), text), "dd-MMM-yy")
+
+
+def settings(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON file of settings, rules or seeds as one row of nested columns."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def deduplicated_bars(bars: DataFrame) -> DataFrame:
+    """Pages of bars (symbol, trade_date, ..., page) as one row a day, of the first page that has it, oldest first."""
+    w = Window.partitionBy("symbol", "trade_date").orderBy("page")
+    return bars.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn").orderBy("symbol", "trade_date")
+
+
+def latest_nav(navs: DataFrame, words: str) -> DataFrame:
+    """The latest value of each scheme (code, name, date, nav) whose name has the words."""
+    found = navs.where(F.contains(F.lower("name"), F.lit(words.lower())))
+    return found.groupBy("code", "name").agg(F.max("date").alias("date"), F.max_by("nav", "date").alias("nav"))

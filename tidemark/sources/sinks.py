@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def parquet(frame: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -25,3 +28,19 @@ def markdown(frame: DataFrame, rows: int = 50) -> str:
     width = [max(len(x) for x in col) for col in zip(head, *body, strict=True)] if body else [len(h) for h in head]
     line = lambda cells: "| " + " | ".join(c.ljust(w) for c, w in zip(cells, width, strict=True)) + " |"
     return "\n".join([line(head), "|" + "|".join("-" * (w + 2) for w in width) + "|", *map(line, body)])
+
+
+def report(frame: DataFrame, path: str, rows: int = 1000) -> None:
+    """The first rows as one JSON document: a report for reading, bounded by `rows`."""
+    packed = frame.limit(rows).agg(F.collect_list(F.struct(*frame.columns)).alias("rows"))
+    packed.select(F.to_json(F.struct("rows")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def fresh(spark: SparkSession, path: str, make: Callable[[], DataFrame], stamp: str) -> DataFrame:
+    """The table at `path` if it carries the stamp (a day, say), else what `make` gives, written there under it. Parquet and a folder name, so that any task can read it."""
+    where = f"{path}/stamp={stamp}"
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(where)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")):
+        make().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
