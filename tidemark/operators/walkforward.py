@@ -130,7 +130,7 @@ def forward_windows(panel: DataFrame, scores: DataFrame, breadth: DataFrame, gri
     marks = every_day.join(held, [*keys, "t"], "left").withColumn("age", F.col("t") - F.col("rt"))
     group = ["config_id", "start"]
     # a day is marked before its cash accrues, a period closed (and the next begun) after
-    marks = marks.withColumn("mark", _worth(F.greatest(F.col("age") - 1, F.lit(0)))).withColumn("closing", _worth(F.col("age")))
+    marks = marks.withColumn("mark", _worth(F.greatest(F.col("age") - 1, F.lit(0)))).withColumn("closing", _worth(F.col("age"))).persist()  # read four times below
     order = Window.partitionBy(*group).orderBy("rt").rowsBetween(Window.unboundedPreceding, -1)
     ends = marks.where("t = until").withColumn("base", F.exp(F.coalesce(F.sum(F.ln("closing")).over(order), F.lit(0.0))) * _growth(CASH_YIELD))
     marks = marks.join(ends.select(*group, "rt", "base"), [*group, "rt"])

@@ -42,8 +42,8 @@ def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The aligned panel of brands, with returns from day to day."""
-    return aligned(panel(spark, sf_dir, "p_brand")).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
+    """The aligned panel of brands, with returns from day to day; persisted like the panel."""
+    return aligned(panel(spark, sf_dir, "p_brand")).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return()).persist()
 
 
 def lag(k: int) -> str:

@@ -65,6 +65,7 @@ def oos_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     grid = oos_grid(spark)
     days = walkforward.rebalance_days(folds, grid)
     cache = scoring.signal_cache(market, [(63, 21), (126, 21), (252, 21)], ["none"])
+    days = days.persist()
     now = cache.join(days.select(F.col("rt").alias("t")).distinct(), "t", "left_semi")
     blend = 0.2 * F.col("m_none_63_21") + 0.4 * F.col("m_none_126_21") + 0.4 * F.col("m_none_252_21")
     rows = now.crossJoin(F.broadcast(sweep.profiles(spark, SIGNATURES)))  # two signatures
@@ -267,10 +268,11 @@ grid AS (SELECT i AS config_id, CASE WHEN i % 2 = 0 THEN 10 ELSE 21 END AS every
 win AS (SELECT s AS start, least(s + 63, last + 1) AS stop FROM (SELECT max(t) AS last FROM panel), (SELECT unnest(range(46, 100000, 21)) AS s) WHERE least(s + 63, last + 1) - s >= 21),
 per AS (SELECT g.*, w.start, w.stop, w.start + k * every AS rt, least(w.start + (k + 1) * every, w.stop - 1) AS until FROM grid g, win w, (SELECT unnest(range(0, 7)) AS k) WHERE w.start + k * every < w.stop),
 pk AS (SELECT p.*, rk.ticker FROM per p JOIN br ON br.t = p.rt AND breadth >= 0.30 JOIN rk ON rk.t = p.rt AND rk.rank <= p.positions),
-hl AS (SELECT pk.config_id, pk.start, pk.rt, y.t, avg(y.close / x.close) AS held FROM pk JOIN panel x ON x.ticker = pk.ticker AND x.t = pk.rt JOIN panel y ON y.ticker = pk.ticker AND y.t >= pk.rt AND y.t <= pk.until GROUP BY 1, 2, 3, 4),
-mk AS (SELECT p.*, d.t, d.t - p.rt AS age, held, greatest(CASE WHEN held IS NULL THEN pow(1.045, (d.t - p.rt) / 252.0) ELSE (1 - leverage * 0.0005) * (leverage * held + (1 - leverage) * pow({GROW}, d.t - p.rt)) END, 1e-12) AS closing,
-  greatest(CASE WHEN held IS NULL THEN pow(1.045, greatest(d.t - p.rt - 1, 0) / 252.0) ELSE (1 - leverage * 0.0005) * (leverage * held + (1 - leverage) * pow({GROW}, greatest(d.t - p.rt - 1, 0))) END, 1e-12) AS mark
-  FROM per p JOIN (SELECT DISTINCT t FROM panel) d ON d.t >= p.rt AND d.t <= p.until LEFT JOIN hl ON hl.config_id = p.config_id AND hl.start = p.start AND hl.rt = p.rt AND hl.t = d.t),
+hl AS (SELECT pk.config_id, pk.start, pk.rt, pk.rt + a AS t, avg(y.close / x.close) AS held FROM pk CROSS JOIN (SELECT unnest(range(0, 22)) AS a) JOIN panel x ON x.ticker = pk.ticker AND x.t = pk.rt JOIN panel y ON y.ticker = pk.ticker AND y.t = pk.rt + a WHERE pk.rt + a <= pk.until GROUP BY 1, 2, 3, 4),
+dy AS (SELECT p.*, p.rt + a AS t FROM per p CROSS JOIN (SELECT unnest(range(0, 22)) AS a) WHERE p.rt + a <= p.until),
+mk AS (SELECT p.*, p.t - p.rt AS age, held, greatest(CASE WHEN held IS NULL THEN pow(1.045, (p.t - p.rt) / 252.0) ELSE (1 - leverage * 0.0005) * (leverage * held + (1 - leverage) * pow({GROW}, p.t - p.rt)) END, 1e-12) AS closing,
+  greatest(CASE WHEN held IS NULL THEN pow(1.045, greatest(p.t - p.rt - 1, 0) / 252.0) ELSE (1 - leverage * 0.0005) * (leverage * held + (1 - leverage) * pow({GROW}, greatest(p.t - p.rt - 1, 0))) END, 1e-12) AS mark
+  FROM dy p LEFT JOIN hl ON hl.config_id = p.config_id AND hl.start = p.start AND hl.rt = p.rt AND hl.t = p.t),
 bs AS (SELECT config_id, start, rt, pow(1.045, 1 / 252.0) * exp(coalesce(sum(ln(closing)) OVER (PARTITION BY config_id, start ORDER BY rt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS base FROM mk WHERE t = until),
 cv AS (SELECT m.config_id, m.start, m.t - m.start AS day, CASE WHEN m.t = m.start THEN 1.0 ELSE base * mark END AS equity, CASE WHEN m.t = m.start OR held IS NULL THEN 1.0 ELSE 0.0 END AS idle FROM mk m JOIN bs ON bs.config_id = m.config_id AND bs.start = m.start AND bs.rt = m.rt WHERE age > 0 OR m.t = m.start
   UNION ALL SELECT m.config_id, m.start, m.stop - m.start, base * closing, NULL FROM mk m JOIN bs ON bs.config_id = m.config_id AND bs.start = m.start AND bs.rt = m.rt WHERE m.t = m.stop - 1 AND m.t = m.until),

@@ -27,7 +27,11 @@ def four(x: Column) -> Column:
 
 
 def panel(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
-    """close: value per unit; volume, dvol: units and value; dividend: mean discount; t: 1-based number of the ticker's day. `key` is an expression over part."""
+    """close: value per unit; volume, dvol: units and value; dividend: mean discount; t: 1-based number of the ticker's day. `key` is an expression over part.
+
+    The panel is persisted (memory, then disk): a plan reads it many times, the
+    fills once. Later queries of a session over the same files find it again.
+    """
     fills = read(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount")
     names = read(spark, sf_dir, "part").select("p_partkey", F.expr(key).alias("ticker"))
     days = (
@@ -42,7 +46,7 @@ def panel(spark: SparkSession, sf_dir: str, key: str = "p_type") -> DataFrame:
     )
     # money is summed as whole cents, so the order of a distributed sum can't change a close
     days = days.select("ticker", "date", four(F.col("cents") / 100.0 / F.col("volume")).alias("close"), "volume", (F.col("cents") / 100.0).alias("dvol"), four(F.col("percents") / 100.0 / F.col("fills")).alias("dividend"))
-    return days.withColumn("t", F.row_number().over(Window.partitionBy("ticker").orderBy("date")))
+    return days.withColumn("t", F.row_number().over(Window.partitionBy("ticker").orderBy("date"))).persist()
 
 
 def aligned(panel: DataFrame) -> DataFrame:
