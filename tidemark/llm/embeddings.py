@@ -5,8 +5,8 @@ that copies never meet each other. On unit vectors cosine >= c is a distance of
 at most sqrt(2 - 2c).
 
 The upper levels of the tree are tables: the root of a label and length is one
-cell; a cell of more than BLOCK classes is dealt to the nearest of PIVOTS of its
-own members, picked by hash, whose cells are its children, until a cell fits a
+cell; a cell of more than BLOCK classes is dealt to the nearest of some of its own
+members, picked by hash, one for each BLOCK and PIVOTS at most, whose cells are its children, until a cell fits a
 block or all of it lies within reach, where hashing deals it into blocks. A cell
 has its centre and covering radius (the largest distance from the centre). The
 dual traversal goes down the same levels: from the pairs of roots a pair of cells
@@ -214,7 +214,7 @@ def _cells(work: Workspace, classes: DataFrame, reach: float) -> tuple[DataFrame
         some = big.where(F.pmod(F.xxhash64("key", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30)) < 4.0 * PIVOTS / F.col("n"))
         norm = _normal(F.col("vector"))[1]
         place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("key", F.lit(level)), "key")) - 1
-        pivots = work.keep(some.select("cell", "n", F.transform("vector", lambda x: x / norm).alias("centre"), place.alias("k")).where(F.col("k") < PIVOTS), f"pivots-{level}")
+        pivots = work.keep(some.select("cell", "n", F.transform("vector", lambda x: x / norm).alias("centre"), place.alias("k")).where(F.col("k") < F.least(F.lit(PIVOTS), F.ceil(F.col("n") / BLOCK))), f"pivots-{level}")
         near = work.keep(_dealt(big, pivots), f"dealt-{level}")
         moved = placed.join(near, "key", "left")
         child = F.when(F.col("k").isNotNull(), F.concat_ws("/", "cell", F.col("k").cast("string"))).otherwise(F.col("cell"))
