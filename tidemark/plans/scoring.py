@@ -56,7 +56,8 @@ def scores_at(spark: SparkSession, sf_dir: str, days: DataFrame | None = None, k
     market = aligned(own)
     asked = scoring.as_of(market, rebalances(market) if days is None else days)
     table = scoring.score_table(own.withColumn("ret", mom.simple_return()), asked)
-    return asked.join(table, ["ticker", "t"]).withColumn("score", F.round("score_sortino", 8))
+    # a row a ticker and rebalance, which plans rank, gate and hold in turn
+    return asked.join(table, ["ticker", "t"]).withColumn("score", F.round("score_sortino", 8)).persist()
 
 
 @query("@" + LIVE + " SELECT ticker, t, " + ", ".join(f"round({c}, 5) AS {c}" for c in scoring.OUTPUTS) + " FROM sc")
@@ -68,9 +69,9 @@ def score_tickers(spark, sf_dir):
     return table.select("ticker", "t", *[F.round(F.col(c).cast("double"), 5).alias(c) for c in scoring.OUTPUTS])
 
 
-@query("@" + ASKED + " SELECT ticker, rt, round(score_pricemom, 6) AS score_pricemom, round(score, 6) AS score_sortino, round(score_martin, 6) AS score_martin FROM f")
+@query("@" + ASKED + " SELECT ticker, rt, round(score_pricemom, 6) AS score_pricemom, round(score_sortino, 6) AS score_sortino, round(score_martin, 6) AS score_martin FROM f")
 def rank_panel_scores(spark, sf_dir):
-    return scores_at(spark, sf_dir).select("ticker", "rt", r6("score_pricemom"), r6("score").alias("score_sortino"), r6("score_martin"))
+    return scores_at(spark, sf_dir).select("ticker", "rt", r6("score_pricemom"), r6("score_sortino"), r6("score_martin"))
 
 
 @query("@" + LIVE + " SELECT ticker, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, ticker) AS rank FROM (SELECT ticker, round(score_sortino, 8) AS s FROM sc) QUALIFY rank <= 5")
@@ -163,7 +164,7 @@ WIDE = "concat(p_brand, '/', p_type)"
 @query(None)
 def rank_wide_panel(spark, sf_dir):
     """The panel's scores over the wide universe, brands by types: some 150 tickers at every rebalance day."""
-    return scores_at(spark, sf_dir, key=WIDE).select("ticker", "rt", r6("score_pricemom"), r6("score").alias("score_sortino"), r6("score_martin"))
+    return scores_at(spark, sf_dir, key=WIDE).select("ticker", "rt", r6("score_pricemom"), r6("score_sortino"), r6("score_martin"))
 
 
 ORACLE_SQL["rank_wide_panel"] = ORACLE_SQL["rank_panel_scores"].replace("SELECT p_brand AS ticker", "SELECT p_brand || '/' || p_type AS ticker")

@@ -195,9 +195,15 @@ def sim_engine_plain(spark, sf_dir):
     return curve.groupBy("config_id").agg(r6(F.ln(F.max_by("equity", "step") / F.min_by("equity", "step"))).alias("log_total"))
 
 
+def smoothed(spark, sf_dir) -> DataFrame:
+    """The aligned panel with 60-day means for closes: daily weights on single closes would grow beyond what doubles hold."""
+    rows = universe(spark, sf_dir).withColumn("close", F.avg("close").over(mom.frame(-59, 0)))
+    return rows.withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return()).persist()
+
+
 def checked_market(spark, sf_dir) -> DataFrame:
     """ticker, t, close, level, below, scale: the market's level, whether yesterday's is below the mean of the 100 before today, and a factor by the hidden state (states by volatility, calmest last)."""
-    rows = universe(spark, sf_dir)
+    rows = smoothed(spark, sf_dir)
     daily = signals.market_level(rows).join(rows.select("date", "t").distinct(), "date").select("t", "level")
     w = Window.orderBy("t")  # a row a date
     mean, vol = F.avg("level").over(w.rowsBetween(-100, -1)), F.stddev_pop("lret").over(w.rowsBetween(-20, 0))
@@ -238,7 +244,7 @@ FIRST_CHECK = 294
 @query(None)
 def sim_engine_checked(spark, sf_dir):
     """The engine with triggers and holds, over its grid, picks from the variant panel with at most two of a capped class; what is not invested is parked in one ticker."""
-    rows = universe(spark, sf_dir)
+    rows = smoothed(spark, sf_dir)
     scores = scoring.variant_panel(rows, at=(F.col("t") >= FIRST_CHECK) & ((F.col("t") - FIRST_CHECK) % 10 == 0)).select("t", "ticker", F.round("sortino_pricemom", 8).alias("score")).where("ticker <> 'Brand#25'")
     ranked = scoring.top_with_cap(scores, ["t"], 10**6, F.col("ticker").startswith("Brand#1"), 2).select("t", "ticker", "score", "rank")
     rest = scores.join(ranked, ["t", "ticker"], "left_anti").select("t", "ticker", "score", F.lit(10**6).alias("rank"))
