@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,20 @@ def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
 
 
+def kept(frame: DataFrame) -> DataFrame:
+    """`frame`, written once to the folder of spark.checkpoint.dir (a new temporary one in local mode, if unset): its plan is a scan from then on.
+
+    A persisted frame still carries its whole plan, which every plan that reads it holds, and prints, once a reading:
+    of frames that are persisted over each other the driver's copies grow as a product.
+    """
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return frame.checkpoint()
+
+
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The aligned panel of brands, with returns from day to day; persisted like the panel."""
     return aligned(panel(spark, sf_dir, "p_brand")).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return()).persist()

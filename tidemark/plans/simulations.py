@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import allocation, engines, hmm, montecarlo, prep, risk, scoring, signals, simulation, sweep, walkforward
 from tidemark.operators import momentum as mom
-from tidemark.plans.registry import NEG, ROOT, fr, query, r6, universe, with_returns
+from tidemark.plans.registry import NEG, ROOT, fr, kept, query, r6, universe, with_returns
 from tidemark.plans.scoring import ASKED, CACHE, MIX, STEP, WARM, rebalances, scores_at
 from tidemark.sources.panel import aligned, panel, read
 
@@ -60,19 +60,18 @@ def oos_grid(spark: SparkSession) -> DataFrame:
 
 def oos_parts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(market, folds, weights) of the batch: each signature is scored once, at the rebalance days only."""
-    market = universe(spark, sf_dir)
-    folds = simulation.expanding_folds(market, TRAIN, OOS, LIVE)
+    market = kept(universe(spark, sf_dir))
+    folds = kept(simulation.expanding_folds(market, TRAIN, OOS, LIVE))
     grid = oos_grid(spark)
-    days = walkforward.rebalance_days(folds, grid)
+    days = kept(walkforward.rebalance_days(folds, grid))
     cache = scoring.signal_cache(market, [(63, 21), (126, 21), (252, 21)], ["none"])
-    days = days.persist()
     now = cache.join(days.select(F.col("rt").alias("t")).distinct(), "t", "left_semi")
     blend = 0.2 * F.col("m_none_63_21") + 0.4 * F.col("m_none_126_21") + 0.4 * F.col("m_none_252_21")
     rows = now.crossJoin(F.broadcast(sweep.profiles(spark, SIGNATURES)))  # two signatures
     scores = rows.select(F.col("profile").alias("signature"), "t", "ticker", F.round(scoring.switched(rows, blend, F.col("flags")), 8).alias("score"), F.round("tv", 8).alias("tv"), F.round("abs12", 8).alias("abs12"))
     havens = market.where(F.col("ticker").startswith("Brand#2")).select("ticker").distinct()
     # a row a configuration, rebalance and position: kept, as costs and values read it several times
-    return market, folds, walkforward.weights(scores, grid, days, havens).persist()
+    return market, folds, kept(walkforward.weights(scores, grid, days, havens))
 
 
 OOS_SQL = "@" + CACHE.format(momentum=MIX) + f""", l AS (SELECT max(t) - 1 AS last FROM panel),
@@ -128,7 +127,7 @@ SELECT cu.config_id, round(growth, 6) AS log_total, round(growth / years, 6) AS
 def sim_oos_aggregate(spark, sf_dir):
     """Folds chained per configuration; growth as logarithms, since this panel's totals are beyond what rounding can compare."""
     market, folds, weights = oos_parts(spark, sf_dir)
-    out = walkforward.aggregate_folds(walkforward.daily_values(market, weights, folds), folds)
+    out = walkforward.aggregate_folds(kept(walkforward.daily_values(market, weights, folds)), folds)
     return out.select("config_id", r6("growth").alias("log_total"), r6(F.col("growth") / F.col("years")).alias("log_annualised"), r6("max_dd"), F.round("downside", 5).alias("down"), r6("win_rate"), "n_folds")
 
 
