@@ -1,6 +1,11 @@
 """Plans that stay small, and forms that hold for tables of many rows."""
 
+import random
+
+import numpy as np
+
 from tests.conftest import SMALL
+from tidemark.operators import simulation
 from tidemark.plans.catalog import QUERIES
 
 
@@ -9,3 +14,33 @@ def test_plan_of_chained_folds_is_small(spark):
     frame = QUERIES["sim_oos_aggregate"](spark, SMALL)
     assert "InMemoryRelation" not in frame._jdf.queryExecution().optimizedPlan().toString()
     assert len(frame._jdf.queryExecution().toString()) < 500_000
+
+
+def test_first_near_day_against_every_day():
+    rng = random.Random(5)
+    for n in (1, 2, 3, 40):
+        for _ in range(20):
+            first = {round(rng.uniform(90, 130), rng.choice([0, 1])): d for d in rng.sample(range(1, 999), n)}
+            closes = sorted(first)
+            costs = [*(round(rng.uniform(80, 140), 1) for _ in range(60)), *(c / 0.95 for c in closes), *(c / 1.05 for c in closes), 0.0, -5.0, 1e18, float("nan"), float("inf")]
+            got = simulation.first_near(np.array(closes), np.array([first[c] for c in closes]), np.array(costs), 0.05)
+            for x, day in zip(costs, got):
+                near = [first[c] for c in closes if x > 0 and abs(c / x - 1) <= 0.05]
+                nearest = [first[c] for c in closes if abs(c - x) == min(abs(z - x) for z in closes)] if np.isfinite(x) else list(first.values())
+                assert day == min(near or nearest)
+
+
+def test_positions_do_not_meet_every_day(spark, monkeypatch):
+    """They meet the sorted closes of their ticker, in parts."""
+    monkeypatch.setattr(simulation, "ENTRY_PART", 7)
+    panel = spark.createDataFrame([("a", d, 100.0 + d % 50) for d in range(1, 400)] + [("b", 1, 7.0)], "ticker string, t int, close double")
+    held = spark.createDataFrame([(i, "ab"[i % 2], None if i == 4 else 90.0 + i) for i in range(60)] + [(60, "none", 1.0)], "id long, ticker string, cost double")
+    frame = simulation.entry_days(held, panel)
+    want = {}
+    for i in range(60):
+        if i % 2:
+            want[i] = 1
+        else:
+            near = [d for d in range(1, 400) if i != 4 and abs((100.0 + d % 50) / (90.0 + i) - 1) <= 0.05]
+            want[i] = min(near) if near else 1 if i == 4 else min(range(1, 400), key=lambda d: (abs(10.0 + d % 50 - i), d))
+    assert {r.id: r.entry for r in frame.collect()} == want

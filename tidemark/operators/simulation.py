@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +64,76 @@ def period_returns(panel: DataFrame, weights: DataFrame, keys: list[str], hold:
     return ends.groupBy(*keys, "rt").agg(F.ln(1 + F.sum(F.col("w") * (F.col("exit") / F.col("entry") - 1))).alias("log_growth"), F.max("n").alias("days"))
 
 
+#: Positions of a ticker that one task takes.
+ENTRY_PART = 100_000
+
+
+def entry_days(positions: DataFrame, panel: DataFrame, within: float = 0.05) -> DataFrame:
+    """(id, ticker, cost, entry): the first t at which the ticker's close stood within a share of the cost; where none did, the first of the nearest ones.
+
+    positions: id, ticker, cost; panel: ticker, t, close. A position does not meet every day: a ticker's closes are sorted
+    once a task, those near a cost are a run of them, found by bisection, and the least t of a run is read off a table of
+    runs of 1, 2, 4, ... closes. A ticker's positions are dealt in parts of about ENTRY_PART.
+    """
+    rows = positions.select("id", "ticker", F.col("cost").cast("double").alias("cost")).distinct()
+    parts = rows.groupBy("ticker").agg(F.ceil(F.count("*") / ENTRY_PART).cast("int").alias("parts"))
+    dealt = rows.join(parts, "ticker").withColumn("part", F.pmod(F.xxhash64("id", "cost"), F.col("parts")).cast("int")).drop("parts")
+    days = panel.where("close IS NOT NULL").groupBy("ticker", "close").agg(F.min(F.col("t").cast("long")).alias("t"))
+    days = days.join(parts, "ticker").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    def find(held: pa.Table, days: pa.Table) -> pa.Table:
+        if not held.num_rows or not days.num_rows:
+            return held.select(["id", "ticker", "cost"]).slice(0, 0).append_column("entry", pa.array([], pa.int64()))
+        days = days.sort_by("close")
+        costs = held.column("cost").to_pandas().to_numpy(float)  # NULL: no number
+        entry = first_near(days.column("close").to_numpy(), days.column("t").to_numpy(), costs, within)
+        return held.select(["id", "ticker", "cost"]).append_column("entry", pa.array(entry, pa.int64()))
+
+    return dealt.groupBy("ticker", "part").cogroup(days.groupBy("ticker", "part")).applyInArrow(find, rows.schema.add("entry", "long"))
+
+
+def first_near(closes: np.ndarray, days: np.ndarray, costs: np.ndarray, within: float) -> np.ndarray:
+    """For each cost the least of `days` over the sorted `closes` with |close / cost - 1| <= within, over the nearest ones where there are none, over all where the cost is no number."""
+    n = len(closes)
+    table = [days]
+    while (step := 1 << len(table)) <= n:
+        table.append(np.minimum(table[-1][: n - step + 1], table[-1][step // 2 :]))
+    entry = np.full(len(costs), days.min())
+    at = np.flatnonzero(np.isfinite(costs))
+    x = costs[at]
+
+    def runs(low: np.ndarray, high: np.ndarray, inside) -> np.ndarray:
+        """Least days of the runs [low, high] after their ends are moved to the closes that are inside; -1 for none."""
+        while (more := (low > 0) & inside(np.maximum(low - 1, 0))).any():
+            low = low - more
+        while (more := (high < n - 1) & inside(np.minimum(high + 1, n - 1))).any():
+            high = high + more
+        while (less := (low <= high) & ~inside(np.minimum(low, n - 1))).any():
+            low = low + less
+        while (less := (low <= high) & ~inside(np.maximum(high, 0))).any():
+            high = high - less
+        some = low <= high
+        level = np.frexp(np.maximum(high - low + 1, 1).astype(float))[1] - 1
+        out = np.full(len(low), -1)
+        for k in np.unique(level[some]):
+            own = np.flatnonzero(some & (level == k))
+            out[own] = np.minimum(table[k][low[own]], table[k][high[own] + 1 - (1 << int(k))])
+        return out
+
+    # below a cost of 0 no close is near; bounds in plain arithmetic may miss a close at the very edge, which runs() corrects
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        positive = x > 0
+        low, high = np.searchsorted(closes, x * (1 - within)), np.searchsorted(closes, x * (1 + within), "right") - 1
+        found = runs(np.where(positive, low, 0), np.where(positive, high, -1), lambda i: positive & (np.abs(closes[i] / x - 1) <= within))
+        right = np.minimum(np.searchsorted(closes, x), n - 1)
+        left = np.maximum(right - 1, 0)
+        least = np.minimum(np.abs(closes[left] - x), np.abs(closes[right] - x))
+        start = np.where(np.abs(closes[left] - x) == least, left, right)
+        nearest = runs(start, start, lambda i: np.abs(closes[i] - x) <= least)
+    entry[at] = np.where(found >= 0, found, nearest)
+    return entry
+
+
 #: Fixed values of the cost model: commission and fees a share, least commission an order, half spread, tax on gains, portfolio's money and a share's usual price.
 PER_SHARE, PER_ORDER, HALF_SPREAD, TAX, MONEY, SHARE_PRICE = 0.0037, 0.35, 0.0005, 0.21, 50_000.0, 75.0
 

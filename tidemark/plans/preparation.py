@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import functions
-from tidemark.operators import prep, signals
+from tidemark.operators import prep, signals, simulation
 from tidemark.plans.registry import query, r6, universe, with_returns
 from tidemark.sources.panel import by_ticker, panel, read
 
@@ -182,9 +182,7 @@ def pos_alpha(spark, sf_dir):
     calendar = rows.select("date", "t").distinct()
     level = signals.market_level(rows).join(calendar, "date").select("t", "level")
     last = rows.groupBy("ticker").agg(F.max_by("close", "t").alias("price"))
-    held = positions(spark, sf_dir).join(rows.select("ticker", "t", "close"), "ticker")
-    near = F.min(F.when(F.abs(F.col("close") / F.col("cost") - 1) <= 0.05, F.col("t")))
-    entry = held.groupBy("id", "ticker", "cost").agg(F.coalesce(near, F.min(F.struct(F.abs(F.col("close") - F.col("cost")).alias("d"), "t"))["t"]).alias("entry"))
+    entry = simulation.entry_days(positions(spark, sf_dir), rows)
     final = level.agg(F.max_by("level", "t").alias("end"))
     out = entry.join(last, "ticker").join(level.withColumnRenamed("t", "entry"), "entry").join(F.broadcast(final), how="cross")  # one row
     return out.select("id", "ticker", "entry", r6(F.col("price") / F.col("cost") - 1).alias("own"), r6(F.ln(F.col("end") / F.col("level"))).alias("market"))
