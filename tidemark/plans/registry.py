@@ -38,6 +38,14 @@ def r6(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c), digits).alias(c) if isinstance(c, str) else F.round(c, digits)
 
 
+def sql6(c: Column | str, digits: int = 6) -> Column:
+    """Rounded as the SQL's round() does, by a double's product with a power of ten: what is rounded twice often stands on a half, where the decimal digits of F.round say otherwise."""
+    by = F.lit(10.0**digits)
+    x = F.col(c) if isinstance(c, str) else c
+    out = F.round(x * by) / by
+    return out.alias(c) if isinstance(c, str) else out
+
+
 def with_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(spark, sf_dir).withColumn("ret", mom.simple_return()).withColumn("lret", mom.log_return())
 

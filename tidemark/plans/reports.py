@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import momentum as mom
 from tidemark.operators import prep, reports, risk, simulation
-from tidemark.plans.registry import query, r6, universe, with_returns
+from tidemark.plans.registry import query, r6, sql6, universe, with_returns
 from tidemark.plans.simulations import LIVE, OOS, TRAIN
 from tidemark.sources.panel import by_ticker, panel, read
 
@@ -19,59 +19,59 @@ RESULTS = FOLDS + ", lv AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY config_i
 def fold_table(spark, sf_dir) -> DataFrame:
     """(config_id, fold, ret)."""
     whole = F.floor(F.sum("o_totalprice")).cast("long")
-    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("config_id"), F.year("o_orderdate").alias("fold")).agg(F.round(whole % 650000 / 1000000.0 - 0.25, 4).alias("ret"))
+    return read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("config_id"), F.year("o_orderdate").alias("fold")).agg(sql6(whole % 650000 / 1000000.0 - 0.25, 4).alias("ret"))
 
 
 def results(spark, sf_dir) -> DataFrame:
     rows = reports.from_folds(fold_table(spark, sf_dir))
-    return rows.select("*").withColumns({c: F.round(c, 8) for c in ("total", "annualised", "sortino", "calmar")}).withColumn("p1", F.col("config_id") % 5).withColumn("p2", F.col("config_id") % 7)
+    return rows.select("*").withColumns({c: sql6(c, 8) for c in ("total", "annualised", "sortino", "calmar")}).withColumn("p1", F.col("config_id") % 5).withColumn("p2", F.col("config_id") % 7)
 
 
 @query(RESULTS + " SELECT config_id, round(total, 6) AS total FROM x ORDER BY total DESC, config_id LIMIT 10")
 def report_top_total(spark, sf_dir):
-    return reports.best_first(results(spark, sf_dir), "total").select("config_id", r6("total"))
+    return reports.best_first(results(spark, sf_dir), "total").select("config_id", sql6("total"))
 
 
 @query(RESULTS + ", t AS (SELECT unnest([30, 40, 50, 60, 75]) AS cap) SELECT cap, count(*) AS n, round(max(annualised), 6) AS annualised, arg_max(config_id, (annualised, -config_id)) AS config_id FROM x JOIN t ON abs(max_dd) * 100 <= cap GROUP BY cap")
 def report_dd_tiers(spark, sf_dir):
-    return reports.tiers(results(spark, sf_dir)).select("cap", "n", r6("annualised"), "config_id")
+    return reports.tiers(results(spark, sf_dir)).select("cap", "n", sql6("annualised"), "config_id")
 
 
 @query(RESULTS + " SELECT config_id, round(win_rate, 6) AS win_rate, round(annualised, 6) AS annualised FROM x WHERE win_rate >= 0.90 AND annualised > 0")
 def report_never_lose(spark, sf_dir):
-    return reports.never_lose(results(spark, sf_dir)).select("config_id", r6("win_rate"), r6("annualised"))
+    return reports.never_lose(results(spark, sf_dir)).select("config_id", sql6("win_rate"), sql6("annualised"))
 
 
 @query(RESULTS + " SELECT config_id, worst, round(annualised, 6) AS annualised FROM x WHERE worst > -0.20")
 def report_no_blowup(spark, sf_dir):
-    return reports.no_blowup(results(spark, sf_dir)).select("config_id", F.array_min("fold_returns").alias("worst"), r6("annualised"))
+    return reports.no_blowup(results(spark, sf_dir)).select("config_id", F.array_min("fold_returns").alias("worst"), sql6("annualised"))
 
 
 @query(RESULTS + " SELECT config_id, round(consistency, 6) AS consistency FROM x WHERE annualised > 0.20 ORDER BY round(consistency, 8), config_id LIMIT 10")
 def report_steadiest(spark, sf_dir):
-    rows = results(spark, sf_dir).where("annualised > 0.20").withColumn("consistency", F.round("consistency", 8))
-    return reports.best_first(rows, "consistency", ascending=True).select("config_id", r6("consistency"))
+    rows = results(spark, sf_dir).where("annualised > 0.20").withColumn("consistency", sql6("consistency", 8))
+    return reports.best_first(rows, "consistency", ascending=True).select("config_id", sql6("consistency"))
 
 
 @query(RESULTS + ", b AS (SELECT *, CASE WHEN abs(max_dd) * 100 <= 0 THEN NULL WHEN abs(max_dd) * 100 <= 25 THEN 0 WHEN abs(max_dd) * 100 <= 35 THEN 25 WHEN abs(max_dd) * 100 <= 45 THEN 35 WHEN abs(max_dd) * 100 <= 55 THEN 45 WHEN abs(max_dd) * 100 <= 70 THEN 55 ELSE 70 END AS band FROM x) SELECT band, count(*) AS n, round(max(calmar), 6) AS calmar, arg_max(config_id, (calmar, -config_id)) AS config_id FROM b WHERE band IS NOT NULL GROUP BY band")
 def report_calmar_bands(spark, sf_dir):
-    return reports.bands(results(spark, sf_dir)).select("band", "n", r6("calmar"), "config_id")
+    return reports.bands(results(spark, sf_dir)).select("band", "n", sql6("calmar"), "config_id")
 
 
 @query(RESULTS + " SELECT config_id, round(max_dd, 6) AS max_dd, round(win_rate, 6) AS win_rate FROM x WHERE abs(max_dd) <= 0.30 AND win_rate >= 0.85")
 def report_sleep_well(spark, sf_dir):
-    return reports.sleep_well(results(spark, sf_dir)).select("config_id", r6("max_dd"), r6("win_rate"))
+    return reports.sleep_well(results(spark, sf_dir)).select("config_id", sql6("max_dd"), sql6("win_rate"))
 
 
 @query(RESULTS + ", e AS (SELECT y.*, row_number() OVER (PARTITION BY config_id ORDER BY r, f) AS rn, lead(r, 1) OVER w AS a, lead(r, 2) OVER w AS b, lead(r, 3) OVER w AS c FROM y WINDOW w AS (PARTITION BY config_id ORDER BY f)) SELECT e.config_id, r AS worst, round((1 + a) * (1 + coalesce(b, 0)) * (1 + coalesce(c, 0)) - 1, 6) AS next3 FROM e JOIN x ON x.config_id = e.config_id WHERE rn = 1 AND n >= 5 AND a IS NOT NULL")
 def report_after_worst(spark, sf_dir):
-    return reports.after_worst(results(spark, sf_dir)).select("config_id", "worst", r6("next3"))
+    return reports.after_worst(results(spark, sf_dir)).select("config_id", "worst", sql6("next3"))
 
 
 @query(RESULTS + ", s AS (SELECT config_id FROM x WHERE abs(max_dd) <= 0.50 ORDER BY total DESC, config_id LIMIT 5) SELECT config_id, " + ", ".join(f"round(quantile_cont(r, {q / 100}), 6) AS p{q}" for q in (10, 25, 50, 75, 90)) + ", min(r) AS low, max(r) AS high FROM y WHERE config_id IN (SELECT config_id FROM s) GROUP BY config_id")
 def report_fold_percentiles(spark, sf_dir):
     best = reports.best_first(reports.survivors(results(spark, sf_dir)), "total", 5)
-    return reports.fold_percentiles(best).select("config_id", *[r6(f"p{q}") for q in (10, 25, 50, 75, 90)], "low", "high")
+    return reports.fold_percentiles(best).select("config_id", *[sql6(f"p{q}") for q in (10, 25, 50, 75, 90)], "low", "high")
 
 
 @query(RESULTS + ", f AS (SELECT config_id, f, r < 0 AS neg, row_number() OVER (PARTITION BY config_id ORDER BY f) - row_number() OVER (PARTITION BY config_id, r < 0 ORDER BY f) AS island FROM y), l AS (SELECT config_id, island, count(*) AS len FROM f WHERE neg GROUP BY 1, 2), g AS (SELECT config_id, max(len) AS streak FROM l GROUP BY 1) SELECT x.config_id, coalesce(streak, 0) AS streak FROM x LEFT JOIN g ON g.config_id = x.config_id")
@@ -86,13 +86,13 @@ _DIST = " UNION ALL ".join(f"SELECT '{n}' AS metric, {_Q(c)} FROM {{0}}" for n,
 @query(RESULTS + " " + _DIST.format("x"))
 def report_distribution(spark, sf_dir):
     out = reports.distribution(results(spark, sf_dir))
-    return out.select("metric", *[r6(c) for c in out.columns[1:]])
+    return out.select("metric", *[sql6(c) for c in out.columns[1:]])
 
 
 @query(RESULTS + ", s AS (SELECT * FROM x WHERE abs(max_dd) <= 0.50) " + _DIST.format("s"))
 def report_survivor_distribution(spark, sf_dir):
     out = reports.distribution(reports.survivors(results(spark, sf_dir)))
-    return out.select("metric", *[r6(c) for c in out.columns[1:]])
+    return out.select("metric", *[sql6(c) for c in out.columns[1:]])
 
 
 _STORM = f"@l AS (SELECT max(t) - 1 AS last FROM panel), f0 AS (SELECT s AS start, least(s + {OOS}, last) AS stop FROM l, (SELECT unnest(range({TRAIN}, 100000, {OOS})) AS s) WHERE least(s + {OOS}, last) - s >= 21), fo AS (SELECT row_number() OVER (ORDER BY start) AS fold, start, stop FROM (SELECT f.start, f.stop, count(*) AS n FROM f0 f JOIN (SELECT ticker, min(t) AS born FROM panel GROUP BY ticker) b ON born <= f.start GROUP BY 1, 2) WHERE n >= {LIVE}), v AS (SELECT fold, ticker, stddev_pop(coalesce(ret, 0)) * sqrt(252) AS v FROM rets JOIN fo ON t > start + 1 AND t <= stop GROUP BY 1, 2), m AS (SELECT fold, quantile_cont(v, 0.5) AS vol FROM v GROUP BY 1), st AS (SELECT fold, vol, vol >= (SELECT quantile_cont(vol, 0.75) FROM m) AS stormy FROM m)"
@@ -101,7 +101,7 @@ _STORM = f"@l AS (SELECT max(t) - 1 AS last FROM panel), f0 AS (SELECT s AS star
 @query(_STORM + " SELECT fold, round(vol, 5) AS vol, stormy FROM st")
 def report_stormy_folds(spark, sf_dir):
     market = universe(spark, sf_dir)
-    return reports.stormy_folds(market, simulation.expanding_folds(market, TRAIN, OOS, LIVE)).select("fold", r6("vol", 5), "stormy")
+    return reports.stormy_folds(market, simulation.expanding_folds(market, TRAIN, OOS, LIVE)).select("fold", sql6("vol", 5), "stormy")
 
 
 @query(_STORM + ", e AS (SELECT ticker AS config_id, fold, arg_max(close, t) / arg_min(close, t) - 1 AS ret FROM panel JOIN fo ON t > start AND t <= stop GROUP BY 1, 2) SELECT config_id, round(avg(ret), 6) AS storm_return, count(*) AS n FROM e JOIN st ON st.fold = e.fold AND stormy GROUP BY 1")
@@ -111,13 +111,13 @@ def report_in_storms(spark, sf_dir):
     folds = simulation.expanding_folds(market, TRAIN, OOS, LIVE)
     held = market.join(F.broadcast(folds), (F.col("t") > F.col("start")) & (F.col("t") <= F.col("stop")))  # some dozens of folds
     per = held.groupBy(F.col("ticker").alias("config_id"), "fold").agg((F.max_by("close", "t") / F.min_by("close", "t") - 1).alias("ret"))
-    return reports.in_storms(per, reports.stormy_folds(market, folds)).select("config_id", r6("storm_return"), "n")
+    return reports.in_storms(per, reports.stormy_folds(market, folds)).select("config_id", sql6("storm_return"), "n")
 
 
 @query(RESULTS + " SELECT count(*) AS n, round(max(annualised), 6) AS best, round(quantile_cont(annualised, 0.5), 6) AS median, round(min(annualised), 6) AS worst, round(max(max_dd), 6) AS least_depth, round(quantile_cont(max_dd, 0.5), 6) AS median_depth, round(min(max_dd), 6) AS deepest FROM x")
 def report_extremes(spark, sf_dir):
     out = reports.extremes(results(spark, sf_dir))
-    return out.select("n", *[r6(c) for c in out.columns[1:]])
+    return out.select("n", *[sql6(c) for c in out.columns[1:]])
 
 
 _PLACED = RESULTS + ", pl AS (SELECT *, row_number() OVER (ORDER BY annualised DESC, config_id) AS place, count(*) OVER () AS total_rows FROM x), vs AS (SELECT 'p1' AS param, CAST(p1 AS VARCHAR) AS value, place, total_rows FROM pl UNION ALL SELECT 'p2', CAST(p2 AS VARCHAR), place, total_rows FROM pl)"
@@ -147,14 +147,14 @@ def report_dead_values(spark, sf_dir):
 def rank_top_bottom(spark, sf_dir):
     """Both ends of a log."""
     rows = results(spark, sf_dir)
-    return reports.best_first(rows, "total", 5).select("config_id", F.lit("top").alias("side"), r6("total")).unionByName(reports.best_first(rows, "total", 5, ascending=True).select("config_id", F.lit("bottom").alias("side"), r6("total")))
+    return reports.best_first(rows, "total", 5).select("config_id", F.lit("top").alias("side"), sql6("total")).unionByName(reports.best_first(rows, "total", 5, ascending=True).select("config_id", F.lit("bottom").alias("side"), sql6("total")))
 
 
 @query(RESULTS + ", v AS (SELECT p1 AS strategy, config_id, max_dd, row_number() OVER (PARTITION BY p1 ORDER BY round(max_dd, 8) DESC, config_id) AS rn, calmar FROM x) SELECT strategy, config_id, round(calmar, 6) AS calmar FROM v WHERE rn = 1")
 def rank_best_variant(spark, sf_dir):
     """Of each strategy the variant of least depth."""
-    w = Window.partitionBy("p1").orderBy(F.round("max_dd", 8).desc(), "config_id")
-    return results(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("p1").alias("strategy"), "config_id", r6("calmar"))
+    w = Window.partitionBy("p1").orderBy(sql6("max_dd", 8).desc(), "config_id")
+    return results(spark, sf_dir).withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("p1").alias("strategy"), "config_id", sql6("calmar"))
 
 
 # --- risk reports -----------------------------------------------------------------------------------------------------
