@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import search, sweep
-from tidemark.plans.registry import query, r6, universe
+from tidemark.plans.registry import query, r6, sql6, universe
 from tidemark.plans.reports import RESULTS, results
 from tidemark.plans.scoring import ASKED, scores_at
 
@@ -62,21 +62,21 @@ def sweep_targets(spark, sf_dir):
     c = F.col
     rows = results(spark, sf_dir)
     score = search.cross_regime(c("total") * 0.5, c("annualised"), c("max_dd"), c("win_rate"), c("annualised"), c("sortino"))
-    return rows.select("config_id", search.reached(F.abs("calmar"), c("n_folds"), c("annualised"), c("config_id") % 60).alias("reached"), F.round(score, 5).alias("score"))
+    return rows.select("config_id", search.reached(F.abs("calmar"), c("n_folds"), c("annualised"), c("config_id") % 60).alias("reached"), sql6(score, 5).alias("score"))
 
 
 @query(RESULTS + ", g AS (SELECT config_id, calmar, consistency, lag(calmar) OVER (ORDER BY config_id) AS pc, lag(consistency) OVER (ORDER BY config_id) AS ps FROM x) SELECT config_id, CASE WHEN round(calmar - pc, 8) > 0 AND round(consistency - ps, 8) <= 0.005 THEN 'keep' WHEN round(consistency - ps, 8) < -0.005 AND round(calmar - pc, 8) > -0.1 THEN 'keep' ELSE 'revert' END AS decision FROM g WHERE pc IS NOT NULL")
 def sweep_keep_or_revert(spark, sf_dir):
     """Each result against the one before it: the change in return over risk, and in risk."""
     w = Window.orderBy("config_id")  # a row a configuration
-    rows = results(spark, sf_dir).select("config_id", F.round(F.col("calmar") - F.lag("calmar").over(w), 8).alias("a"), F.round(F.col("consistency") - F.lag("consistency").over(w), 8).alias("b"))
+    rows = results(spark, sf_dir).select("config_id", sql6(F.col("calmar") - F.lag("calmar").over(w), 8).alias("a"), sql6(F.col("consistency") - F.lag("consistency").over(w), 8).alias("b"))
     return rows.where("a IS NOT NULL").select("config_id", sweep.keep_or_revert(F.col("a"), F.col("b")).alias("decision"))
 
 
 @query(RESULTS + ", l AS (SELECT config_id AS iter, 'log' || CAST(config_id % 3 AS VARCHAR) AS tag, calmar AS score FROM x) SELECT tag, iter, round(score, 6) AS score FROM l ORDER BY score DESC, tag, iter LIMIT 1")
 def sweep_best_record(spark, sf_dir):
     logs = results(spark, sf_dir).select(F.col("config_id").alias("iter"), F.concat(F.lit("log"), (F.col("config_id") % 3).cast("string")).alias("tag"), F.col("calmar").alias("score"))
-    return search.best_record(logs).select("tag", "iter", r6("score"))
+    return search.best_record(logs).select("tag", "iter", sql6("score"))
 
 
 @query(None)
